@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, packing
-from quillon.llm.common import table
+from quillon.llm import mixing, packing, quality, toxicity
+from quillon.llm.common import fold, table
 
 
 def op2_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix)}
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False))
+
+
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    return quality.scored(docs, model, into="score").select(
+        "doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    found = toxicity.scored(docs, model).withColumn("score", F.col("toxicity.score"))
+    return found.select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.spans").alias("n_offending"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix, op9_quality_scores, op10_toxicity_scores)}
 
 ORACLES: dict[str, str] = {}
