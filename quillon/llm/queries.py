@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, packing, quality, toxicity
+from quillon.llm import mixing, neardup, packing, quality, toxicity
 from quillon.llm.common import fold, table
 
 
@@ -21,6 +21,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _held_out(modulus: int, remainder: int):
     return F.coalesce(fold(F.col("doc_id"), modulus) == remainder, F.lit(False))
 
@@ -41,6 +45,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.spans").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix, op9_quality_scores, op10_toxicity_scores)}
+QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
 
 ORACLES: dict[str, str] = {}
