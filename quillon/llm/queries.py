@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, neardup, packing, quality, toxicity
+from quillon.llm import mixing, neardup, packing, quality, secrets, toxicity
 from quillon.llm.common import fold, table
 
 
@@ -21,6 +21,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.fit(docs))
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]],
+        F.sha2(secrets.described(of(*secrets.KINDS[:3])).cast("binary"), 256).alias("base_sha256"),
+        secrets.described(F.col("secrets")).alias("spans"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.spans").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
+QUERIES = {f.__name__: f for f in (op2_packed_sequences, op5_source_mix, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
 
 ORACLES: dict[str, str] = {}
