@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, mixing, neardup, packing, quality, secrets, toxicity
+from quillon.llm import chat, html, mixing, neardup, packing, quality, rules, secrets, toxicity
 from quillon.llm.common import fold, table
 
 
@@ -45,6 +45,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.array_join("main_blocks", " ").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -83,6 +89,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.spans").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op5_source_mix, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
 
 ORACLES: dict[str, str] = {}
