@@ -6,10 +6,9 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, mixing, neardup, packing, quality, rules, secrets, toxicity
+from quillon.llm import ann, chat, html, mixing, neardup, packing, quality, rules, secrets, toxicity
 from quillon.llm.common import fold, table
 
 
@@ -55,6 +54,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scanned(docs, secrets.fit(docs))
@@ -89,6 +92,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.spans").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op6_nearest_vectors, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
 
 ORACLES: dict[str, str] = {}
