@@ -124,9 +124,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVO
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     hashed = F.xxhash64("vec_id", F.lit(17))
-    left = rows.select("vec_id", "embedding", F.pmod(hashed, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+    left = rows.select("vec_id", "embedding", F.pmod(hashed, F.lit(blocks).cast("long")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
     asked = rows.filter("is_query").dropDuplicates(["vec_id"])
-    right = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("b"), F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("q"))
+    right = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("q"))
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, RESULT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
