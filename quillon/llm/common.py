@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: a word is a run of anything but space, tab, LF, VT, FF and CR.
@@ -65,6 +65,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def labelled_rows(labels: DataFrame, target: str, allowed: Column, per_class: int) -> tuple[DataFrame, dict]:
+    """(doc_id, _y): at most ``per_class`` rows of each class 0 and 1 that
+    ``allowed`` admits, the first by a hash of their id; and the number of rows
+    of each class. A class is a top-n of its own, so no task sees all of it."""
+    rows = labels.filter(allowed & F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("int").alias("_y"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
+    first = [rows.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    return first[0].union(first[1]), counts
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per_class: int, max_chars: int) -> tuple[list, list, dict]:
     """Texts and 0/1 labels to learn from, and the number of labelled rows by class.
 
@@ -74,10 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Co
     2 * per_class * max_chars characters whatever the size of the corpus.
     Null labels and ids teach nothing.
     """
-    rows = labels.filter(allowed & F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("int").alias("_y"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
-    first = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_class).drop("_r")
+    chosen, counts = labelled_rows(labels, target, allowed, per_class)
     got = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= max_chars)
            .select("doc_id", "text", "_y").collect())
     got.sort(key=lambda r: (r[0], r[1]))

@@ -21,10 +21,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD
+from quillon.llm.common import WORD, labelled_rows
 
 WINDOW = 8
 #: Base test: texts with fewer words, or a larger share (in percent) of repeated words, fail.
@@ -210,10 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
     """Learns from the statistics of at most ``per_class`` labelled documents of
     each class, chosen by a hash of their id; label 0 is to be rejected.
     Documents that fail the base test teach nothing."""
-    rows = labels.filter(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).cast("int").alias("_y"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
-    first = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_class).drop("_r")
+    chosen, counts = labelled_rows(labels, target, F.lit(True), per_class)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = with_statistics(texts).filter(~base_failed()).select("doc_id", "_y", *[c.alias(n) for n, c in features().items()]).collect()
     got.sort()
