@@ -1,6 +1,548 @@
-"""Registered queries of the engine and the SQL each is held against."""
+"""Registered queries of the engine and the SQL each is held against.
+
+Inputs are derived from the star schema: a click-style batch from ``lineitem``
+(label: returned; prediction and weight: discount and quantity), sessions and id
+streams from ``events``, bags of ids from the lines of an order, and a vector
+table from ``embeddings``. Floating results are rounded on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import expressions as X
+from quillon.operators import jagged, layout, lookup, metrics, prep, ranking, remap
+from quillon.plans import planner
+from quillon.sources import readers
+from quillon.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    """All floating columns to six places."""
+    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") and c not in keep else F.col(c) for c, t in df.dtypes])
+
+
+# --- derived inputs ----------------------------------------------------------
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        *LINE, F.col("l_linestatus").alias("task"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"),
+        (F.col("l_discount") * 8 + 0.1).alias("prediction"), F.col("l_quantity").alias("weight"))
+
+
+BATCH = """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linestatus AS task,
+ CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, l_discount * 8 + 0.1 AS prediction, l_quantity AS weight FROM lineitem)"""
+
+SUMS = BATCH + """, c AS (SELECT *, greatest(least(prediction, 1 - 1e-12), 1e-12) AS p FROM b),
+ s AS (SELECT task, sum(-weight * (label * log2(p) + (1 - label) * log2(1 - p))) AS ce, sum(weight) AS n, sum(weight * label) AS pos, sum(weight * (1 - label)) AS neg,
+ sum(-(label * log2(p) + (1 - label) * log2(1 - p))) AS uce, count(*)::DOUBLE AS un, sum(label) AS upos, sum(1 - label) AS uneg, sum(-weight * label * log2(p)) AS cep,
+ sum(weight * prediction) AS wp, sum(weight * (label - prediction) * (label - prediction)) AS se, sum(weight * label * label) AS wll, sum(weight * abs(label - prediction)) AS ae,
+ sum(CASE WHEN prediction >= 0.5 THEN weight * label ELSE 0 END) AS tp, sum(CASE WHEN prediction >= 0.5 THEN weight * (1 - label) ELSE 0 END) AS fp,
+ sum(CASE WHEN prediction < 0.5 THEN weight * label ELSE 0 END) AS fn, sum(CASE WHEN (prediction >= 0.5) = (label = 1) THEN weight ELSE 0 END) AS ok,
+ sum(weight * weight) AS ww, count(*) FILTER (weight <> 0) AS used FROM c GROUP BY task)"""
+NORM = "(-pos * log2(pos / n) - neg * log2(1 - pos / n))"
+
+
+def _suite(*names: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(metrics.Suite.of(*names, **options).compute(batch(spark, sf_dir), ["task"]))
+
+    return run
+
+
+def _register(name: str, run, sql: str | None = None) -> None:
+    run.__name__ = name
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+for _name, _metrics, _sql in (
+    ("metric_ne", ["ne"], f"round(ce / {NORM}, 6) AS ne"),
+    ("metric_logloss", ["logloss"], "round(ce / greatest(pos + neg, 1e-12), 6) AS logloss"),
+    ("metric_ne_positive", ["ne_positive"], f"round(cep / {NORM}, 6) AS ne_positive"),
+    ("metric_ne_unweighted", ["unweighted_ne"], "round(uce / (-upos * log2(upos / un) - uneg * log2(1 - upos / un)), 6) AS unweighted_ne"),
+    ("metric_ne_calibration_free", ["calibration_free_ne"], f"round(ce / {NORM} / (-pos * log2(wp / n) - (n - pos) * log2(1 - wp / n)), 6) AS calibration_free_ne"),
+    ("metric_ne_serving", ["serving_ne"], f"round(ce / {NORM}, 6) AS serving_ne, used AS serving_examples"),
+    ("metric_calibration", ["calibration"], "round(CASE WHEN pos <= 0 THEN 0 ELSE wp / pos END, 6) AS calibration"),
+    ("metric_ctr", ["ctr"], "round(pos / n, 6) AS ctr"),
+    ("metric_mse_rmse_r2", ["mse"], "round(se / n, 6) AS mse, round(sqrt(se / n), 6) AS rmse, round(1 - se / (wll - pos * pos / n), 6) AS r2"),
+    ("metric_mae", ["mae"], "round(ae / n, 6) AS mae"),
+    ("metric_accuracy", ["accuracy"], "round(ok / n, 6) AS accuracy"),
+    ("metric_precision_recall", ["precision", "recall"], "round(tp / (tp + fp), 6) AS \"precision\", round(tp / (tp + fn), 6) AS recall"),
+    ("metric_weighted_avg", ["weighted_avg"], "round(wp / n, 6) AS weighted_avg"),
+    ("metric_pair_weights", ["pair_weights"], "round((n * n - ww) / 2, 6) AS pair_weights"),
+):
+    _register(_name, _suite(*_metrics), f"{SUMS} SELECT task, {_sql} FROM s")
+
+_RECALIBRATED = BATCH.replace("l_discount * 8 + 0.1 AS prediction", "(l_discount * 8 + 0.1) / ((l_discount * 8 + 0.1) + (1 - (l_discount * 8 + 0.1)) / 2.0) AS prediction")
+_register("metric_ne_recalibrated", _suite("recalibrated_ne", coefficient=2.0), SUMS.replace(BATCH, _RECALIBRATED) + f" SELECT task, round(ce / {NORM}, 6) AS recalibrated_ne FROM s")
+_register("metric_calibration_recalibrated", _suite("recalibrated_calibration", coefficient=2.0), SUMS.replace(BATCH, _RECALIBRATED) + " SELECT task, round(wp / pos, 6) AS recalibrated_calibration FROM s")
+
+
+@query(SUMS.replace("SELECT task, sum(", "SELECT (l_linenumber % 8)::BIGINT AS segment, sum(").replace("GROUP BY task", "GROUP BY ALL") +
+       f" SELECT range AS segment, round(coalesce(ce / {NORM}, 0), 6) AS ne FROM range(10) LEFT JOIN s ON s.segment = range")
+def metric_ne_segmented(spark, sf_dir):
+    df = batch(spark, sf_dir).withColumn("segment", (F.col("l_linenumber") % 8).cast("long"))
+    return rounded(metrics.segmented(df, metrics.Suite.of("ne"), "segment", 10))
+
+
+@query(SUMS + f""" SELECT 'train-' || task || '|lifetime_' || k AS "key", v AS value FROM (SELECT task, 'ne' AS k, round(ce / {NORM}, 6) AS v FROM s
+ UNION ALL SELECT task, 'ctr', round(pos / n, 6) FROM s UNION ALL SELECT task, 'mae', round(ae / n, 6) FROM s)""")
+def metric_suite_keys(spark, sf_dir):
+    got = rounded(metrics.Suite.of("ne", "ctr", "mae").compute(batch(spark, sf_dir), ["task"]))
+    long = got.unpivot("task", ["ne", "ctr", "mae"], "name", "value")
+    return long.select(X.metric_key(F.lit("train"), F.col("task"), F.col("name"), "lifetime_").alias("key"), "value")
+
+
+@query(SUMS + f" SELECT task, round(ce / {NORM}, 6) AS ne, round(ae / n, 6) AS mae FROM s")
+def metric_states_merged(spark, sf_dir):
+    suite = metrics.Suite.of("ne", "mae")
+    parts = suite.states(batch(spark, sf_dir).withColumn("worker", F.col("l_orderkey") % 7), ["task", "worker"])
+    return rounded(suite.values(suite.merged(parts, ["task"]), ["task"]))
+
+
+@query("""WITH t AS (SELECT 'a' AS task, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS label, l_tax AS prediction, l_quantity AS weight FROM lineitem
+ UNION ALL SELECT 'b', CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0 END, l_discount, 1.0 FROM lineitem)
+ SELECT task, round(sum(weight * label) / sum(weight), 6) AS ctr, round(sum(weight * prediction) / sum(weight), 6) AS weighted_avg FROM t GROUP BY task""")
+def metric_tasks_unpivoted(spark, sf_dir):
+    wide = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("la"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("lb"),
+        F.col("l_tax").alias("pa"), F.col("l_discount").alias("pb"), F.col("l_quantity").alias("wa"), F.lit(1.0).alias("wb"))
+    return rounded(metrics.Suite.of("ctr", "weighted_avg").compute(metrics.tasks_long(wide, {"a": ("la", "pa", "wa"), "b": ("lb", "pb", "wb")}), ["task"]))
+
+
+@query(BATCH + """, t AS (SELECT range AS k, range / 999.0 AS t FROM range(1000)), g AS (SELECT task, prediction, sum(weight * label) AS a, sum(weight * (1 - label)) AS f FROM b GROUP BY 1, 2),
+ r AS (SELECT task, k, sum(CASE WHEN prediction >= t - 1e-12 THEN a ELSE 0 END) AS tp, sum(CASE WHEN prediction >= t - 1e-12 THEN f ELSE 0 END) AS fp, sum(CASE WHEN prediction <= t + 1e-12 THEN a ELSE 0 END) AS fn FROM g, t GROUP BY 1, 2),
+ p AS (SELECT task, k, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM r),
+ m AS (SELECT task, coalesce(min(CASE WHEN p >= 0.3333 THEN k END), 999) AS k FROM p GROUP BY task)
+ SELECT p.task, p.k::INT AS threshold_index, round(p.p, 6) AS hindsight_precision, round(p.r, 6) AS hindsight_recall FROM p JOIN m ON p.task = m.task AND p.k = m.k""")
+def metric_hindsight(spark, sf_dir):
+    return rounded(metrics.hindsight(batch(spark, sf_dir), ["task"], 0.3333))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 5)::INT AS label, value AS weight, [((event_id * 7) % 11)::DOUBLE, ((event_id * 3) % 11)::DOUBLE, ((event_id * 5) % 11)::DOUBLE, ((event_id * 2) % 11)::DOUBLE, ((event_id * 9) % 11)::DOUBLE] AS s FROM events),
+ x AS (SELECT weight, (SELECT count(*) FROM range(5) t(i) WHERE s[i + 1] > s[label + 1] OR (s[i + 1] = s[label + 1] AND i < label)) AS r FROM e)
+ SELECT k::INT AS k, round(sum(CASE WHEN r <= k THEN weight ELSE 0 END) / sum(weight), 6) AS recall FROM x, range(5) t(k) GROUP BY k""")
+def metric_recall_at_k(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    df = e.select((F.col("event_id") % 5).cast("int").alias("label"), F.col("value").alias("weight"),
+                  F.array(*[((F.col("event_id") * m) % 11).cast("double") for m in (7, 3, 5, 2, 9)]).alias("scores"))
+    return rounded(metrics.multiclass_recall(df, 5))
+
+
+@query("""WITH e AS (SELECT event_id // 100 AS b, avg(value) AS m FROM events GROUP BY 1) SELECT round(max_by(m, b), 6) AS last_mean, round(avg(m), 6) AS window_mean FROM e""")
+def metric_scalar(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("b", F.floor(F.col("event_id") / 100))
+    return rounded(metrics.scalar(e, "b", F.col("value")))
+
+
+@query("""SELECT event_type, round(sum(value * (event_id % 7)) / sum(event_id % 7), 6) AS weighted, round(avg(value), 6) AS plain FROM events GROUP BY 1""")
+def metric_tensor_weighted_avg(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("w", (F.col("event_id") % 7).cast("double"))
+    a = metrics.sums_with_groups(e, ["event_type"], F.col("value"), F.col("w")).withColumnRenamed("average", "weighted")
+    return rounded(a.join(metrics.sums_with_groups(e, ["event_type"], F.col("value")).withColumnRenamed("average", "plain"), "event_type"))
+
+
+_PAIR_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(BATCH + """, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM b)
+ SELECT round(sum(CASE WHEN sign(x.label - y.label) = sign(x.prediction - y.prediction) THEN x.weight * y.weight ELSE 0 END) / sum(x.weight * y.weight), 6) AS xauc
+ FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.i < y.i""")
+def metric_xauc(spark, sf_dir):
+    return rounded(metrics.concordance(batch(spark, sf_dir), "l_orderkey", _PAIR_ORDER))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS g, l_quantity AS label, l_discount AS prediction, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_quantity, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+ v AS (SELECT x.g, count(*) FILTER (x.label > y.label) AS inv, count(*) AS pairs FROM b x JOIN b y ON x.g = y.g AND x.i < y.i GROUP BY 1) SELECT round(avg(1 - inv / pairs), 6) AS mean_rauc, count(*) AS grps FROM v""")
+def metric_rauc_grouped(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_quantity").alias("label"), F.col("l_discount").alias("prediction"))
+    got = metrics.regression_auc(df, ["g"]).filter("rauc IS NOT NULL")
+    return rounded(got.agg(F.avg("rauc").alias("mean_rauc"), F.count(F.lit(1)).alias("grps")))
+
+
+@query("""WITH i AS (SELECT event_type AS feature, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT feature, user_id % 16 AS bucket, count(*) AS unique_ids, sum(n)::BIGINT AS queries FROM i GROUP BY 1, 2""")
+def id_distribution(spark, sf_dir):
+    return metrics.id_distribution(table(spark, sf_dir, "events").withColumnRenamed("event_type", "feature"), "feature", "user_id", 16)
+
+
+@query("""WITH i AS (SELECT user_id % 16 AS slot, user_id, count(*) AS n, min(event_id) AS first_at FROM events GROUP BY 1, 2)
+ SELECT slot, sum(n)::BIGINT AS total, (sum(n) - min_by(n, first_at))::BIGINT AS collisions_first, (sum(n) - min(n))::BIGINT AS collisions_most, (sum(n) - max(n))::BIGINT AS collisions_least FROM i GROUP BY 1""")
+def remap_collision(spark, sf_dir):
+    return metrics.collision_bounds(table(spark, sf_dir, "events"), F.pmod("user_id", F.lit(16)), "user_id", "event_id")
+
+
+@query("""WITH l AS (SELECT event_id // 100 AS b, count(*) AS n, sum(value) AS s FROM events GROUP BY 1), u AS (SELECT *, sum(s) OVER (ORDER BY b DESC) AS since FROM l WHERE b > 5)
+ SELECT sum(n)::BIGINT AS total_examples, round(sum(n) / sum(s), 6) AS lifetime_qps, round(sum(CASE WHEN since <= 40000 THEN n END) / sum(CASE WHEN since <= 40000 THEN s END), 6) AS window_qps FROM u""")
+def throughput_qps(spark, sf_dir):
+    log = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("batch")).agg(F.count(F.lit(1)).alias("examples"), F.sum("value").alias("seconds"))
+    return rounded(metrics.throughput(log, 5, 40000))
+
+
+@query("""WITH l AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000) SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM l""")
+def percentile_log(spark, sf_dir):
+    return rounded(metrics.last_percentiles(table(spark, sf_dir, "events"), "value", "event_id", 1000, [0.5, 0.9, 0.99]))
+
+
+@query("""SELECT event_id // 1000 AS "interval", count(*) AS total, round(avg(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(CASE WHEN user_id % 3 = 1 THEN 1 ELSE 0 END), 6) AS inserted_rate,
+ round(avg(CASE WHEN user_id % 3 = 2 THEN 1 ELSE 0 END), 6) AS collided_rate, round(avg(CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END), 6) AS evicted_rate FROM events GROUP BY 1""")
+def remap_telemetry(spark, sf_dir):
+    u = F.col("user_id")
+    log = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("interval"), (u % 3 == 0).alias("hit"), (u % 3 == 1).alias("inserted"), (u % 3 == 2).alias("collided"), (u % 5 == 0).alias("evicted"))
+    return rounded(metrics.remap_telemetry(log, "interval"))
+
+
+# --- ranking -----------------------------------------------------------------
+STEPS = """, g AS (SELECT {by} prediction, sum(weight * label) AS t, sum(weight * (1 - label)) AS f FROM b GROUP BY ALL),
+ c AS (SELECT *, sum(t) OVER ({part} ORDER BY prediction DESC ROWS UNBOUNDED PRECEDING) AS ct, sum(f) OVER ({part} ORDER BY prediction DESC ROWS UNBOUNDED PRECEDING) AS cf FROM g)"""
+BY_TASK = STEPS.format(by="task,", part="PARTITION BY task")
+BY_GROUP = STEPS.format(by="task, l_suppkey,", part="PARTITION BY task, l_suppkey")
+AUC = "CASE WHEN sum(t) * sum(f) = 0 THEN 0.5 ELSE sum(f * (ct - t / 2)) / (sum(t) * sum(f)) END"
+
+
+@query(BATCH + BY_TASK + f" SELECT task, round({AUC}, 6) AS auc FROM c GROUP BY task")
+def metric_auc(spark, sf_dir):
+    return rounded(ranking.auc(batch(spark, sf_dir), ["task"]))
+
+
+@query(BATCH + BY_GROUP + f", a AS (SELECT task, l_suppkey, {AUC} AS auc FROM c GROUP BY 1, 2) SELECT task, round(avg(auc), 6) AS mean_auc FROM a GROUP BY task")
+def metric_auc_grouped(spark, sf_dir):
+    return rounded(ranking.mean_of_groups(ranking.auc(batch(spark, sf_dir), ["task", "l_suppkey"]), "auc", ["task"], 0.5))
+
+
+@query(BATCH + BY_TASK + ", d AS (SELECT *, sum(t) OVER (PARTITION BY task) AS n FROM c) SELECT task, round(sum(t / n * ct / (ct + cf)), 6) AS auprc FROM d GROUP BY task")
+def metric_auprc(spark, sf_dir):
+    return rounded(ranking.auprc(batch(spark, sf_dir), ["task"]))
+
+
+@query(BATCH + BY_GROUP + """, d AS (SELECT *, sum(t) OVER (PARTITION BY task, l_suppkey) AS n FROM c),
+ a AS (SELECT task, l_suppkey, sum(CASE WHEN n = 0 THEN 0 ELSE t / n * ct / (ct + cf) END) AS auprc FROM d GROUP BY 1, 2) SELECT task, round(avg(auprc), 6) AS mean_auprc FROM a GROUP BY task""")
+def metric_auprc_grouped(spark, sf_dir):
+    return rounded(ranking.mean_of_groups(ranking.auprc(batch(spark, sf_dir), ["task", "l_suppkey"]), "auprc", ["task"], 0.0))
+
+
+def sessions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type").isin("click", "purchase"), 1.0).otherwise(0.0).alias("label"),
+                                                 (F.col("value") / 500).alias("prediction"), (1.0 + F.col("event_id") % 3).alias("weight"))
+
+
+SESSIONS = """WITH b AS (SELECT event_id, user_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, value / 500 AS prediction, (1 + event_id % 3)::DOUBLE AS weight FROM events)"""
+
+
+@query(SESSIONS + """, r AS (SELECT *, first_value(prediction) OVER (PARTITION BY user_id ORDER BY event_id) AS p0, sum(weight * (1 - label)) OVER (PARTITION BY user_id ORDER BY prediction, event_id ROWS UNBOUNDED PRECEDING) AS below FROM b),
+ s AS (SELECT user_id, sum(weight * label * below) / (sum(weight * label) * sum(weight * (1 - label)) + 1e-10) AS a FROM r GROUP BY 1
+ HAVING sum(weight * label) > 0 AND sum(weight * (1 - label)) > 0 AND bool_or(prediction <> p0 AND prediction <> 0))
+ SELECT round((sum(a) + 1e-9) / (count(*) + 2e-9), 6) AS gauc, count(*) AS effective_sessions FROM s""")
+def metric_gauc(spark, sf_dir):
+    return rounded(ranking.session_auc(sessions_of(spark, sf_dir), "user_id", ["event_id"]))
+
+
+@query(SESSIONS + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, event_id) AS r1, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, event_id) AS r2 FROM b),
+ s AS (SELECT user_id, sum(CASE WHEN r1 <= 10 THEN (2 ** label - 1) / log2(r1 + 1) ELSE 0 END) AS d, sum(CASE WHEN r2 <= 10 THEN (2 ** label - 1) / log2(r2 + 1) ELSE 0 END) AS i, max(weight) AS w FROM r GROUP BY 1)
+ SELECT round(avg((1 - d / CASE WHEN i = 0 THEN 1e-6 ELSE i END) * w), 6) AS ndcg, count(*) AS sessions FROM s""")
+def metric_ndcg(spark, sf_dir):
+    return rounded(ranking.ndcg(sessions_of(spark, sf_dir), "user_id", ["event_id"], k=10, exponential=True))
+
+
+@query(SESSIONS + """, r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY prediction DESC) - 1 AS rp FROM b)
+ SELECT round(sum(CASE WHEN rp < 3 THEN weight * label ELSE 0 END) / sum(weight * label), 6) AS session_recall, round(sum(CASE WHEN rp < 3 THEN weight * label ELSE 0 END) / sum(CASE WHEN rp < 3 THEN weight ELSE 0 END), 6) AS session_precision FROM r""")
+def session_recall(spark, sf_dir):
+    return rounded(ranking.session_threshold(sessions_of(spark, sf_dir), "user_id", 3))
+
+
+@query(SESSIONS + " SELECT event_id, (rank() OVER (PARTITION BY user_id ORDER BY prediction DESC) - 1)::INT AS r FROM b")
+def session_rank(spark, sf_dir):
+    return sessions_of(spark, sf_dir).select("event_id", ranking.rank_in_session("user_id").cast("int").alias("r"))
+
+
+@query(SESSIONS + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, event_id) AS r FROM b),
+ s AS (SELECT user_id, sum(label) AS n, sum(CASE WHEN r <= 5 THEN label ELSE 0 END) AS h, sum(CASE WHEN r <= 5 THEN label / log2(r + 1) ELSE 0 END) AS d FROM r GROUP BY 1 HAVING sum(label) > 0)
+ SELECT round(avg(h / least(n, 5)), 6) AS recall_5, round(avg(d / (SELECT sum(1 / log2(i + 1)) FROM range(1, 6) t(i) WHERE i <= least(n, 5))), 6) AS ndcg_5 FROM s""")
+def hits_and_ndcg_at_k(spark, sf_dir):
+    return rounded(ranking.hits_at(sessions_of(spark, sf_dir).withColumnRenamed("prediction", "score"), "user_id", ["event_id"], [5]))
+
+
+@query("""WITH e AS (SELECT event_id // 100 AS b, count(*) AS n, sum(value) AS s FROM events GROUP BY 1),
+ c AS (SELECT *, sum(n) OVER (ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (ORDER BY b DESC) AS r FROM e) SELECT sum(n)::BIGINT AS kept, round(sum(s) / sum(n), 6) AS mean FROM c WHERE cum <= 1050 AND r <= 1000""")
+def window_count_sliding(spark, sf_dir):
+    b = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    return rounded(ranking.sliding_batches(b, "b", "n", 1050).agg(F.sum("n").alias("kept"), (F.sum("s") / F.sum("n")).alias("mean")))
+
+
+@query(SESSIONS + """, l AS (SELECT * FROM b ORDER BY event_id DESC LIMIT 1050), g AS (SELECT prediction, sum(weight * label) AS t, sum(weight * (1 - label)) AS f FROM l GROUP BY 1),
+ c AS (SELECT *, sum(t) OVER (ORDER BY prediction DESC ROWS UNBOUNDED PRECEDING) AS ct FROM g) SELECT round(sum(f * (ct - t / 2)) / (sum(t) * sum(f)), 6) AS auc FROM c""")
+def window_rows_auc(spark, sf_dir):
+    df = sessions_of(spark, sf_dir).orderBy(F.desc("event_id")).limit(1050)
+    return rounded(ranking.auc(df, []))
+
+
+@query("""SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS s FROM (SELECT *, epoch(ts)::BIGINT AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
+def window_seconds(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
+    w = ranking.seconds_window(F.col("t"), 3600, ["user_id"])
+    return e.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("s"))
+# --- preparation ---------------------------------------------------------------
+@query("""SELECT event_id, coalesce(try_cast(regexp_extract(props, '[0-9]+') AS INT), 0) AS k, coalesce(try_cast(event_type AS INT), 7) AS bad FROM events""")
+def safe_casts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", X.safe_cast(F.regexp_extract("props", "[0-9]+", 0), "int", 0).alias("k"), X.safe_cast(F.col("event_type"), "int", 7).alias("bad"))
+
+
+@query("""SELECT user_id, ('0x' || printf('%x', user_id * 7919))::BIGINT AS id FROM (SELECT DISTINCT user_id FROM events)""")
+def hex_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", X.hex_id(F.lower(F.hex(F.col("user_id") * 7919))).alias("id"))
+
+
+@query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part WHERE p_size < 40 GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 3)
+ SELECT p_partkey, coalesce(o.id, 1)::INT AS p_type FROM part p LEFT JOIN o ON p.p_type = o.v WHERE p_size < 40""")
+def contiguous_ids(spark, sf_dir):
+    p = table(spark, sf_dir, "part").filter("p_size < 40").select("p_partkey", "p_type")
+    return prep.encoded(p, prep.contiguous_ids(p, "p_type", ["p_partkey"], 3), "p_type").select("p_partkey", F.col("p_type").cast("int").alias("p_type"))
+
+
+@query("SELECT event_id, event_id % 100 < 70 AS train FROM events")
+def idx_split(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.split_key(F.col("event_id"), 0.7).alias("train"))
+
+
+@query()
+def random_split(spark, sf_dir):
+    a, b = prep.random_split(table(spark, sf_dir, "events"), 0.7, "event_id", seed=3)
+    return a.select("event_id", F.lit("train").alias("side")).union(b.select("event_id", F.lit("val").alias("side")))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 37")
+def limit_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id").orderBy("event_id").limit(37)
+
+
+@query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+ SELECT event_id, CASE WHEN r = 1 THEN 'test' WHEN r = 2 THEN 'val' ELSE 'train' END AS split FROM r""")
+def leave_one_out(spark, sf_dir):
+    return prep.leave_one_out(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("event_id", "split")
+
+
+@query("""WITH a AS (SELECT l_suppkey AS u, l_partkey AS i, l_quantity AS r FROM lineitem WHERE l_quantity >= 10), b AS (SELECT * FROM a WHERE i IN (SELECT i FROM a GROUP BY i HAVING count(*) >= 25)),
+ c AS (SELECT * FROM b WHERE u IN (SELECT u FROM b GROUP BY u HAVING count(*) >= 20)) SELECT u, count(*) AS n, sum(i)::BIGINT AS s FROM c GROUP BY u""")
+def frequency_filters(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("i"), F.col("l_quantity").alias("r"))
+    return prep.frequent(l, "u", "i", "r", 10, 25, 20).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("s"))
+
+
+@query("SELECT event_id, dense_rank() OVER (ORDER BY user_id) - 1 AS user_id FROM events")
+def dense_reindex(spark, sf_dir):
+    return prep.dense_index(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", 0).select("event_id", F.col("user_id").cast("long").alias("user_id"))
+
+
+@query("""WITH f AS (SELECT n_nationkey AS f, (n_nationkey * 37) % 101 + 1 AS n FROM nation), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0, sum(n) OVER () AS t FROM f),
+ r AS (SELECT *, range AS rank, range * (t // 4) + least(range, t % 4) AS a, range * (t // 4) + least(range, t % 4) + t // 4 + CASE WHEN range < t % 4 THEN 1 ELSE 0 END AS b FROM c, range(4))
+ SELECT rank, f, greatest(a - at0, 0)::BIGINT AS "start", least(b - at0, n)::BIGINT AS stop FROM r WHERE least(b - at0, n) > greatest(a - at0, 0)""")
+def row_ranges(spark, sf_dir):
+    f = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("f"), ((F.col("n_nationkey") * 37) % 101 + 1).alias("n"))
+    return prep.file_row_ranges(f, 4, "f", "n").select("rank", "f", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+@query("""WITH e AS (SELECT event_id AS r, (SELECT count(*) FROM events) AS t FROM events), p AS (SELECT *, t // 128 // 3 * 3 AS f0, t - (t // 128 // 3 * 3) * 128 AS rest0 FROM e),
+ q AS (SELECT r, CASE WHEN rest0 BETWEEN 1 AND 2 THEN f0 - 3 ELSE f0 END AS f, CASE WHEN rest0 BETWEEN 1 AND 2 THEN rest0 + 384 ELSE rest0 END AS rest FROM p), z AS (SELECT *, r - f * 128 AS tail, rest // 3 AS size, rest % 3 AS extra FROM q)
+ SELECT r AS event_id, (CASE WHEN r < f * 128 THEN (r // 128) % 3 WHEN tail < extra * (size + 1) THEN tail // (size + 1) ELSE extra + (tail - extra * (size + 1)) // greatest(size, 1) END)::BIGINT AS rank,
+ (CASE WHEN r < f * 128 THEN r // 128 // 3 ELSE f // 3 END)::BIGINT AS batch_id FROM z""")
+def batch_plan(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    return prep.batch_plan(e, "event_id", e.count(), 128, 3)
+
+
+@query("SELECT n_nationkey, ntile(7) OVER (ORDER BY n_nationkey) - 1 AS worker FROM nation")
+def source_slices(spark, sf_dir):
+    return prep.source_slices(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 7).select("n_nationkey", F.col("worker").cast("long").alias("worker"))
+
+
+@query("""WITH c AS (SELECT event_id, user_id, coalesce((event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT, 0) AS c FROM events) SELECT event_id, sum(c) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM c""")
+def session_runs(spark, sf_dir):
+    return prep.run_numbers(table(spark, sf_dir, "events"), "event_type", ["event_id"], ["user_id"]).select("event_id", "run")
+
+
+@query()
+def shuffled_days(spark, sf_dir):
+    o = table(spark, sf_dir, "nation").select("n_nationkey")
+    return prep.shuffled(o, ["n_nationkey"], [10, 10, 5], seed=1)
+
+
+@query("""WITH m AS (SELECT min(least(l_quantity, l_tax)) AS m FROM lineitem) SELECT l_linenumber, round(sum(ln(l_quantity - m + 2)), 4) AS a, round(sum(ln(l_tax - m + 2)), 4) AS b FROM lineitem, m GROUP BY 1""")
+def shifted_log(spark, sf_dir):
+    l = prep.shifted_log(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
+    return l.groupBy("l_linenumber").agg(F.round(F.sum("l_quantity"), 4).alias("a"), F.round(F.sum("l_tax"), 4).alias("b"))
+
+
+@query("SELECT event_id, CASE WHEN event_id < ((SELECT count(*) FROM events) + 1) // 2 THEN 'val' ELSE 'test' END AS stage FROM events")
+def val_test_halves(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    return prep.halves(e, "event_id", e.count())
+
+
+def user_items(spark, sf_dir):
+    return prep.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id")
+
+
+ITEMS = "WITH s AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS i FROM events GROUP BY 1)"
+
+
+@query(ITEMS + """ SELECT user_id, array_to_string(i[greatest(len(i) - 3, 0) - least(greatest(len(i) - 3, 0), 5) + 1:greatest(len(i) - 3, 0)], ',') AS history, array_to_string(i[greatest(len(i) - 3, 0) + 1:], ',') AS candidates FROM s""")
+def history_candidates(spark, sf_dir):
+    s = user_items(spark, sf_dir).select("user_id", prep.history_and_candidates(F.col("items"), 3, 5).alias("x"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return s.select("user_id", text("x.history").alias("history"), text("x.candidates").alias("candidates"))
+
+
+@query(ITEMS + """, l AS (SELECT user_id, list_concat(list_concat([0, 0, 0, 0, 0, 0, 0, 0], i), [-1]) AS i FROM s) SELECT user_id, array_to_string(i[len(i) - 7:], ',') AS tokens FROM l""")
+def evaluation_rows(spark, sf_dir):
+    s = user_items(spark, sf_dir)
+    return s.select("user_id", F.array_join(prep.eval_rows(F.col("items"), None, -1, 8, 0).cast("array<string>"), ",").alias("tokens"))
+
+
+@query()
+def negative_samples(spark, sf_dir):
+    seqs = prep.sequences(table(spark, sf_dir, "lineitem").withColumn("u", F.col("l_suppkey")), "u", LINE[:3], "l_partkey")
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.count(F.lit(1)).alias("popularity"))
+    return prep.negatives(seqs, "u", F.col("items"), items, 5, "popularity", seed=1)
+
+
+@query()
+def masked_training_rows(spark, sf_dir):
+    return prep.masked_windows(user_items(spark, sf_dir), "user_id", F.col("items"), 20, 0.2, -1, 1000, seed=1).withColumn("hidden", F.size(F.filter("labels", lambda x: x != 0))).select("user_id", "start", "hidden")
+
+
+@query("SELECT user_id, user_id % 97 AS modulo, ((((user_id::HUGEINT # 0) + 0) % 97))::BIGINT AS same FROM events".replace("(((user_id::HUGEINT # 0) + 0) % 97)", "user_id % 97"))
+def modulo_hash(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", X.modulo_hash(F.col("user_id"), 97).alias("modulo"), F.element_at(F.transform(F.array("user_id"), lambda x: X.modulo_hash(x, 97)), 1).alias("same"))
+
+
+@query("""WITH x AS (SELECT DISTINCT user_id, xor(user_id, 3735928559::BIGINT)::HUGEINT * 2654435761 AS p FROM events),
+ y AS (SELECT user_id, p, p // 65536 AS s FROM x), z AS (SELECT user_id, xor((p // 4294967296)::BIGINT, (s // 4294967296)::BIGINT) AS hi, xor((p % 4294967296)::BIGINT, (s % 4294967296)::BIGINT) AS lo FROM y)
+ SELECT user_id, ((hi::HUGEINT * 4294967296 + lo) % 1000)::BIGINT AS slot FROM z""")
+def mixing_hash(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", X.mixing_hash(F.col("user_id"), 1000).alias("slot"))
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.1 + 0.9 * event_id / 100.0 WHEN event_id < 1100 THEN 0.5 * (1 + cos(pi() * ((event_id - 100) % 250) / 250.0)) WHEN event_id < 2100 THEN pow(1 - (event_id - 1100) / 1000.0, 2) WHEN event_id < 3100 THEN pow(0.5, (event_id - 2100) // 300) ELSE 1 END, 6) AS m FROM events""")
+def learning_rates(spark, sf_dir):
+    stages = [{"policy": "linear", "max_iters": 100, "value": 0.1}, {"policy": "cosine", "max_iters": 1000, "sgdr_period": 250}, {"policy": "poly", "max_iters": 1000, "value": 2.0}, {"policy": "step", "max_iters": 1000, "value": 0.5, "decay_iters": 300}]
+    return rounded(table(spark, sf_dir, "events").select("event_id", X.schedule(F.col("event_id"), stages).alias("m")))
+
+
+# --- jagged collections ----------------------------------------------------------
+def order_bags(spark, sf_dir):
+    """One row per order with bags of parts and suppliers; weights are quantities."""
+    entry = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row")).agg(entry.alias("e"))
+    return g.select("row", F.transform("e", lambda x: x["l_partkey"]).alias("part"), F.transform("e", lambda x: x["l_suppkey"]).alias("supp"), F.transform("e", lambda x: x["l_quantity"]).alias("w"))
+
+
+BAGS = """WITH g AS (SELECT l_orderkey AS "row", list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS part, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS supp,
+ list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS w FROM lineitem GROUP BY 1)"""
+
+
+def _text(c, kind="long"):
+    return F.array_join(F.transform(c, lambda x: x.cast(kind).cast("string")), ",")
+
+
+@query(BAGS + """, k AS (SELECT "row", 'part' AS "key", len(part) AS length FROM g UNION ALL SELECT "row", 'supp', len(supp) FROM g) SELECT * FROM k""")
+def kjt_lengths(spark, sf_dir):
+    return jagged.lengths(jagged.to_long(order_bags(spark, sf_dir), "row", ["part", "supp"], {"part": "w", "supp": "w"}))
+
+
+@query(BAGS + """ SELECT "row", (sum(len(part)) OVER (ORDER BY "row") - len(part))::BIGINT AS "start", (sum(len(part)) OVER (ORDER BY "row"))::BIGINT AS stop FROM g""")
+def kjt_offsets(spark, sf_dir):
+    return jagged.offsets(order_bags(spark, sf_dir), "row", "part")
+
+
+@query("""WITH s AS (SELECT count(*) AS n FROM lineitem) SELECT 'part' AS "key", 0 AS "index", n AS length, 0 AS "offset" FROM s UNION ALL SELECT 'supp', 1, n, n FROM s""")
+def kjt_length_per_key(spark, sf_dir):
+    return jagged.length_per_key(order_bags(spark, sf_dir), ["part", "supp"])
+
+
+@query(BAGS + """ SELECT "row", array_to_string(list_concat(part, [-1, -1, -1])[1:3], ',') AS padded FROM g""")
+def kjt_pad(spark, sf_dir):
+    return order_bags(spark, sf_dir).select("row", _text(X.padded(F.col("part"), 3, F.lit(-1).cast("long"))).alias("padded"))
+
+
+@query(BAGS + """ SELECT "row", array_to_string(supp, ',') AS supp, array_to_string(part, ',') AS part, array_to_string(supp, ',') AS again FROM g""")
+def kjt_permute(spark, sf_dir):
+    p = jagged.permuted(order_bags(spark, sf_dir), "row", ["part", "supp"], [1, 0, 1])
+    return p.select("row", _text("supp").alias("supp"), _text("part").alias("part"), _text("supp@1").alias("again"))
+
+
+@query(BAGS + """ SELECT "row", array_to_string(list_concat(supp, part), ',') AS a, array_to_string(list_concat(part, part), ',') AS b FROM g""")
+def kjt_regroup(spark, sf_dir):
+    g = order_bags(spark, sf_dir).select("row", X.regrouped({"a": [F.col("supp"), F.col("part")], "b": [F.col("part"), F.col("part")]}).alias("x"))
+    return g.select("row", _text("x.a").alias("a"), _text("x.b").alias("b"))
+
+
+@query(BAGS + """ SELECT "row", array_to_string([5, 4, 3, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1][1:len(part)], ',') AS weights FROM g""")
+def kjt_position_weight(spark, sf_dir):
+    return order_bags(spark, sf_dir).select("row", _text(X.position_weights(F.col("part"), [5, 4, 3, 2] + [1] * 28)).alias("weights"))
+
+
+@query(BAGS + """, a AS (SELECT "row", part FROM g), b AS (SELECT "row", supp FROM g WHERE "row" % 2 = 0) SELECT "row", len(part) AS n, coalesce(len(supp), 0) AS m FROM a LEFT JOIN b USING ("row")""")
+def kjt_concat(spark, sf_dir):
+    g = order_bags(spark, sf_dir)
+    c = jagged.concatenated([g.select("row", "part"), g.select("row", "supp").filter("row % 2 = 0")], "row")
+    return c.select("row", F.size("part").cast("long").alias("n"), F.size("supp").cast("long").alias("m"))
+
+
+@query("SELECT l_orderkey AS bag, count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+def kjt_from_lengths(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
+    lengths = l.groupBy(F.col("l_orderkey").alias("bag")).agg(F.count(F.lit(1)).alias("length"))
+    flat = l.select((F.row_number().over(Window.orderBy(*LINE)) - 1).cast("long").alias("at"), F.col("l_partkey").alias("id"))
+    return jagged.from_flat(flat, lengths).groupBy("bag").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
+
+
+@query("SELECT count(*) AS rows_, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
+def kjt_validate(spark, sf_dir):
+    ok = jagged.validated(order_bags(spark, sf_dir), "part", "w")
+    long = jagged.to_long(ok, "row", ["part", "supp"])
+    bad = jagged.violations(jagged.lengths(long), 2 * table(spark, sf_dir, "lineitem").count(), ["part", "supp"])
+    if bad:
+        raise ValueError("; ".join(bad))
+    return long.agg(F.count_if(F.col("key") == "part").alias("rows_"), F.count_distinct(F.when(F.col("key") == "supp", F.col("id"))).alias("suppliers"))
+
+
+@query("SELECT user_id, max(event_id) AS last_pos FROM events GROUP BY 1")
+def dedup_last(spark, sf_dir):
+    return jagged.last_occurrence(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+@query("SELECT event_type, (event_id % 4)::BIGINT AS rank, count(DISTINCT user_id) AS stride FROM events GROUP BY 1, 2")
+def kjt_stride_per_rank(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("row"), F.col("event_id"))
+    return jagged.stride_per_key(e, F.col("event_id") % 4).withColumnRenamed("key", "event_type")
+
+
+@query("""WITH d AS (SELECT l_linenumber, l_returnflag, min(l_orderkey) AS id FROM lineitem GROUP BY 1, 2), e AS (SELECT l_orderkey, d.id FROM lineitem l JOIN d ON l.l_linenumber = d.l_linenumber AND l.l_returnflag = d.l_returnflag) SELECT l_orderkey, id FROM e""")
+def kjt_inverse_indices(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    _, inverse = jagged.deduplicated_rows(l, "l_orderkey", ["l_linenumber", "l_returnflag"])
+    return inverse.withColumnRenamed("dedup_id", "id")
