@@ -299,7 +299,7 @@ def window_rows_auc(spark, sf_dir):
     return rounded(ranking.auc(df, []))
 
 
-@query("""SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS s FROM (SELECT *, epoch(ts)::BIGINT AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
+@query("""SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS s FROM (SELECT *, floor(epoch(ts))::BIGINT AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""")
 def window_seconds(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
     w = ranking.seconds_window(F.col("t"), 3600, ["user_id"])
@@ -434,7 +434,7 @@ def masked_training_rows(spark, sf_dir):
     return prep.masked_windows(user_items(spark, sf_dir), "user_id", F.col("items"), 20, 0.2, -1, 1000, seed=1).withColumn("hidden", F.size(F.filter("labels", lambda x: x != 0))).select("user_id", "start", "hidden")
 
 
-@query("SELECT user_id, user_id % 97 AS modulo, ((((user_id::HUGEINT # 0) + 0) % 97))::BIGINT AS same FROM events".replace("(((user_id::HUGEINT # 0) + 0) % 97)", "user_id % 97"))
+@query("SELECT user_id, user_id % 97 AS modulo, user_id % 97 AS same FROM events")
 def modulo_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", X.modulo_hash(F.col("user_id"), 97).alias("modulo"), F.element_at(F.transform(F.array("user_id"), lambda x: X.modulo_hash(x, 97)), 1).alias("same"))
 
@@ -546,3 +546,413 @@ def kjt_inverse_indices(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     _, inverse = jagged.deduplicated_rows(l, "l_orderkey", ["l_linenumber", "l_returnflag"])
     return inverse.withColumnRenamed("dedup_id", "id")
+
+
+# --- lookups -------------------------------------------------------------------
+def vectors_of(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vec"))
+
+
+def id_bags(spark, sf_dir, n: int = 500):
+    """Long bags (row, key, pos, id, weight) of the orders below 2000."""
+    bags = order_bags(spark, sf_dir).filter("row < 2000")
+    long = jagged.to_long(bags, "row", ["part", "supp"], {"part": "w", "supp": "w"})
+    return long.withColumn("id", F.pmod("id", F.lit(n)))
+
+
+LONG = """WITH l AS (SELECT l_orderkey AS "row", 'part' AS "key", l_partkey % 500 AS id, l_quantity AS weight, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem WHERE l_orderkey < 2000
+ UNION ALL SELECT l_orderkey, 'supp', l_suppkey % 500, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 FROM lineitem WHERE l_orderkey < 2000),
+ e AS (SELECT vec_id AS id, unnest(embedding[1:8]) AS x, unnest(range(8)) AS dim FROM embeddings), j AS (SELECT l.*, e.dim, e.x::DOUBLE AS x FROM l JOIN e USING (id))"""
+
+
+def _elements(df, *by):
+    return df.select(*by, F.posexplode("vec").alias("dim", "v")).withColumn("dim", F.col("dim").cast("long")).withColumn("v", F.round("v", 4))
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
+def ebc_sum(spark, sf_dir):
+    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir)), "row", "key")
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(avg(x), 4) AS v FROM j GROUP BY ALL""")
+def ebc_mean(spark, sf_dir):
+    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), "mean"), "row", "key")
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
+def ebc_sum_folded(spark, sf_dir):
+    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=8, dedup=True), "row", "key")
+
+
+@query(LONG + """, c AS (SELECT "row", CASE WHEN "key" = 'part' THEN dim ELSE dim + 8 END AS dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL) SELECT * FROM c""")
+def ebc_concatenated(spark, sf_dir):
+    p = lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=8)
+    return _elements(lookup.concatenated_keys(p, ["part", "supp"], 8), "row")
+
+
+@query(LONG + """ SELECT "row", "key", pos::BIGINT AS pos, round(sum(x), 4) AS s FROM j GROUP BY ALL""")
+def ec_sequence(spark, sf_dir):
+    s = lookup.sequence_lookup(id_bags(spark, sf_dir), vectors_of(spark, sf_dir))
+    return s.select("row", "key", F.posexplode("vecs").alias("pos", "v")).select("row", "key", F.col("pos").cast("long").alias("pos"), F.round(X.total(F.col("v")), 4).alias("s"))
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(sum(x * CASE pos WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END), 4) AS v FROM j GROUP BY ALL""")
+def ebc_position_weighted(spark, sf_dir):
+    long = id_bags(spark, sf_dir).withColumn("weight", F.when(F.col("pos") == 0, 3.0).when(F.col("pos") == 1, 2.0).otherwise(1.0))
+    return _elements(lookup.pooled(long, vectors_of(spark, sf_dir)), "row", "key")
+
+
+QUANT = LONG.replace("j AS (", "q AS (SELECT id, dim, x, min(x::DOUBLE) OVER (PARTITION BY id) AS lo, (max(x::DOUBLE) OVER (PARTITION BY id) - min(x::DOUBLE) OVER (PARTITION BY id)) / 255 AS sc FROM e), j AS (").replace("e.dim, e.x::DOUBLE AS x FROM l JOIN e", "q.dim, round((q.x::DOUBLE - lo) / sc) * sc + lo AS x FROM l JOIN q")
+
+
+@query(QUANT + """ SELECT "row", "key", dim, round(sum(x * weight), 3) AS v FROM j GROUP BY ALL""")
+def quant_lookup(spark, sf_dir):
+    q = lookup.dequantized(lookup.quantized(vectors_of(spark, sf_dir), 8))
+    return lookup.pooled(id_bags(spark, sf_dir), q).select("row", "key", F.posexplode("vec").alias("dim", "v")).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 3).alias("v"))
+
+
+@query("""WITH c AS (SELECT 't' || (n_nationkey % 4) AS "table", 'f' || (n_nationkey % 7) AS feature FROM nation), d AS (SELECT DISTINCT * FROM c) SELECT "table", feature, CASE WHEN count(*) OVER (PARTITION BY feature) > 1 THEN feature || '@' || "table" ELSE feature END AS name FROM d""")
+def shared_table_names(spark, sf_dir):
+    n = F.col("n_nationkey")
+    c = table(spark, sf_dir, "nation").select(F.concat(F.lit("t"), n % 4).alias("table"), F.concat(F.lit("f"), n % 7).alias("feature")).distinct()
+    return lookup.shared_names(c)
+
+
+@query("""WITH u AS (SELECT user_id AS id, max_by(value, event_id) AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1), p AS (SELECT DISTINCT user_id AS id FROM events) SELECT p.id, coalesce(u.value, 0.0) AS value FROM p LEFT JOIN u USING (id)""")
+def pool_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    pool = e.select(F.col("user_id").alias("id")).distinct().withColumn("value", F.lit(0.0))
+    return lookup.pool_update(pool, e.filter("user_id % 2 = 0").select(F.col("user_id").alias("id"), "value", "event_id"), "event_id")
+
+
+@query("SELECT e.event_id, c.c_acctbal AS value FROM events e JOIN customer c ON e.user_id = c.c_custkey")
+def pool_lookup(spark, sf_dir):
+    pool = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    ids = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"))
+    return lookup.pool_lookup(pool, ids, 1 << 40).select("event_id", "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+def ratings_join(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_extendedprice")
+    m = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.col("p_partkey").alias("at"))
+    return lookup.ratings_with_movies(r, m, "p_partkey", "at").withColumnRenamed("p_partkey", "l_partkey")
+
+
+@query("""WITH d AS (SELECT q.vec_id AS query, c.vec_id AS id, pow(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS d FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 7 AND c.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM d) SELECT query, id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5""")
+def knn_exact(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return rounded(lookup.block_nearest(v, v.filter("id % 100 = 7"), 5, 64))
+
+
+E3 = """WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS a, embedding[5:8]::DOUBLE[] AS b, embedding[9:12]::DOUBLE[] AS c FROM embeddings)"""
+DOT = "({0}[1] * {1}[1] + {0}[2] * {1}[2] + {0}[3] * {1}[3] + {0}[4] * {1}[4])"
+
+
+def features3(spark, sf_dir):
+    part = lambda k: F.transform(F.slice("embedding", k, 4), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("a"), part(5).alias("b"), part(9).alias("c"))
+
+
+@query(E3 + f" SELECT vec_id, round({DOT.format('a', 'b')}, 6) AS ab, round({DOT.format('a', 'c')}, 6) AS ac, round({DOT.format('b', 'c')}, 6) AS bc FROM e")
+def dot_interaction(spark, sf_dir):
+    d = features3(spark, sf_dir).select("vec_id", X.pairwise_dots([F.col(c) for c in "abc"]).alias("d"))
+    return rounded(d.select("vec_id", F.col("d")[0].alias("ab"), F.col("d")[1].alias("ac"), F.col("d")[2].alias("bc")))
+
+
+@query(E3 + f" SELECT vec_id, round({DOT.format('a', 'b')} + {DOT.format('a', 'c')} + {DOT.format('b', 'c')}, 6) AS fm FROM e")
+def fm_interaction(spark, sf_dir):
+    return rounded(features3(spark, sf_dir).select("vec_id", X.factorization([F.col(c) for c in "abc"]).alias("fm")))
+
+
+@query(E3 + f" SELECT vec_id, round({DOT.format('a', 'b')}, 6) AS score FROM e")
+def two_tower_score(spark, sf_dir):
+    return rounded(features3(spark, sf_dir).select("vec_id", X.dot(F.col("a"), F.col("b")).alias("score")))
+
+
+@query(E3 + """ SELECT vec_id, round(a[1] * (0.5 * a[1] + 0.25 * a[2] + 0.1) + a[1], 6) AS c0, round(a[2] * (0.25 * a[3] - 0.5 * a[4] + 0.2) + a[2], 6) AS c1 FROM e""")
+def cross_layer(spark, sf_dir):
+    w = [[0.5, 0.25, 0, 0], [0, 0, 0.25, -0.5], [0, 0, 0, 1], [1, 0, 0, 0]]
+    e = features3(spark, sf_dir).select("vec_id", X.cross_layer(F.col("a"), F.col("a"), w, [0.1, 0.2, 0, 0]).alias("x"))
+    return rounded(e.select("vec_id", F.col("x")[0].alias("c0"), F.col("x")[1].alias("c1")))
+
+
+@query(E3 + """ SELECT vec_id, round(a[1] * (a[1] - a[2] + 0.5 * a[3]) + 0.1 + a[1], 6) AS v0, round(a[1] * (2 * (a[1] + a[2]) - (a[3] + a[4])) + a[1], 6) AS l0 FROM e""")
+def cross_layer_variants(spark, sf_dir):
+    a = F.col("a")
+    e = features3(spark, sf_dir).select("vec_id", X.vector_cross_layer(a, a, [1, -1, 0.5, 0], [0.1, 0, 0, 0]).alias("v"), X.low_rank_cross_layer(a, a, [[1, 1, 0, 0], [0, 0, 1, 1]], [[2, -1], [0, 1], [1, 0], [0, 0]], [0, 0, 0, 0]).alias("l"))
+    return rounded(e.select("vec_id", F.col("v")[0].alias("v0"), F.col("l")[0].alias("l0")))
+
+
+@query(E3 + """ SELECT vec_id, round(greatest(a[1] - a[2] + 0.05, 0) * 2 - greatest(a[3] + a[4], 0) + 0.5, 6) AS logit FROM e""")
+def mlp_score(spark, sf_dir):
+    layers = [([[1, -1, 0, 0], [0, 0, 1, 1]], [0.05, 0.0]), ([[2, -1]], [0.5])]
+    return rounded(features3(spark, sf_dir).select("vec_id", X.mlp(F.col("a"), layers, last=False)[0].alias("logit")))
+
+
+@query(E3 + """, m AS (SELECT vec_id, a, (a[1] + a[2] + a[3] + a[4]) / 4 AS m FROM e), v AS (SELECT *, ((a[1] - m) * (a[1] - m) + (a[2] - m) * (a[2] - m) + (a[3] - m) * (a[3] - m) + (a[4] - m) * (a[4] - m)) / 4 AS v FROM m)
+ SELECT vec_id, round(a[1] / (1 + exp(-(a[1] - m) / sqrt(v + 1e-5))), 6) AS s0 FROM v""")
+def swish_layer_norm(spark, sf_dir):
+    return rounded(features3(spark, sf_dir).select("vec_id", X.swish_layer_norm(F.col("a"))[0].alias("s0")))
+
+
+@query()
+def click_model_forward(spark, sf_dir):
+    """Pooled bags and dense features through interaction and a final layer."""
+    p = lookup.concatenated_keys(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), "mean", dim=8), ["part", "supp"], 8)
+    a, b = F.slice("vec", 1, 8), F.slice("vec", 9, 8)
+    x = F.concat("vec", X.pairwise_dots([a, b]))
+    return rounded(p.select("row", X.sigmoid(X.mlp(x, [([[0.5] * 17, [-0.5] * 17], [0.1, 0.1]), ([[1, -1]], [0])], last=False)[0]).alias("p")))
+
+
+# --- remapping -------------------------------------------------------------------
+def id_counts(spark, sf_dir, where: str = "TRUE"):
+    return table(spark, sf_dir, "events").filter(where).groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("SELECT user_id AS id, count(*) AS n, max(event_id // 100) AS last FROM events GROUP BY 1")
+def coalesce_history(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("event_id") / 100)).alias("last"))
+
+
+C = "WITH c AS (SELECT user_id AS id, count(*) AS count FROM events GROUP BY 1)"
+
+
+@query(C + " SELECT id, count FROM c WHERE count > (SELECT avg(count) FROM c)")
+def admission_average(spark, sf_dir):
+    return remap.admitted(id_counts(spark, sf_dir), "average")
+
+
+@query(C + " SELECT id, count FROM c WHERE count > 1.2 * (SELECT avg(count) FROM c)")
+def admission_dynamic(spark, sf_dir):
+    return remap.admitted(id_counts(spark, sf_dir), "dynamic", 1.2)
+
+
+@query()
+def admission_probabilistic(spark, sf_dir):
+    return remap.admitted(id_counts(spark, sf_dir), "probabilistic", 0.01)
+
+
+def _state(spark, sf_dir, size):
+    """A state after the first half of the events."""
+    empty = spark.createDataFrame([], "id long, slot long, count long, last int")
+    return remap.updated(empty, id_counts(spark, sf_dir, "event_id % 2 = 0"), size, "lfu", 0)
+
+
+LFU = """WITH a AS (SELECT user_id AS id, count(*) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT id, c, row_number() OVER (ORDER BY c DESC, id) - 1 AS slot FROM a QUALIFY slot < 39),
+ b AS (SELECT user_id AS id, count(*) AS c FROM events WHERE event_id % 2 = 1 GROUP BY 1), j AS (SELECT coalesce(s.id, b.id) AS id, s.slot, coalesce(s.c, 0) + coalesce(b.c, 0) AS c FROM s FULL JOIN b ON s.id = b.id),
+ r AS (SELECT *, row_number() OVER (ORDER BY c DESC, (slot IS NULL)::INT, slot, id) <= 39 AS keep FROM j), f AS (SELECT range AS slot, row_number() OVER (ORDER BY range) AS k FROM range(39) WHERE range NOT IN (SELECT slot FROM r WHERE keep AND slot IS NOT NULL)),
+ n AS (SELECT id, c, row_number() OVER (ORDER BY c DESC, id) AS k FROM r WHERE keep AND slot IS NULL), t AS (SELECT id, slot, c FROM r WHERE keep AND slot IS NOT NULL UNION ALL SELECT n.id, f.slot, n.c FROM n JOIN f USING (k))"""
+
+
+@query(LFU + " SELECT id, slot::BIGINT AS slot, c::BIGINT AS count FROM t")
+def lfu_evict(spark, sf_dir):
+    return remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lfu", 1).select("id", "slot", "count")
+
+
+@query(LFU + " SELECT event_id, coalesce(t.slot, 39)::BIGINT AS slot FROM events LEFT JOIN t ON user_id = id")
+def remap_lookup(spark, sf_dir):
+    state = remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lfu", 1)
+    return remap.remapped(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id")), state, 40).select("event_id", "slot")
+
+
+@query(LFU + " SELECT 39 - count(*) AS open_slots FROM t")
+def remap_open_slots(spark, sf_dir):
+    return remap.open_slots(remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lfu", 1), 40)
+
+
+@query()
+def lru_evict(spark, sf_dir):
+    return remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lru", 1, 1.0)
+
+
+@query()
+def distance_lfu_evict(spark, sf_dir):
+    return remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "distance_lfu", 1, 1.0)
+
+
+@query("SELECT user_id % 16 AS slot, min_by(user_id, event_id) AS owner, count(*) AS queries FROM events GROUP BY 1")
+def modulo_remap(spark, sf_dir):
+    return remap.modulo_owner(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id"), 16, "event_id")
+
+
+@query()
+def multi_probe_remap(spark, sf_dir):
+    hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
+    return remap.probed(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), hours.alias("hour")), 64, 4, 8, 24)
+
+
+@query("""SELECT event_id, floor(epoch(ts) / 3600)::BIGINT + CASE event_type WHEN 'click' THEN 24 WHEN 'purchase' THEN 72 ELSE 6 END AS expires FROM events""")
+def ttl_scores(spark, sf_dir):
+    hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
+    ttl = F.when(F.col("event_type") == "click", 24).when(F.col("event_type") == "purchase", 72).otherwise(6)
+    return table(spark, sf_dir, "events").select("event_id", remap.ttl_score(hours, ttl).alias("expires"))
+
+
+@query(C + " SELECT id, row_number() OVER (ORDER BY count DESC, id) - 1 AS slot FROM c QUALIFY slot < 20")
+def prune_map(spark, sf_dir):
+    return remap.prune_map(id_counts(spark, sf_dir), 20).withColumn("slot", F.col("slot").cast("long"))
+
+
+@query("SELECT event_id, event_id > 100 AND (event_id - 100) % 1001 = 0 AS due FROM events")
+def prune_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", remap.prune_due(F.col("event_id"), 1001, 100).alias("due"))
+
+
+@query("""WITH s AS (SELECT user_id AS id, count(*) AS c, max(event_id // 1000) AS l FROM events GROUP BY 1) SELECT id, c < 100 AS by_count, 9 - l > 0 AS by_time, c * pow(0.5, 9 - l) < 90 AS by_score FROM s""")
+def table_eviction(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("count"), F.max(F.floor(F.col("event_id") / 1000)).alias("last"))
+    now = F.lit(9)
+    return s.select("id", remap.evicted_by("count", now, least=100).alias("by_count"), remap.evicted_by("timestamp", now, ttl=0).alias("by_time"), remap.evicted_by("score", now, rate=0.5, least=90).alias("by_score"))
+
+
+def deltas(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("batch_idx"), F.col("value").alias("state"))
+
+
+@query("SELECT user_id AS id, min_by(value, event_id) AS first, max_by(value, event_id) AS last, count(*) AS times FROM events GROUP BY 1")
+def delta_unique(spark, sf_dir):
+    d = deltas(spark, sf_dir)
+    a = remap.unique_rows(d, "first").withColumnRenamed("state", "first")
+    return a.join(remap.unique_rows(d, "last").withColumnRenamed("state", "last"), "id").join(remap.unique_rows(d, "none"), "id")
+
+
+@query("""WITH i AS (SELECT user_id AS id, 100::BIGINT AS batch_idx, max_by(value, event_id) AS state FROM events WHERE event_id >= 100 AND event_id < 900 GROUP BY 1) SELECT * FROM i UNION ALL SELECT user_id, event_id, value FROM events WHERE event_id < 100 OR event_id >= 900""")
+def delta_compacted(spark, sf_dir):
+    return remap.compacted(deltas(spark, sf_dir), 100, 900)
+
+
+@query("SELECT user_id AS id, max_by(value, event_id) AS state FROM events WHERE event_id > 5000 GROUP BY 1")
+def delta_since_cursor(spark, sf_dir):
+    tracker = remap.DeltaTracker(deltas(spark, sf_dir))
+    tracker.cursors["serving"] = 5000
+    return tracker.read("serving")
+
+
+# --- layout ------------------------------------------------------------------------
+@query(LONG.split(", e AS")[0] + """ SELECT "row", "key", pos::BIGINT AS pos, least(id // 130, 3)::INT AS bucket, id - least(id // 130, 3) * 130 AS local_id, (row_number() OVER (PARTITION BY "row", "key", least(id // 130, 3) ORDER BY pos) - 1)::INT AS bucket_pos FROM l""")
+def bucketize_rows(spark, sf_dir):
+    return layout.bucketized(id_bags(spark, sf_dir), 130, 4).select("row", "key", F.col("pos").cast("long").alias("pos"), "bucket", "local_id", "bucket_pos")
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
+def row_sharded_lookup(spark, sf_dir):
+    long = layout.bucketized(id_bags(spark, sf_dir), 130, 4)
+    parts = lookup.matched(layout.exchanged(long, "bucket"), vectors_of(spark, sf_dir)).select("row", "key", "bucket", F.posexplode("vec").alias("dim", "x"), "weight")
+    partial = parts.groupBy("row", "key", "bucket", "dim").agg(F.sum(F.col("x").cast("double") * F.col("weight")).alias("v"))
+    return layout.reduced_scatter(partial, ["row", "key", "dim"], ["v"]).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 4).alias("v"))
+
+
+@query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
+def column_sharded_lookup(spark, sf_dir):
+    shards = layout.column_shards(8, 3)
+    whole = None
+    for i, c in enumerate(layout.column_slices(F.col("vec"), shards)):
+        p = lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir).select("id", c.alias("vec"))).withColumnRenamed("vec", f"v{i}")
+        whole = p if whole is None else whole.join(p, ["row", "key"])
+    return _elements(whole.select("row", "key", F.concat(*[f"v{i}" for i in range(len(shards))]).alias("vec")), "row", "key")
+
+
+@query("""SELECT n_name AS "table", range AS rank, least(ceil((100 + n_nationkey * 37) / 8.0)::BIGINT, 100 + n_nationkey * 37 - least(range * ceil((100 + n_nationkey * 37) / 8.0)::BIGINT, 100 + n_nationkey * 37)) AS shard_rows,
+ least(range * ceil((100 + n_nationkey * 37) / 8.0)::BIGINT, 100 + n_nationkey * 37) AS "offset" FROM nation, range(8)""")
+def shard_offsets(spark, sf_dir):
+    c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("table"), (100 + F.col("n_nationkey") * 37).cast("long").alias("rows"))
+    return layout.shard_table(c, 8)
+
+
+def table_config(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("table"), (1000 + n * 500).cast("long").alias("rows"), F.element_at(F.array(F.lit(8), F.lit(16), F.lit(64)), n % 3 + 1).alias("dim"),
+                                                 F.lit(4).alias("bytes"), F.when(n % 2 == 0, "sum").otherwise("mean").alias("pooling"), F.lit("fp32").alias("dtype"), (1.0 + n % 5).alias("pooling_factor"), F.lit(256).alias("batch"))
+
+
+CONFIG = """WITH c AS (SELECT n_name AS "table", 1000 + n_nationkey * 500 AS "rows", [8, 16, 64][n_nationkey % 3 + 1] AS dim, CASE WHEN n_nationkey % 2 = 0 THEN 'sum' ELSE 'mean' END AS pooling, 'fp32' AS dtype FROM nation)"""
+
+
+@query(CONFIG + """ SELECT dtype, pooling, dim::INT AS dim, count(*) AS tables, sum("rows")::BIGINT AS "rows", string_agg("table", ',' ORDER BY "table") AS names FROM c GROUP BY 1, 2, 3""")
+def table_groups(spark, sf_dir):
+    return layout.grouped_tables(table_config(spark, sf_dir))
+
+
+@query(CONFIG + """ SELECT "table", ceil(dim * 4 / 128.0)::INT AS bucket FROM c""")
+def dim_buckets(spark, sf_dir):
+    return layout.dim_buckets(table_config(spark, sf_dir), 128).select("table", "bucket")
+
+
+@query("""WITH o AS (SELECT n_name AS "table", n_nationkey % 3 AS rank FROM nation), w AS (SELECT n_name AS "table", n_nationkey % 4 AS rank FROM nation) SELECT "table", rank::INT AS rank FROM w EXCEPT ALL SELECT "table", rank::INT FROM o""")
+def plan_delta(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    plan = lambda k: n.select(F.col("n_name").alias("table"), (F.col("n_nationkey") % k).cast("int").alias("rank"))
+    return layout.plan_delta(plan(3), plan(4))
+
+
+@query("""SELECT 0 AS request, n_nationkey AS id, 1.5 AS dense FROM nation UNION ALL SELECT 1, r_regionkey, 0.0 FROM region""")
+def request_batching(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(1.5).alias("dense"))
+    b = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
+    return layout.requests_batched([a, b], {"id": F.lit(-1), "dense": F.lit(0.0)})
+
+
+# --- planner -----------------------------------------------------------------------
+TOPOLOGY = planner.Topology(world=4, memory=8e6)
+
+
+@query(CONFIG + """, o AS (SELECT * FROM (VALUES ('data_parallel', 'dense'), ('table_wise', 'dense'), ('table_wise', 'fused'), ('row_wise', 'dense'), ('row_wise', 'fused'), ('column_wise', 'dense'), ('column_wise', 'fused')) t(sharding, kernel))
+ SELECT "table", sharding, kernel, (CASE WHEN sharding IN ('row_wise', 'data_parallel') THEN 4 WHEN sharding = 'column_wise' THEN greatest(1, least(4, dim // 4)) ELSE 1 END)::INT AS shards FROM c, o""")
+def plan_options(spark, sf_dir):
+    return planner.enumerated(table_config(spark, sf_dir), TOPOLOGY).select("table", "sharding", "kernel", "shards")
+
+
+@query()
+def plan_tables(spark, sf_dir):
+    chosen, placed = planner.planned(table_config(spark, sf_dir), TOPOLOGY)
+    rows = [(o["table"], o["sharding"], o["kernel"], i, placed.where[o["table"], i]) for o in chosen for i in range(o["shards"])]
+    return spark.createDataFrame(rows, "table string, sharding string, kernel string, shard int, rank int")
+
+
+@query(C + """, h AS (SELECT sum(count) AS hits FROM (SELECT count FROM c ORDER BY count DESC, id LIMIT 10)) SELECT sum(count)::BIGINT AS lookups, count(*) AS ids, round(1 - max(hits) / sum(count), 6) AS miss_rate FROM c, h""")
+def cache_miss_rate(spark, sf_dir):
+    return rounded(planner.cache_stats(id_counts(spark, sf_dir), 10))
+
+
+@query(C + """, w AS (SELECT count::DOUBLE / sum(count) OVER () AS p, 1.0 / count(*) OVER () AS q FROM c) SELECT round(0.5 * sum(abs(p - q)), 6) AS total_variation, round(sum((p - q) * (p - q) / q), 6) AS chi_square, round(sum(p * log2(p / q)), 6) AS kl_divergence FROM w""")
+def plan_imbalance(spark, sf_dir):
+    return rounded(planner.imbalance(id_counts(spark, sf_dir), "count"))
+
+
+# --- sources and streams -------------------------------------------------------------
+@query()
+def random_examples(spark, sf_dir):
+    return readers.random_examples(spark, ["f1", "f2"], 1000, [100, 1000], [3, 5], dense=2, seed=4)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 350")
+def row_range(spark, sf_dir):
+    return readers.row_range(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 100, 250)
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def concatenated_sources(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return readers.concatenated([a, table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))])
+
+
+@query("SELECT event_id, regexp_extract(props, '[0-9]+')::BIGINT * 2 AS s FROM events")
+def sequence_log(spark, sf_dir):
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    log = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), k, F.lit(","), k, F.lit("]")).alias("items"))
+    return readers.sequence_log(log, ["items"]).select("event_id", F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+
+
+@query("""SELECT strftime(date_trunc('hour', ts) - INTERVAL (extract(hour FROM ts) % 6) HOUR, '%Y-%m-%d %H') AS start, round(avg(value), 6) AS weighted_avg, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END), 6) AS ctr FROM events GROUP BY 1""")
+def event_time_windows(spark, sf_dir):
+    e = streams.event_time(table(spark, sf_dir, "events")).select("ts", F.when(F.col("event_type") == "click", 1.0).otherwise(0.0).alias("label"), F.col("value").alias("prediction"), F.lit(1.0).alias("weight"))
+    got = streams.windowed_metrics(e, metrics.Suite.of("weighted_avg", "ctr"), "6 hours")
+    return rounded(got.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "weighted_avg", "ctr"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+ SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    return streams.sessions(streams.event_time(table(spark, sf_dir, "events")), "user_id", "6 hours").select("user_id", "n")
