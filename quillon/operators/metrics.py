@@ -20,7 +20,18 @@ from quillon.functions.expressions import recalibrated
 ETA = 1e-12
 HINDSIGHT_STEPS = 1000
 
-L, P, W = (F.col(c) for c in ("label", "prediction", "weight"))
+
+def L() -> Column:  # noqa: N802
+    return F.col("label")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("prediction")
+
+
+def W() -> Column:  # noqa: N802
+    return F.col("weight")
+
 
 
 @dataclass(frozen=True)
@@ -36,7 +47,7 @@ def clamped(p: Column, eta: float = ETA) -> Column:
     return F.greatest(F.least(p, F.lit(1.0 - eta)), F.lit(eta))
 
 
-def cross_entropy(label: Column = L, prediction: Column = P, weight: Column = W, eta: float = ETA) -> Column:
+def cross_entropy(label: Column, prediction: Column, weight: Column, eta: float = ETA) -> Column:
     """-w (l log2 p + (1 - l) log2(1 - p))."""
     p = clamped(prediction, eta)
     return -weight * (label * F.log2(p) + (1.0 - label) * F.log2(1.0 - p))
@@ -53,8 +64,9 @@ def entropy_norm(positive: Column, negative: Column, weight: Column, rate: Colum
     return -positive * F.log2(r) - negative * F.log2(1.0 - r)
 
 
-def _entropy(prediction: Column = P, weight: Column = W) -> dict[str, Column]:
-    return {"ce": cross_entropy(L, prediction, weight), "n": weight, "pos": weight * L, "neg": weight * (1.0 - L)}
+def _entropy(prediction: Column | None = None, weight: Column | None = None) -> dict[str, Column]:
+    prediction, weight = (P() if prediction is None else prediction), (W() if weight is None else weight)
+    return {"ce": cross_entropy(L(), prediction, weight), "n": weight, "pos": weight * L(), "neg": weight * (1.0 - L())}
 
 
 def _ne(s) -> Column:
@@ -62,15 +74,15 @@ def _ne(s) -> Column:
 
 
 def _threshold(t: float) -> dict[str, Column]:
-    on = P >= t
-    return {"tp": F.when(on, W * L).otherwise(0.0), "fp": F.when(on, W * (1.0 - L)).otherwise(0.0), "fn": F.when(~on, W * L).otherwise(0.0)}
+    on = P() >= t
+    return {"tp": F.when(on, W() * L()).otherwise(0.0), "fp": F.when(on, W() * (1.0 - L())).otherwise(0.0), "fn": F.when(~on, W() * L()).otherwise(0.0)}
 
 
 def metric_definitions(threshold: float = 0.5, coefficient: float = 1.0) -> dict[str, Metric]:
     """All metrics that are sums over rows, by name."""
-    again = recalibrated(P, coefficient)
-    positive = -W * L * F.log2(clamped(P))
-    square = {"se": W * (L - P) * (L - P), "n": W, "wl": W * L, "wll": W * L * L}
+    again = recalibrated(P(), coefficient)
+    positive = -W() * L() * F.log2(clamped(P()))
+    square = {"se": W() * (L() - P()) * (L() - P()), "n": W(), "wl": W() * L(), "wll": W() * L() * L()}
     return {
         "ne": Metric(_entropy(), lambda s: {"ne": _ne(s)}),
         "logloss": Metric(_entropy(), lambda s: {"logloss": s("ce") / F.greatest(s("pos") + s("neg"), F.lit(ETA))}),
@@ -79,19 +91,19 @@ def metric_definitions(threshold: float = 0.5, coefficient: float = 1.0) -> dict
                                 lambda s: {"unweighted_ne": s("u_ce") / entropy_norm(s("u_pos"), s("u_neg"), s("u_n"))}),
         "recalibrated_ne": Metric({f"r_{k}": v for k, v in _entropy(prediction=again).items()},
                                   lambda s: {"recalibrated_ne": s("r_ce") / entropy_norm(s("r_pos"), s("r_neg"), s("r_n"))}),
-        "calibration_free_ne": Metric(_entropy() | {"wp": W * P}, lambda s: {"calibration_free_ne": _ne(s) / entropy_norm(s("pos"), s("n") - s("pos"), s("n"), s("wp"))}),
-        "serving_ne": Metric(_entropy() | {"used": F.when(W != 0, 1).otherwise(0).cast("long")}, lambda s: {"serving_ne": _ne(s), "serving_examples": s("used")}),
-        "calibration": Metric({"wp": W * P, "wl": W * L}, lambda s: {"calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("wp"), s("wl")))}),
-        "recalibrated_calibration": Metric({"r_wp": W * again, "wl": W * L}, lambda s: {"recalibrated_calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("r_wp"), s("wl")))}),
-        "ctr": Metric({"wl": W * L, "n": W}, lambda s: {"ctr": ratio(s("wl"), s("n"))}),
+        "calibration_free_ne": Metric(_entropy() | {"wp": W() * P()}, lambda s: {"calibration_free_ne": _ne(s) / entropy_norm(s("pos"), s("n") - s("pos"), s("n"), s("wp"))}),
+        "serving_ne": Metric(_entropy() | {"used": F.when(W() != 0, 1).otherwise(0).cast("long")}, lambda s: {"serving_ne": _ne(s), "serving_examples": s("used")}),
+        "calibration": Metric({"wp": W() * P(), "wl": W() * L()}, lambda s: {"calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("wp"), s("wl")))}),
+        "recalibrated_calibration": Metric({"r_wp": W() * again, "wl": W() * L()}, lambda s: {"recalibrated_calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("r_wp"), s("wl")))}),
+        "ctr": Metric({"wl": W() * L(), "n": W()}, lambda s: {"ctr": ratio(s("wl"), s("n"))}),
         "mse": Metric(square, lambda s: {"mse": ratio(s("se"), s("n")), "rmse": F.sqrt(ratio(s("se"), s("n"))),
                                          "r2": 1.0 - ratio(s("se"), s("wll") - s("wl") * s("wl") / F.greatest(s("n"), F.lit(ETA)))}),
-        "mae": Metric({"ae": W * F.abs(L - P), "n": W}, lambda s: {"mae": ratio(s("ae"), s("n"))}),
-        "accuracy": Metric({"right": F.when((P >= threshold).cast("double") == L, W).otherwise(0.0), "n": W}, lambda s: {"accuracy": ratio(s("right"), s("n"))}),
+        "mae": Metric({"ae": W() * F.abs(L() - P()), "n": W()}, lambda s: {"mae": ratio(s("ae"), s("n"))}),
+        "accuracy": Metric({"right": F.when((P() >= threshold).cast("double") == L(), W()).otherwise(0.0), "n": W()}, lambda s: {"accuracy": ratio(s("right"), s("n"))}),
         "precision": Metric(_threshold(threshold), lambda s: {"precision": ratio(s("tp"), s("tp") + s("fp"))}),
         "recall": Metric(_threshold(threshold), lambda s: {"recall": ratio(s("tp"), s("tp") + s("fn"))}),
-        "weighted_avg": Metric({"wp": W * P, "n": W}, lambda s: {"weighted_avg": ratio(s("wp"), s("n"))}),
-        "pair_weights": Metric({"n": W, "ww": W * W}, lambda s: {"pair_weights": (s("n") * s("n") - s("ww")) / 2.0}),
+        "weighted_avg": Metric({"wp": W() * P(), "n": W()}, lambda s: {"weighted_avg": ratio(s("wp"), s("n"))}),
+        "pair_weights": Metric({"n": W(), "ww": W() * W()}, lambda s: {"pair_weights": (s("n") * s("n") - s("ww")) / 2.0}),
     }
 
 
@@ -109,7 +121,7 @@ class Suite:
     def states(self, df: DataFrame, by: list[str]) -> DataFrame:
         """The sums of each group."""
         sums = {k: v for m in self.metrics.values() for k, v in m.states.items()}
-        return df.groupBy(*by).agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()], F.count_if(W != 0).alias("s_valid"))
+        return df.groupBy(*by).agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()], F.count_if(W() != 0).alias("s_valid"))
 
     def merged(self, states: DataFrame, by: list[str]) -> DataFrame:
         """Sums of sums, such as those of batches or workers."""
@@ -153,9 +165,9 @@ def hindsight(df: DataFrame, by: list[str], target_precision: float, steps: int
     the last threshold it reaches; sums from the cells' ends give all thresholds.
     """
     top = steps - 1
-    cell = F.least(F.greatest(F.floor(P * top + 1e-9), F.lit(-1)), F.lit(top)).cast("int")
-    exact = F.abs(P * top - F.round(P * top)) < 1e-9
-    cells = df.groupBy(*by, cell.alias("k")).agg(F.sum(W * L).alias("a"), F.sum(W * (1.0 - L)).alias("b"), F.sum(F.when(exact, W * L).otherwise(0.0)).alias("e"))
+    cell = F.least(F.greatest(F.floor(P() * top + 1e-9), F.lit(-1)), F.lit(top)).cast("int")
+    exact = F.abs(P() * top - F.round(P() * top)) < 1e-9
+    cells = df.groupBy(*by, cell.alias("k")).agg(F.sum(W() * L()).alias("a"), F.sum(W() * (1.0 - L())).alias("b"), F.sum(F.when(exact, W() * L()).otherwise(0.0)).alias("e"))
     grid = df.select(*by).distinct().join(F.broadcast(df.sparkSession.range(-1, steps).select(F.col("id").cast("int").alias("k"))))
     full = grid.join(cells, [*by, "k"], "left").na.fill(0.0)
     down = Window.partitionBy(*by).orderBy(F.desc("k"))

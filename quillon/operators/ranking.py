@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from quillon.operators.metrics import ratio
 
-L, P, W = (F.col(c) for c in ("label", "prediction", "weight"))
+
+def L() -> Column:  # noqa: N802
+    return F.col("label")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("prediction")
+
+
+def W() -> Column:  # noqa: N802
+    return F.col("weight")
+
 # The bin of labels, the floor of ideal gains, and the smoothing of session AUC.
 LABEL_BIN, IDEAL_FLOOR, GAUC_EPS = 0.039, 1e-6, 1e-9
 
@@ -16,7 +27,7 @@ def _by_prediction(df: DataFrame, by: list[str]) -> DataFrame:
     """Weighted positives and negatives of each distinct prediction, with those
     at higher predictions. Ties are one step, so the order of rows is irrelevant
     and the window sees distinct predictions only."""
-    steps = df.groupBy(*by, "prediction").agg(F.sum(W * L).alias("t"), F.sum(W * (1.0 - L)).alias("f"))
+    steps = df.groupBy(*by, "prediction").agg(F.sum(W() * L()).alias("t"), F.sum(W() * (1.0 - L())).alias("f"))
     down = Window.partitionBy(*by).orderBy(F.desc("prediction")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return steps.withColumns({"ct": F.sum("t").over(down), "cf": F.sum("f").over(down)})
 
@@ -24,7 +35,7 @@ def _by_prediction(df: DataFrame, by: list[str]) -> DataFrame:
 def auc(df: DataFrame, by: list[str], apply_bin: bool = False) -> DataFrame:
     """Area under the curve of true against false positives; 0.5 without signal."""
     if apply_bin:
-        df = df.withColumn("label", F.when(L > LABEL_BIN, 1.0).otherwise(0.0))
+        df = df.withColumn("label", F.when(L() > LABEL_BIN, 1.0).otherwise(0.0))
     area = F.sum(F.col("f") * (F.col("ct") - F.col("t") / 2.0))
     whole = F.sum("t") * F.sum("f")
     return _by_prediction(df, by).groupBy(*by).agg(F.when(whole == 0, 0.5).otherwise(F.try_divide(area, whole)).alias("auc"))
@@ -50,10 +61,10 @@ def session_auc(df: DataFrame, session: str, order: list[str], by: list[str] = (
     seq = Window.partitionBy(*by, session).orderBy(*order)
     up = Window.partitionBy(*by, session).orderBy("prediction", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumns({"p0": F.first("prediction").over(seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-                           "below": F.sum(W * (1.0 - L)).over(up)})
+                           "below": F.sum(W() * (1.0 - L())).over(up)})
     sessions = rows.groupBy(*by, session).agg(
-        F.sum(W * L * F.col("below")).alias("num"), F.sum(W * L).alias("pos"), F.sum(W * (1.0 - L)).alias("neg"),
-        F.max((P != F.col("p0")) & (P != 0)).alias("varied"))
+        F.sum(W() * L() * F.col("below")).alias("num"), F.sum(W() * L()).alias("pos"), F.sum(W() * (1.0 - L())).alias("neg"),
+        F.max((P() != F.col("p0")) & (P() != 0)).alias("varied"))
     used = sessions.filter((F.col("pos") > 0) & (F.col("neg") > 0) & F.col("varied")).withColumn("a", F.col("num") / (F.col("pos") * F.col("neg") + 1e-10))
     total = used.groupBy(*by).agg(F.sum("a").alias("s"), F.count(F.lit(1)).alias("effective_sessions"))
     return total.select(*by, ((F.coalesce("s", F.lit(0.0)) + GAUC_EPS) / (F.col("effective_sessions") + 2 * GAUC_EPS)).alias("gauc"), "effective_sessions")
@@ -68,15 +79,15 @@ def ndcg(df: DataFrame, session: str, order: list[str], k: int | None = None, ex
     """
     by_prediction = Window.partitionBy(session).orderBy(F.desc("prediction"), *order)
     by_label = Window.partitionBy(session).orderBy(F.desc("label"), *order)
-    gain = (F.pow(F.lit(2.0), L) - 1.0) if exponential else L
+    gain = (F.pow(F.lit(2.0), L()) - 1.0) if exponential else L()
     if scale_by_weight:
-        gain = gain * W
+        gain = gain * W()
     rows = df.withColumns({"r1": F.row_number().over(by_prediction), "r2": F.row_number().over(by_label), "n": F.count(F.lit(1)).over(Window.partitionBy(session))})
     if drop_single:
         rows = rows.filter("n > 1")
     within = lambda r: F.lit(True) if k is None or k < 0 else F.col(r) <= k
     part = lambda r: F.sum(F.when(within(r), gain / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    sessions = rows.groupBy(session).agg(part("r1").alias("dcg"), part("r2").alias("ideal"), F.max(W).alias("w"))
+    sessions = rows.groupBy(session).agg(part("r1").alias("dcg"), part("r2").alias("ideal"), F.max(W()).alias("w"))
     value = F.col("dcg") / F.when(F.col("ideal") == 0, IDEAL_FLOOR).otherwise(F.col("ideal"))
     value = (1.0 - value) if decreasing else value
     value = value if scale_by_weight else value * F.col("w")
@@ -91,11 +102,11 @@ def rank_in_session(session: str, score: str = "prediction") -> Column:
 def session_threshold(df: DataFrame, session: str, top: int, rank_labels: bool = False) -> DataFrame:
     """Recall and precision where a session's ``top`` predictions count as positive."""
     rows = df.withColumn("rp", rank_in_session(session))
-    truth = (rank_in_session(session, "label") < top).cast("double") if rank_labels else L
+    truth = (rank_in_session(session, "label") < top).cast("double") if rank_labels else L()
     rows = rows.withColumn("y", truth)
     on = F.col("rp") < top
-    sums = rows.agg(F.sum(F.when(on, W * F.col("y")).otherwise(0.0)).alias("tp"), F.sum(F.when(on, W * (1.0 - F.col("y"))).otherwise(0.0)).alias("fp"),
-                    F.sum(F.when(~on, W * F.col("y")).otherwise(0.0)).alias("fn"))
+    sums = rows.agg(F.sum(F.when(on, W() * F.col("y")).otherwise(0.0)).alias("tp"), F.sum(F.when(on, W() * (1.0 - F.col("y"))).otherwise(0.0)).alias("fp"),
+                    F.sum(F.when(~on, W() * F.col("y")).otherwise(0.0)).alias("fn"))
     return sums.select(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("session_recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("session_precision"))
 
 
