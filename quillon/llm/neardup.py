@@ -18,7 +18,7 @@ become components. After that, only pairs between different components of a
 bucket are of interest; large buckets are cut into blocks and compared block
 against block, where a pair is looked at in its first common bucket only. Of the
 plausible pairs between two components the best few are confirmed first, then
-more, until a round has confirmed every pair that is left. So no link between
+more among those still apart, until every pair is confirmed or within one. So no link between
 different components is lost, and no group is expanded into all its pairs.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. Rows
@@ -46,7 +46,7 @@ ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
 #: Estimates below this are not confirmed: six standard deviations under 0.8.
 HOPELESS = 0.6
-BLOCK = 128
+SMALL, BLOCK = 16, 128
 WORDS = re.compile(WORD)
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SEED = 20240607
@@ -151,8 +151,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
 
 
-@F.pandas_udf("double")
-def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+def _estimate_of(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
     x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(len(a), -1)
@@ -189,13 +188,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _between(members: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of members (band, node, n, sketch, comp) of different
-    components: a, b, comp_a, comp_b, estimate. Buckets are cut into blocks of
-    about BLOCK members by a hash; each pair of blocks is one group."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("band", "_band")
-    m = members.join(sizes, F.col("band") == F.col("_band")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with these."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    return pairs.join(a, "a").join(b, "b").filter("comp_a <> comp_b")
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are plausible by size and sketch: a, b, estimate."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    estimate = F.pandas_udf(_estimate_of, "double")
+    return both.withColumn("estimate", estimate("s_a", "s_b", "n_a", "n_b")).filter(F.col("estimate") >= HOPELESS).select("a", "b", "estimate")
+
+
+def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs of different components that share a bucket.
+
+    Buckets of up to SMALL members are joined with themselves, so that a member
+    meets at most SMALL others. Larger ones are cut into blocks of about BLOCK
+    members by a hash; each pair of blocks is one group, compared in memory, and
+    of its pairs only the plausible ones come out, in their first common bucket.
+    """
+    m = members.join(comps, "node")
+    buckets = m.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    m = m.join(buckets.select(F.col("band").alias("_band"), "size"), F.col("band") == F.col("_band")).select("band", "node", "comp", "size")
+    m = stored(m)
+    few = m.filter(F.col("size") <= SMALL)
+    other = few.select(F.col("band").alias("_band"), F.col("node").alias("b"), F.col("comp").alias("_comp"))
+    met = few.withColumnRenamed("node", "a").join(other, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("_comp"))).select("a", "b").distinct()
+    small = _estimated(met, sketches, percent)
+
+    big = m.filter(F.col("size") > SMALL).join(sketches, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    big = big.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    big = big.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "node", "n", "sketch", "comp")
 
     def compare(key, g: pd.DataFrame) -> pd.DataFrame:
@@ -215,10 +242,11 @@ def _between(members: DataFrame, percent: int) -> DataFrame:
             if len(rest):
                 up, down = (s[i] > s[rest]).sum(axis=1), (s[i] < s[rest]).sum(axis=1)
                 est = likeliest(up, down, np.full(len(rest), float(n[i])), n[rest].astype(float))
-                out += [(node[i], node[j], comp[i], comp[j], e) for j, e in zip(rest, est, strict=True) if e >= HOPELESS]
-        return pd.DataFrame(out, columns=["a", "b", "comp_a", "comp_b", "estimate"]).astype({"a": "int64", "b": "int64", "comp_a": "int64", "comp_b": "int64", "estimate": "float64"})
+                out += [(node[i], node[j], e) for j, e in zip(rest, est, strict=True) if e >= HOPELESS]
+        return pd.DataFrame(out, columns=["a", "b", "estimate"]).astype({"a": "int64", "b": "int64", "estimate": "float64"})
 
-    return m.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long, comp_a long, comp_b long, estimate double")
+    large = big.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long, estimate double")
+    return small.union(large).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -249,32 +277,20 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     comps = sketches.select("node", F.col("node").alias("comp"))
 
     # round 1: every node against its buckets' leaders
-    pairs = (members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct()
-             .join(sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-             .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-             .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-             .withColumn("estimate", _estimate("s_a", "s_b", "n_a", "n_b")).filter(F.col("estimate") >= HOPELESS).select("a", "b", "estimate"))
+    pairs = _estimated(members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct(), sketches, percent)
     best = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
     pairs = stored(pairs.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b"))
     comps = _merged(comps, _confirmed(pairs, sets, percent))
 
-    # further rounds: pairs between different components of a bucket
-    few = 4
-    while True:
-        here = members.select("band", "node").join(comps, "node")
-        live = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select(F.col("band").alias("_band"))
-        here = here.join(live, F.col("band") == F.col("_band"), "left_semi").join(sketches, "node")
+    # further rounds: plausible pairs between the components of a bucket
+    todo, few = stored(_between(members.select("band", "node"), comps, sketches, percent)), 4
+    while not todo.isEmpty():
         order = Window.partitionBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).orderBy(F.desc("estimate"), "a", "b")
-        pairs = stored(_between(here, percent)).withColumn("r", F.row_number().over(order))
-        links = stored(_confirmed(pairs.filter(F.col("r") <= few), sets, percent))
-        if links.isEmpty():
-            if pairs.filter(F.col("r") > few).isEmpty():
-                break
-        else:
+        todo = stored(_apart(todo, comps).withColumn("r", F.row_number().over(order)))
+        links = stored(_confirmed(todo.filter(F.col("r") <= few), sets, percent))
+        if not links.isEmpty():
             comps = _merged(comps, links)
-            if pairs.filter(F.col("r") > few).isEmpty():
-                break
-        few *= 16
+        todo, few = todo.filter(F.col("r") > few).select("a", "b", "estimate"), few * 16
 
     found = of.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component"))
     rows = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
