@@ -29,7 +29,6 @@ by :func:`deduplicated` and ignored otherwise.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, stored
+from quillon.llm.common import stored
 
 K = 4
 PERCENT = 80
@@ -47,8 +46,6 @@ REGISTERS = ROWS * BANDS
 #: Estimates below this are not confirmed: six standard deviations under 0.8.
 HOPELESS = 0.6
 SMALL, BLOCK = 16, 128
-WORDS = re.compile(WORD)
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SEED = 20240607
 
 
@@ -64,7 +61,7 @@ def shingler(k: int = K):
 
     class Hashes(dict):
         def __missing__(self, word):
-            h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+            h = xxhash.xxh3_64_intdigest(word)
             if len(self) < 1_000_000:
                 self[word] = h
             return h
@@ -72,7 +69,8 @@ def shingler(k: int = K):
     of = Hashes().__getitem__
 
     def shingles(text: str | None) -> np.ndarray:
-        words = WORDS.findall((text or "").translate(LOWER))
+        # bytes know ASCII letters and the six spaces only
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, dtype=np.uint64)
         w = np.fromiter(map(of, words), dtype=np.uint64, count=len(words))
@@ -88,16 +86,16 @@ def shingler(k: int = K):
 def sketcher(registers: int = REGISTERS):
     """sorted hashes -> registers as uint8."""
     rng = np.random.default_rng(SEED)
-    a = rng.integers(0, 1 << 63, registers, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    c = rng.integers(0, 1 << 63, registers, dtype=np.uint64) * np.uint64(2)
+    a = rng.integers(0, 1 << 31, (registers, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    c = rng.integers(0, 1 << 32, (registers, 1), dtype=np.uint32)
 
     def sketch(h: np.ndarray) -> np.ndarray:
-        low = np.full(registers, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(h), 2048):
-            part = h[at:at + 2048]
-            np.minimum(low, (a[:, None] * part[None, :] + c[:, None]).min(axis=1), out=low)
-        u = (low.astype(np.float64) + 1.0) / 2.0**64
-        e = -np.log1p(-np.minimum(u, 1 - 1e-16)) / RATE
+        low = np.full(registers, np.iinfo(np.uint32).max, dtype=np.uint32)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(h), 512):
+            np.minimum(low, (a * h[None, at:at + 512] + c).min(axis=1), out=low)
+        u = (low.astype(np.float64) + 1.0) / 2.0**32
+        e = -np.log1p(-np.minimum(u, 1 - 1e-9)) / RATE
         return np.clip(np.floor(1 - np.log(np.maximum(e, 1e-300)) / np.log(BASE)), 0, TOP + 1).astype(np.uint8)
 
     return sketch
