@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import ann, chat, html, mixing, neardup, packing, quality, rules, secrets, toxicity
 from quillon.llm.common import fold, table
+from quillon.llm.oracles import ORACLES
 
 
 def _chat_digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -94,4 +95,4 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op6_nearest_vectors, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import oracle
 from quillon.llm import queries, secrets
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +23,11 @@ def run(spark, name):
     return queries.QUERIES[name](spark, SF)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    assert oracle.difference(run(spark, name), oracle.connection(SF), queries.ORACLES[name]) == ""
+
+
 def test_chat(spark):
     got = {r["conv_id"]: r for r in run(spark, "op1_chat_format").collect()}
     talks = defaultdict(list)
