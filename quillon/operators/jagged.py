@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.prefix import running_total
+
 LONG = ("row", "key", "pos", "id", "weight")
 
 
@@ -32,15 +34,15 @@ def to_wide(long: DataFrame, keys: list[str]) -> DataFrame:
     return out.select("row", *[F.struct(F.transform(k, lambda x: x["id"]).alias("values"), F.transform(k, lambda x: x["weight"]).alias("weights")).alias(k) for k in keys])
 
 
-def from_flat(values: DataFrame, lengths: DataFrame) -> DataFrame:
+def from_flat(values: DataFrame, lengths: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Bags from flat values (at, id) and the lengths (bag, length) that cut
-    them: offsets are sums of the lengths before; a value's bag is the last one
-    that starts at or before it. Bags and values are met by merging on place."""
-    line = Window.orderBy("bag").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lengths.filter("length > 0").withColumn("at", F.coalesce(F.sum("length").over(line), F.lit(0))).select("at", "bag", F.lit(None).cast("long").alias("id"))
-    both = starts.unionByName(values.select("at", F.lit(None).cast(lengths.schema["bag"].dataType).alias("bag"), F.col("id").cast("long").alias("id")))
-    order = Window.orderBy("at", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("bag", F.last("bag", ignorenulls=True).over(order)).filter("id IS NOT NULL").select("bag", "at", "id")
+    them: a bag's offset is the sum of the lengths before it. Places are cut into
+    ranges of ``width``; a bag is posted in each range that it touches, so values
+    meet bags by an equi-join on the range."""
+    starts = running_total(lengths.filter("length > 0"), ["bag"], F.floor(F.col("bag") / width), F.col("length").cast("long"), "start")
+    posted = starts.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("length") - 1) / width))))
+    met = values.withColumn("range", F.floor(F.col("at") / width)).join(posted, "range")
+    return met.filter("at >= start AND at < start + length").select("bag", "at", "id")
 
 
 def lengths(long: DataFrame) -> DataFrame:
@@ -54,11 +56,13 @@ def length_per_key(wide: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def offsets(wide: DataFrame, row: str, key: str) -> DataFrame:
-    """(row, start, stop) of each row's bag in the flat values."""
+def offsets(wide: DataFrame, row: str, key: str, width: int = 1 << 16) -> DataFrame:
+    """(row, start, stop) of each row's bag in the flat values. Row numbers are
+    cut into ranges of ``width``, which are cumulated apart."""
     n = F.size(key).cast("long")
-    stop = F.sum(n).over(Window.orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return wide.select(F.col(row).alias("row"), (stop - n).alias("start"), stop.alias("stop"))
+    rows = wide.select(F.col(row).alias("row"), n.alias("n"))
+    out = running_total(rows, ["row"], F.floor(F.col("row") / width), F.col("n"), "start")
+    return out.select("row", "start", (F.col("start") + F.col("n")).alias("stop"))
 
 
 def stride_per_key(long: DataFrame, rank: Column | None = None) -> DataFrame:
@@ -103,7 +107,7 @@ def concatenated(parts: list[DataFrame], row: str) -> DataFrame:
 def deduplicated_rows(wide: DataFrame, row: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct rows (dedup_id, keys), and (row, dedup_id) to expand them again."""
     groups = wide.groupBy(*keys).agg(F.min(row).alias("dedup_id"))
-    inverse = wide.join(groups, [F.col(f"{k}").eqNullSafe(groups[k]) for k in []] or keys).select(row, "dedup_id")
+    inverse = wide.join(groups, keys).select(row, "dedup_id")
     return groups.select("dedup_id", *keys), inverse
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import left_padded, uniform
+from quillon.operators.prefix import running_total
 
 
 def contiguous_ids(df: DataFrame, column: str, order: list[str], threshold: int) -> DataFrame:
@@ -102,16 +103,15 @@ def run_numbers(df: DataFrame, column: str, order: list[str], by: list[str] = ()
 
 
 def shuffled(df: DataFrame, key: list[str], days: list[int], seed: int = 0) -> DataFrame:
-    """All rows in seeded order, cut into days of the given sizes. The order is a
-    hash, so the sort is the range-partitioned one of the engine, and a row's day
-    comes from its place."""
-    total = sum(days)
+    """All rows in seeded order (``place``), cut into days of the given sizes.
+    The order is a hash; its leading bits are buckets that are numbered apart."""
     u = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    placed = df.withColumn("place", F.row_number().over(Window.orderBy(u, *key)) - 1)
-    day, at = F.lit(len(days) - 1), total
-    for i in range(len(days) - 1, -1, -1):
+    rows = df.withColumn("_u", u)
+    placed = running_total(rows, ["_u", *key], F.shiftright("_u", 52), F.lit(1).cast("long"), "place").drop("_u")
+    day, at = F.lit(len(days) - 1), sum(days)
+    for i in range(len(days) - 1, 0, -1):
         at -= days[i]
-        day = F.when(F.col("place") < at + days[i], i).otherwise(day) if i < len(days) - 1 else day
+        day = F.when(F.col("place") < at, i - 1).otherwise(day)
     return placed.withColumn("day", day)
 
 
