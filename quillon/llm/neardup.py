@@ -9,12 +9,12 @@ larger, smaller and equal give the similarity of greatest likelihood. Pairs
 whose estimate is hopeless are dropped, all others are confirmed on full sets.
 
 At similarity 0.8 a register agrees with probability 0.816 and a pair misses all
-buckets with probability 6e-7.
+buckets with probability 2e-6, at 0.85 with 1e-8.
 
-Groups of any size. Documents with equal sets are one node from the start. In
-the first round each node is compared with the smallest and the largest id of
-each of its buckets only, its two best leaders are confirmed, and linked nodes
-become components. After that, only pairs between different components of a
+Groups of any size. Documents with equal sets are one node from the start. First
+each node is compared with one leader of each of its buckets only, its two best
+leaders are confirmed, and linked nodes become components; then once more with
+other leaders. After that, only pairs between different components of a
 bucket are of interest; large buckets are cut into blocks and compared block
 against block, where a pair is looked at in its first common bucket only. Of the
 plausible pairs between two components the best few are confirmed first, then
@@ -41,11 +41,12 @@ from quillon.llm.common import stored
 K = 4
 PERCENT = 80
 BASE, RATE, TOP = 1.2, 20.0, 254
-ROWS, BANDS = 5, 32
+ROWS, BANDS = 7, 48
 REGISTERS = ROWS * BANDS
 #: Estimates below this are not confirmed: six standard deviations under 0.8.
 HOPELESS = 0.6
 SMALL, BLOCK = 16, 128
+STARS, MASKS = 2, 8
 SEED = 20240607
 
 
@@ -186,6 +187,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
+def _stars(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """(a, b): nodes and their buckets' leaders, where these are in different
+    components. A bucket's leader is its least id under a mask; there are MASKS
+    masks, so that a large group has a few leaders, not one in every bucket nor
+    one for each."""
+    m = members.join(comps, "node")
+    mask = F.xxhash64(F.lit(turn), F.pmod(F.shiftrightunsigned("band", 8 * ROWS), F.lit(MASKS)))
+    lead = m.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    lead = lead.filter("x < y").select(F.col("band").alias("_band"), F.col("lead").bitwiseXOR(mask).alias("b"))
+    pairs = m.join(lead, F.col("band") == F.col("_band")).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return pairs if turn == 0 else _apart(pairs, comps).select("a", "b")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components, with these."""
     a = comps.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
@@ -266,22 +280,34 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     nodes = named.join(of.filter("doc_id = rep").select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep")).select(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    members = stored(banded.join(buckets.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).drop("_band"))
-    involved = members.select("node").distinct()
-    sketches = stored(nodes.join(involved, "node").select("node", "n", "sketch").dropDuplicates(["node"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved, "node", "left_semi")
-    sets = stored(_sets(texts, k).dropDuplicates(["node"])) if _repeats(nodes) else stored(_sets(texts, k))
-    comps = sketches.select("node", F.col("node").alias("comp"))
-
-    # round 1: every node against its buckets' leaders
-    pairs = _estimated(members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b").distinct(), sketches, percent)
+    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select(F.col("band").alias("_band"))
+    members = stored(banded.join(buckets, F.col("band") == F.col("_band")).select("band", "node"))
+    sketches = stored(nodes.join(members.select("node").distinct(), "node").select("node", "n", "sketch").dropDuplicates(["node"]))
+    comps = stored(sketches.select("node", F.col("node").alias("comp")))
+    sets = None
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """The sets so far and those of further nodes of ``pairs``."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            need = need.join(sets, "node", "left_anti")
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(need, "node", "left_semi")
+        new = _sets(texts, k)
+        new = stored(new.dropDuplicates(["node"]) if repeats else new)
+        return new if sets is None else sets.union(new)
+
+    # stars: every node against a leader of each of its buckets, the best two confirmed
+    repeats = _repeats(nodes)
     best = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
-    pairs = stored(pairs.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b"))
-    comps = _merged(comps, _confirmed(pairs, sets, percent))
+    for turn in range(STARS):
+        pairs = _estimated(_stars(members, comps, turn), sketches, percent)
+        pairs = stored(pairs.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b"))
+        sets = with_sets(pairs)
+        comps = _merged(comps, _confirmed(pairs, sets, percent))
 
     # further rounds: plausible pairs between the components of a bucket
-    todo, few = stored(_between(members.select("band", "node"), comps, sketches, percent)), 4
+    todo, few = stored(_between(members, comps, sketches, percent)), 4
+    sets = with_sets(todo)
     while not todo.isEmpty():
         order = Window.partitionBy(F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")).orderBy(F.desc("estimate"), "a", "b")
         todo = stored(_apart(todo, comps).withColumn("r", F.row_number().over(order)))
