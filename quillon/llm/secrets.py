@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import about
+
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -131,8 +133,8 @@ def train(texts: list[str], seed: int = 11) -> Model:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learns from ``sample_docs`` documents of at most ``sample_chars``
     characters, chosen by a hash of their id."""
-    rows = (docs.filter(F.length("text") <= sample_chars).select("text", F.xxhash64("doc_id").alias("h"), "doc_id")
-            .orderBy("h", "doc_id", "text").limit(sample_docs).select("text").collect())
+    usable = docs.filter(F.length("text") <= sample_chars)
+    rows = about(usable.select("doc_id", "text"), sample_docs, usable.count()).select("text").collect()
     return train([r[0] for r in rows])
 
 
