@@ -150,19 +150,28 @@ def _hex_of(text: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass
     over a document, and one for the words of a partial pass, cut between words.
-    ``n_chars``, where present, follows the text. Needs ids that are unique.
+    ``n_chars``, where present, follows the text. Rows without id, and rows that
+    repeat one, are told apart by a number in the order of a hash of their text.
     """
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "passes", "cut_from", "cut_to", "wrap_to")
-    rows = docs.join(plan, F.col("doc_id") == F.col("_id"))
+    key = F.col("doc_id").cast("string")
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        key = F.concat(F.coalesce(key, F.lit("")), F.lit("#"), nth.cast("string"))
+    keyed = docs.withColumn("_mix_key", key)
+    plan = mix(keyed.select(F.col("_mix_key").alias("doc_id"), "source", "text"), **options).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.struct("size", "passes", "cut_from", "cut_to", "wrap_to").alias("_mix"))
+    rows = keyed.join(plan, F.col("_mix_key") == F.col("_mix_id"))
+    of = lambda name: F.col(f"_mix.{name}")
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = lambda start, stop: F.array_join(F.slice(pieces, (start + 1).cast("int"), (stop - start).cast("int")), "")
     zero = F.lit(0).cast("long")
     partial = F.filter(F.array(
-        F.when(F.col("wrap_to") > 0, F.struct(zero.alias("from"), F.col("wrap_to").alias("to"))),
-        F.when(F.col("cut_to") > F.col("cut_from"), F.struct(F.col("cut_from").alias("from"), F.col("cut_to").alias("to")))), lambda x: x.isNotNull())
-    whole = F.array_repeat(F.struct(zero.alias("from"), F.col("size").alias("to")), F.col("passes").cast("int"))
-    rows = rows.withColumn("_part", F.explode(F.concat(whole, partial)))
-    rows = rows.withColumn("text", F.when((F.col("_part.from") == 0) & (F.col("_part.to") == F.col("size")), F.col("text")).otherwise(cut(F.col("_part.from"), F.col("_part.to"))))
+        F.when(of("wrap_to") > 0, F.struct(zero.alias("from"), of("wrap_to").alias("to"))),
+        F.when(of("cut_to") > of("cut_from"), F.struct(of("cut_from").alias("from"), of("cut_to").alias("to")))), lambda x: x.isNotNull())
+    whole = F.array_repeat(F.struct(zero.alias("from"), of("size").alias("to")), of("passes").cast("int"))
+    rows = rows.withColumn("_mix_part", F.explode(F.concat(whole, partial)))
+    start, stop = F.col("_mix_part.from"), F.col("_mix_part.to")
+    rows = rows.withColumn("text", F.when((start == 0) & (stop == of("size")), F.col("text")).otherwise(cut(start, stop)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -231,6 +231,10 @@ def test_mix_comes_near_targets(spark):
     for r in real.collect():
         count[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert dict(count) == {k: v for k, v in again.items() if v}
+    odd = docs(spark, [words(400, 1), words(400, 1), words(300, 2), words(200, 3)]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 0).when(F.col("doc_id") == 2, F.lit(None)).otherwise(3).cast("long"))
+    odd = odd.withColumn("size", F.lit("x")).withColumn("passes", F.lit(1))  # clashing names, one id twice, one missing
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns and sum(len(WORD.findall(r["text"])) for r in out.collect()) in range(1300 - 64, 1301)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
