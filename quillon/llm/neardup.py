@@ -47,6 +47,8 @@ REGISTERS = ROWS * BANDS
 HOPELESS = 0.6
 SMALL, BLOCK = 16, 128
 STARS, MASKS = 2, 8
+#: Bits of the bitmap of nodes whose texts are read again: 8 MiB.
+SIEVE = 1 << 26
 SEED = 20240607
 
 
@@ -150,6 +152,22 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
 
 
+def _sieved(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) without most nodes that are not in ``need`` (node).
+
+    To be followed by an inner join: a semi-join would be moved below the sieve.
+    A bitmap of SIEVE bits marks the hashes of what is needed; its size does not
+    depend on the data, so it is broadcast, and texts that nobody needs are not
+    shuffled. With more nodes than bits it lets more through, never less.
+    """
+    at = F.pmod(F.xxhash64("node"), F.lit(SIEVE))
+    marks = stored(need.filter("node IS NOT NULL").groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("_bucket"))
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def _estimate_of(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
@@ -291,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if sets is not None:
             need = need.join(sets, "node", "left_anti")
-        texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(need, "node", "left_semi")
+        texts = _sieved(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), need).join(need, "node")
         new = _sets(texts, k)
         new = stored(new.dropDuplicates(["node"]) if repeats else new)
         return new if sets is None else sets.union(new)
