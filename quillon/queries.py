@@ -553,11 +553,11 @@ def vectors_of(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vec"))
 
 
-def id_bags(spark, sf_dir, n: int = 500):
-    """Long bags (row, key, pos, id, weight) of the orders below 2000."""
-    bags = order_bags(spark, sf_dir).filter("row < 2000")
-    long = jagged.to_long(bags, "row", ["part", "supp"], {"part": "w", "supp": "w"})
-    return long.withColumn("id", F.pmod("id", F.lit(n)))
+def id_bags(spark, sf_dir):
+    """Long bags (row, key, pos, id, weight) of all orders; ids are folded to the
+    rows of ``embeddings``."""
+    long = jagged.to_long(order_bags(spark, sf_dir), "row", ["part", "supp"], {"part": "w", "supp": "w"})
+    return long.withColumn("id", F.pmod("id", F.lit(max(1, table(spark, sf_dir, "embeddings").count()))))
 
 
 LONG = """WITH l AS (SELECT l_orderkey AS "row", 'part' AS "key", l_partkey % 500 AS id, l_quantity AS weight, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem WHERE l_orderkey < 2000
