@@ -37,12 +37,15 @@ def to_wide(long: DataFrame, keys: list[str]) -> DataFrame:
 def from_flat(values: DataFrame, lengths: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Bags from flat values (at, id) and the lengths (bag, length) that cut
     them: a bag's offset is the sum of the lengths before it. Places are cut into
-    ranges of ``width``; a bag is posted in each range that it touches, so values
-    meet bags by an equi-join on the range."""
-    starts = running_total(lengths.filter("length > 0"), ["bag"], F.floor(F.col("bag") / width), F.col("length").cast("long"), "start")
-    posted = starts.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("length") - 1) / width))))
-    met = values.withColumn("range", F.floor(F.col("at") / width)).join(posted, "range")
-    return met.filter("at >= start AND at < start + length").select("bag", "at", "id")
+    ranges of ``width``; a bag is posted in each range that it touches, and each
+    value belongs to the last bag posted before it in its range."""
+    starts = running_total(lengths.filter("length > 0"), ["bag"], F.floor(F.col("bag") / width), F.col("length").cast("long"), "start").withColumn("stop", F.col("start") + F.col("length"))
+    posted = starts.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
+    posted = posted.select("range", F.greatest(F.col("start"), F.col("range") * width).alias("at"), F.lit(False).alias("value"), F.struct("bag", "stop").alias("of"))
+    found = values.select(F.floor(F.col("at") / width).alias("range"), "at", F.lit(True).alias("value"), "id")
+    line = Window.partitionBy("range").orderBy("at", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = found.unionByName(posted, allowMissingColumns=True).withColumn("of", F.last("of", ignorenulls=True).over(line))
+    return met.filter("value AND at < of.stop").select("of.bag", "at", "id")
 
 
 def lengths(long: DataFrame) -> DataFrame:

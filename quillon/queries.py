@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as X
-from quillon.operators import jagged, layout, lookup, metrics, prep, ranking, remap
+from quillon.operators import jagged, layout, lookup, metrics, prefix, prep, ranking, remap
 from quillon.plans import planner
 from quillon.sources import readers
 from quillon.streaming import streams
@@ -319,7 +319,7 @@ def hex_ids(spark, sf_dir):
 @query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part WHERE p_size < 40 GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 3)
  SELECT p_partkey, coalesce(o.id, 1)::INT AS p_type FROM part p LEFT JOIN o ON p.p_type = o.v WHERE p_size < 40""")
 def contiguous_ids(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size < 40").select("p_partkey", "p_type")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     return prep.encoded(p, prep.contiguous_ids(p, "p_type", ["p_partkey"], 3), "p_type").select("p_partkey", F.col("p_type").cast("int").alias("p_type"))
 
 
@@ -514,9 +514,9 @@ def kjt_concat(spark, sf_dir):
 
 @query("SELECT l_orderkey AS bag, count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
 def kjt_from_lengths(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500")
+    l = table(spark, sf_dir, "lineitem")
     lengths = l.groupBy(F.col("l_orderkey").alias("bag")).agg(F.count(F.lit(1)).alias("length"))
-    flat = l.select((F.row_number().over(Window.orderBy(*LINE)) - 1).cast("long").alias("at"), F.col("l_partkey").alias("id"))
+    flat = prefix.running_total(l.select(*LINE), LINE, F.floor(F.col("l_orderkey") / 4096), F.lit(1).cast("long"), "at").select("at", F.col("l_partkey").alias("id"))
     return jagged.from_flat(flat, lengths).groupBy("bag").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
 
 
