@@ -162,10 +162,13 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
 
 
 def masked_windows(seqs: DataFrame, user: str, items: str, width: int, share: float, mask: int, n_items: int, pad: int = 0, seed: int = 0) -> DataFrame:
-    """Training rows: windows over a sequence in steps of a tenth of their width,
-    in which a seeded share of places is hidden (four fifths by the mask token,
+    """Training rows: windows over a sequence, stepping back from its end by a
+    tenth of their width and with one at its start, so that each item is in one;
+    in them a seeded share of places is hidden (four fifths by the mask token,
     the rest by a random item) and becomes the label; others have label ``pad``."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - width, F.lit(0)), F.lit(max(1, width // 10)))
+    last = F.size(items) - width
+    back = F.sequence(F.greatest(last, F.lit(1)), F.lit(1), F.lit(-max(1, width // 10)))
+    starts = F.when(last > 0, F.concat(back, F.array(F.lit(0)))).otherwise(F.array(F.lit(0)))
     rows = seqs.withColumn("start", F.explode(starts)).withColumn("window", left_padded(F.slice(items, F.col("start") + 1, F.lit(width)), width, F.lit(pad)))
     u = lambda i, k: uniform(F.col(user), F.col("start"), i, seed=seed + k)
     hidden = lambda x, i: (x != pad) & (u(i, 1) < share)
