@@ -9,6 +9,10 @@ from quillon.functions.expressions import left_padded, uniform
 from quillon.operators.prefix import running_total
 
 
+#: Orders of all items for users whose draws did not give enough.
+FILLS = 16
+
+
 def contiguous_ids(df: DataFrame, column: str, order: list[str], threshold: int) -> DataFrame:
     """(column, id): 1 for values seen fewer than ``threshold`` times, else 2, 3,
     ... in the order of first occurrence."""
@@ -145,10 +149,12 @@ def eval_rows(items: Column, target: Column, mask: int, width: int, pad: int) ->
 
 
 def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: int, popularity: str | None = None, tries: int = 4, seed: int = 0) -> DataFrame:
-    """``n`` unseen items per user, uniform or by popularity, without pairing
-    users with all items: users draw seeded places on the cumulated weights of
-    the items, find them by a range join on equal buckets, and keep the first
-    ``n`` distinct ones that they have not seen."""
+    """``n`` unseen items per user, uniform or by popularity, or all unseen ones
+    where there are fewer, without pairing users with all items: users draw seeded
+    places on the cumulated weights of the items, find them by a range join on
+    equal buckets, and keep the first ``n`` distinct ones that they have not seen.
+    Users who are still short go on along one of FILLS seeded orders of the items,
+    weighted alike, of which the first ``n`` and as many as they have seen are enough."""
     weight = F.col(popularity).cast("long") if popularity else F.lit(1).cast("long")
     line = Window.orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = universe.withColumn("_hi", F.sum(weight).over(line)).withColumn("_lo", F.col("_hi") - weight)
@@ -157,7 +163,17 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
     places = u.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
     draws = seqs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1)))).withColumn("_at", F.floor(uniform(F.col(user), F.col("draw"), seed=seed) * total))
     met = draws.withColumn("_b", F.floor(F.col("_at") / width)).join(places, "_b").filter("_at >= _lo AND _at < _hi")
-    met = met.filter(~F.array_contains(items, F.col("item"))).groupBy(user, "item").agg(F.min("draw").alias("draw"))
+    unseen = ~F.coalesce(F.array_contains(items, F.col("item")), F.lit(False))
+    met = met.filter(unseen).groupBy(user, "item").agg(F.min("draw").alias("draw"))
+    had = met.groupBy(F.col(user).alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
+    short = seqs.join(had, F.col(user).eqNullSafe(F.col("_u")), "left").filter(F.coalesce("_n", F.lit(0)) < n).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), F.col(user)), F.lit(FILLS)))
+    fills = universe.filter("item IS NOT NULL").withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FILLS - 1).cast("long"))))
+    wait = F.when(weight > 0, -F.log1p(-uniform(F.col("item"), F.col("_f"), seed=seed)) / weight)
+    fills = fills.select("item", "_f", F.row_number().over(Window.partitionBy("_f").orderBy(wait.asc_nulls_last(), "item")).alias("_k"))
+    enough = n + F.coalesce(F.size(F.array_distinct(items)), F.lit(0))
+    short = short.withColumn("_k", F.explode(F.sequence(F.lit(1), enough)))
+    filled = short.join(fills, ["_f", "_k"]).filter(unseen).select(user, "item", (F.col("_k") + n * tries).alias("draw"))
+    met = met.unionByName(filled).groupBy(user, "item").agg(F.min("draw").alias("draw"))
     return met.withColumn("_r", F.row_number().over(Window.partitionBy(user).orderBy("draw"))).filter(F.col("_r") <= n).select(user, "item")
 
 

@@ -23,3 +23,15 @@ def test_training_rows_reach_the_last_event(spark):
     sizes = {r["user_id"]: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}
     ends = {r["user_id"]: r["e"] for r in queries.masked_training_rows(spark, sf).groupBy("user_id").agg((F.max("start") + 20).alias("e")).collect()}
     assert ends == {u: max(n, 20) for u, n in sizes.items()}
+
+
+@pytest.mark.parametrize("popularity", [None, "popularity"])
+def test_every_user_gets_its_negatives(spark, popularity):
+    universe = spark.createDataFrame([(i, 100000 if i < 50 else 1) for i in range(100)], "item long, popularity long")
+    seen = {1: range(50), 2: range(97), 3: range(100), 4: [], 5: [0, 1], 6: range(50, 100), None: range(60)}
+    seqs = spark.createDataFrame([(u, list(x)) for u, x in seen.items()], "u long, items array<long>")
+    runs = [sorted(map(tuple, prep.negatives(d, "u", F.col("items"), universe, 5, popularity, seed=2).collect()), key=str) for d in (seqs, seqs.repartition(3))]
+    assert runs[0] == runs[1]
+    for u, x in seen.items():
+        got = [i for v, i in runs[0] if v == u]
+        assert len(got) == len(set(got)) == min(5, 100 - len(x)) and not set(got) & set(x)
