@@ -40,13 +40,15 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _ENCODERS: dict = {}
 
 
-def byte_level_encoder(path: str):
+def byte_level_encoder(path: str, added: bool = False):
     """text -> uint32 ids, for a byte-level BPE file of the ``tokenizers`` library.
 
     The file's vocabulary and pattern are run by ``tiktoken``, which gives the
     same ids (the order of ids is the order of merges) several times as fast.
+    With ``added`` the file's added tokens are single ids wherever they occur, as
+    the library has it by default; else they are text like any other.
     """
-    if path not in _ENCODERS:
+    if (path, added) not in _ENCODERS:
         import json
 
         import public_tokenizers
@@ -54,25 +56,26 @@ def byte_level_encoder(path: str):
 
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
-        special = {x["content"] for x in described["added_tokens"]}
+        special = {x["content"]: x["id"] for x in described["added_tokens"]}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in described["model"]["vocab"].items() if piece not in special}
-        _ENCODERS[path] = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    encoding = _ENCODERS[path]
+        _ENCODERS[path, added] = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+    encoding = _ENCODERS[path, added]
 
     def encode(text: str) -> np.ndarray:
         if len(text) <= SECTION:
-            return encoding.encode_to_numpy(text, disallowed_special=())
-        return np.concatenate([encoding.encode_to_numpy(x, disallowed_special=()) for x in sections(text)])
+            return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        return np.concatenate([encoding.encode_to_numpy(x, allowed_special="all", disallowed_special=()) for x in sections(text)])
 
     return encode
 
 
 def sections(text: str, size: int = SECTION) -> Iterator[str]:
     """Parts of about ``size`` characters, cut before a single space between
-    letters, where every split of the tokenizer's pattern has a border too."""
+    letters, where every split of the tokenizer's pattern has a border too and
+    no added token (they hold no space) is cut."""
     at = 0
     while len(text) - at > size:
         cut = at + size
@@ -228,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, classes: int = C
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = byte_level_encoder(tokenizer)
+        encode = byte_level_encoder(tokenizer, added=True)
         packer = Packer(TaskContext.get().partitionId() << 40, window, classes, pool)
         end = np.array([end_id], dtype=np.uint32)
 
