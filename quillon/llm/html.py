@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header li main menu nav ol p pre section span table td th tr ul h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("script style noscript template iframe object svg math select textarea title button canvas audio video head".split())
+#: Of these, those whose content is no markup: without an end tag they run to the end of the page.
+RAW = frozenset("script style noscript iframe textarea title head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
@@ -111,6 +113,7 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
     low, found, now = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source), [], Block()
     stack: list[tuple] = []  # tag, article, aside, keep
     links, at, n = 0, 0, len(source)
+    unclosed: set[str] = set()
 
     def text(raw: str) -> None:
         if raw:
@@ -142,6 +145,13 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
             continue
         closing, tag = m[1] == "/", m[2].lower()
         if not closing and tag in SKIPPED and not m[0].endswith("/>"):
+            if tag not in RAW and (tag in unclosed or low.find(f"</{tag}", at) < 0):
+                unclosed.add(tag)
+                # left open: aside up to the end of its parent or the next block
+                end()
+                stack.append((tag, False, True, False))
+                end()
+                continue
             if tag == "head" and (body := low.find("<body", at)) >= 0 and (low.find("</head", at) < 0 or body < low.find("</head", at)):
                 at = body
             else:
@@ -149,6 +159,9 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
             continue
         if tag in SKIPPED:
             continue
+        if tag in BLOCKS and tag != "option" and stack and stack[-1][0] in SKIPPED:
+            while stack and stack[-1][0] in SKIPPED:
+                stack.pop()
         if tag == "a":
             links = max(0, links - 1) if closing else 1
         if tag in ("br", "img", "input"):
