@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it. Where it is
+    unset a local folder serves in local mode (tests); on a cluster that is an error,
+    as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file://{os.path.join(tempfile.gettempdir(), 'quillon-checkpoints')}"
     spark.sparkContext.setCheckpointDir(own)
     spark.conf.set("spark.checkpoint.dir", own)
@@ -51,18 +57,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def stored(df: DataFrame) -> DataFrame:
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what
     came before, and so that later uses read only the columns they need. The
-    files go when the driver's process ends.
+    files go when the driver's process ends, or when a later table is stored
+    ``instead_of`` this one, which nothing may read from then on.
     """
     spark = df.sparkSession
     path = f"{_shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    if instead_of is not None:
+        forget(instead_of)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a stored table."""
+    if path := _PATHS.pop(df, None):
+        _drop(df.sparkSession, path)
 
 
 def about(rows: DataFrame, n: int, there: int) -> DataFrame:
@@ -84,17 +104,30 @@ def labelled_rows(labels: DataFrame, target: str, allowed: Column, per_class: in
     return first[0].union(first[1]), counts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per_class: int, max_chars: int) -> tuple[list, list, dict]:
-    """Texts and 0/1 labels to learn from, and the number of labelled rows by class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per_class: int) -> tuple[DataFrame, dict]:
+    """(doc_id, y, text) to learn from, stored, and the number of labelled rows by class.
 
     At most ``per_class`` rows of each class of the rows that ``allowed`` admits,
-    chosen by a hash of their id; of these, documents of up to ``max_chars``
-    characters. So what reaches the driver is bounded by
-    2 * per_class * max_chars characters whatever the size of the corpus.
-    Null labels and ids teach nothing.
+    chosen by a hash of their id, with their whole texts: at most 2 * per_class
+    rows whatever the size of the corpus, so the chosen ids are broadcast. Of rows
+    that repeat an id, the first by label and text counts. Null labels, ids and
+    texts teach nothing.
     """
     chosen, counts = labelled_rows(labels, target, allowed, per_class)
-    got = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= max_chars)
-           .select("doc_id", "text", "_y").collect())
-    got.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in got], [r[2] for r in got], counts
+    got = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min(F.struct(F.col("_y").alias("y"), "text")).alias("one"))
+    return stored(got.select("doc_id", "one.y", "one.text")), counts
+
+
+class Cache(dict):
+    """What ``make`` gives for a key, kept for at most ``most`` keys; then it starts anew."""
+
+    def __init__(self, make, most: int = 1 << 18):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value

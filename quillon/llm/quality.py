@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, labelled_sample
+from quillon.llm.common import WORD, Cache, labelled_sample
 
 PER_CLASS = 2500
-MAX_CHARS = 20_000
 BITS = 20
 GAIN = 20.0
 WORDS = re.compile(WORD)
@@ -40,17 +40,12 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", out)
 
 
-class _Hashes(dict):
-    """word -> (hash of the lower-cased word, hash of its shape) in one number."""
+def hashes_of(word: str) -> int:
+    """Hash of the lower-cased word, then that of its shape, in one number."""
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(b"\x01" + shape(word).encode("utf-8", "surrogatepass"))
 
-    def __missing__(self, word):
-        h = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(b"\x01" + shape(word).encode("utf-8", "surrogatepass"))
-        if len(self) < 1_000_000:
-            self[word] = h
-        return h
 
-
-def places(text: str | None, hashes: _Hashes) -> np.ndarray:
+def places(text: str | None, hashes: Cache) -> np.ndarray:
     """The hashed places of a text's n-grams, with repetitions."""
     words = WORDS.findall(text or "")
     if not words:
@@ -75,7 +70,7 @@ class Model:
     bias: float
 
     def scorer(self):
-        hashes, weights, bias = _Hashes(), self.weights, self.bias
+        hashes, weights, bias = Cache(hashes_of), self.weights, self.bias
 
         def score(text: str | None) -> float:
             at = places(text, hashes)
@@ -85,19 +80,34 @@ class Model:
         return score
 
 
-def train(texts: list[str], labels: list[int], counts: dict[int, int], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
-    """FTRL-proximal over the sample in seeded order, classes weighed equally;
-    the bias then moves to the classes' true proportion."""
+def counted(sample: DataFrame) -> DataFrame:
+    """doc_id, y, and as packed numbers: the places of a text's n-grams (``at``,
+    int32) and its values there (``x``, float32)."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Cache(hashes_of)
+        for batch in batches:
+            out = []
+            for doc_id, y, text in zip(batch["doc_id"], batch["y"], batch["text"], strict=True):
+                at = places(text, hashes)
+                where, times = np.unique(at, return_counts=True)
+                out.append((doc_id, y, where.astype("<i4").tobytes(), (GAIN * times / max(1, len(at))).astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "y", "at", "x"])
+
+    return sample.select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, at binary, x binary")
+
+
+def train(sample: DataFrame, counts: dict[int, int], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
+    """FTRL-proximal over ``sample`` (doc_id, y, text) in seeded order, classes
+    weighed equally: a score of 0.5 is the balance of two classes of one size.
+    Tasks count the n-grams; the driver sees sparse vectors only."""
     total = sum(counts.values())
+    found = sorted(counted(sample).collect())
+    labels = [r[1] for r in found]
     if not 0 < sum(labels) < len(labels):
         rate = (counts.get(1, 0) + 0.5) / (total + 1.0)
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(rate / (1 - rate))))
-    hashes = _Hashes()
-    seen = []
-    for t in texts:
-        at = places(t, hashes)
-        where, times = np.unique(at, return_counts=True)
-        seen.append((where.astype(np.int32), (GAIN * times / max(1, len(at))).astype(np.float32)))
+    seen = [(np.frombuffer(r[2], dtype="<i4"), np.frombuffer(r[3], dtype="<f4")) for r in found]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
     share = sum(labels) / len(labels)
@@ -108,7 +118,7 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], epochs: i
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for i in order.permutation(len(texts)):
+        for i in order.permutation(len(seen)):
             where, x = seen[i]
             w, b = weights(z[where], n[where], l1), float(weights(np.float64(zb), np.float64(nb), 0.0))
             p = 1 / (1 + np.exp(-np.clip(b + w @ x, -30, 30)))
@@ -124,19 +134,21 @@ def train(texts: list[str], labels: list[int], counts: dict[int, int], epochs: i
     return Model(weights(z, n, l1).astype(np.float32), bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learns from at most ``per_class`` documents of each class (see
     :func:`labelled_sample`)."""
-    return train(*labelled_sample(docs, labels, target, allowed, per_class, max_chars))
+    return train(*labelled_sample(docs, labels, target, allowed, per_class))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
-    """``docs`` with a column ``into``: the probability of label 1."""
+    """``docs`` with a column ``into``: the probability of label 1; a
+    column of that name is replaced."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = given.value.scorer()
-        return pd.Series([one(t) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype="float64")
 
     return docs.withColumn(into, score(F.col(text)))

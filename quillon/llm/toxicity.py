@@ -7,10 +7,14 @@ noisy-or deals the blame among sentences. Features are those that labelled toxic
 documents hold significantly more often; a sentence without any of them has
 probability 0, so long clean documents do not add up to toxic ones.
 
+Sentences are split and features counted in tasks over the labelled sample. Only
+the features chosen (at most MOST_FEATURES) and, of each sampled document, the
+numbers of those that its sentences hold reach the driver, which fits the weights.
+
 Null and empty texts, and texts without such words, get the rate of toxic
-documents among training documents without evidence. With no labels of one class
-every score is the observed rate. Repeated rows score alike; extra columns play
-no part. Whole texts are scored.
+documents among training documents without evidence, at most FLOOR. With no
+labels of one class every score is the observed rate. Repeated rows score alike;
+extra columns play no part. Whole texts are scored.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import labelled_sample
+from quillon.llm.common import Cache, labelled_sample
 
 PER_CLASS = 2500
-MAX_CHARS = 20_000
+MOST_FEATURES = 50_000
+#: A text without any evidence is never called toxic.
+FLOOR = 0.4
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 RESULT = "score double, spans array<struct<start:long,end:long,p:double>>"
@@ -38,6 +45,13 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in range(3, 8) if len(word) >= k)]
 
 
+def sentences(text: str | None) -> Iterator[list[str]]:
+    """The distinct words of each sentence that has any, in order of the alphabet."""
+    for m in SENTENCE.finditer(text or ""):
+        if words := set(LETTERS.findall(m[0].lower())):
+            yield sorted(words)
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -47,15 +61,7 @@ class Model:
     def scorer(self):
         """text -> (score, spans of the sentences with p >= 0.5)."""
         weights, bias, floor = self.weights, self.bias, self.floor
-
-        class Worth(dict):
-            def __missing__(self, word):
-                z = sum(weights.get(f, 0.0) for f in features(word))
-                if len(self) < 1_000_000:
-                    self[word] = z
-                return z
-
-        worth = Worth().__getitem__
+        worth = Cache(lambda word: sum(weights.get(f, 0.0) for f in features(word))).__getitem__
 
         def score(text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
             clean, spans, seen = 0.0, [], False
@@ -71,78 +77,119 @@ class Model:
         return score
 
 
-def train(texts: list[str], labels: list[int], counts: dict[int, int], rounds: int = 150, l1: float = 0.02) -> Model:
-    """Fits the model to document labels. ``counts``: labelled rows by class, by
-    which the classes of the sample are weighed."""
-    y = np.array(labels, dtype=float)
-    n1, n0 = int(y.sum()), int((1 - y).sum())
+def telling(sample: DataFrame, n0: int, n1: int, most: int = MOST_FEATURES) -> list[str]:
+    """Features of the sample (doc_id, y, text) that toxic documents hold
+    significantly more often, the clearest ``most`` of them, in order.
+
+    A sentence that several documents of one class share counts for the first of
+    them only: copies are no further evidence.
+    """
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(doc_id, y, " ".join(words)) for doc_id, y, text in zip(batch["doc_id"], batch["y"], batch["text"], strict=True) for words in sentences(text)]
+            yield pd.DataFrame(out, columns=["doc_id", "y", "words"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[Counter, Counter] = Counter(), Counter()
+        now, found = None, set()
+        for batch in batches:
+            for doc_id, y, words in zip(batch["doc_id"], batch["y"], batch["words"], strict=True):
+                if now != (doc_id, y):
+                    if now:
+                        held[now[1]].update(found)
+                    now, found = (doc_id, y), set()
+                found.update(f for w in words.split(" ") for f in features(w))
+        if now:
+            held[now[1]].update(found)
+        for y in (0, 1):
+            yield pd.DataFrame({"y": y, "feature": list(held[y]), "n": list(held[y].values())}).astype({"feature": "object", "n": "int64"})
+
+    one = sample.select("doc_id", "y", "text").mapInPandas(split, "doc_id long, y int, words string")
+    one = one.groupBy("y", "words").agg(F.min("doc_id").alias("doc_id"))
+    parts = one.repartition("doc_id").sortWithinPartitions("doc_id", "y").mapInPandas(count, "y int, feature string, n long")
+    both = parts.groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("held"))
+    a, b = F.col("toxic") / n1, F.col("held") / n0
+    pooled = (F.col("toxic") + F.col("held") + 1.0) / (n1 + n0 + 2.0)
+    both = both.withColumn("z", (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))).filter((F.col("toxic") >= 4) & (F.col("z") > 4) & (a > 2 * b))
+    return sorted(r[0] for r in both.orderBy(F.desc("z"), "feature").limit(most).select("feature").collect())
+
+
+def evidence(sample: DataFrame, chosen: list[str]) -> DataFrame:
+    """doc_id, y, and as packed int32: the numbers of the chosen features in each
+    different sentence (``cols``), how many there are (``sizes``) and how often
+    the document has that sentence (``times``)."""
+    given = sample.sparkSession.sparkContext.broadcast(chosen)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {f: i for i, f in enumerate(given.value)}
+        numbers = Cache(lambda word: [at[f] for f in features(word) if f in at])
+        pack = lambda xs: np.array(xs, dtype="<i4").tobytes()
+        for batch in batches:
+            out = []
+            for doc_id, y, text in zip(batch["doc_id"], batch["y"], batch["text"], strict=True):
+                found = Counter(tuple(x for w in words for x in numbers[w]) for words in sentences(text))
+                found.pop((), None)
+                out.append((doc_id, y, pack([x for s in found for x in s]), pack([len(s) for s in found]), pack(list(found.values()))))
+            yield pd.DataFrame(out, columns=["doc_id", "y", "cols", "sizes", "times"])
+
+    return sample.select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, cols binary, sizes binary, times binary")
+
+
+def train(sample: DataFrame, counts: dict[int, int], rounds: int = 150, l1: float = 0.02) -> Model:
+    """Fits the model to document labels of ``sample`` (doc_id, y, text).
+    ``counts``: labelled rows by class, by which the classes of the sample are weighed."""
+    there = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    n0, n1 = there.get(0, 0), there.get(1, 0)
     base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     if not n1 or not n0:
         return Model({}, 0.0, base)
-    bags = [[set(LETTERS.findall(s.lower())) for s in SENTENCE.findall(t)] for t in texts]
-    held, toxic, known = Counter(), Counter(), set()
-    for bag, label in zip(bags, labels, strict=True):
-        new = [words for words in bag if (label, frozenset(words)) not in known]  # copies are no further evidence
-        known.update((label, frozenset(words)) for words in new)
-        found = {f for words in new for w in words for f in features(w)}
-        (toxic if label else held).update(found)
-    r1 = {f: c / n1 for f, c in toxic.items() if c >= 4}
-    chosen = []
-    for f, a in r1.items():
-        b = held[f] / n0
-        pooled = (toxic[f] + held[f] + 1.0) / (n1 + n0 + 2.0)
-        if (a - b) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0)) > 4 and a > 2 * b:
-            chosen.append(f)
-    at = {f: i for i, f in enumerate(sorted(chosen))}
-    cols, rows, doc_of, empty = [], [], [], []
-    for d, bag in enumerate(bags):
-        some = False
-        for words in bag:
-            found = [at[f] for w in words for f in features(w) if f in at]
-            if found:
-                cols += found
-                rows += [len(doc_of)] * len(found)
-                doc_of.append(d)
-                some = True
-        if not some:
-            empty.append(d)
+    chosen = telling(sample, n0, n1)
+    found = sorted(evidence(sample, chosen).collect())
+    y = np.array([r[1] for r in found], dtype=float)
+    joined = lambda i: np.frombuffer(b"".join(r[i] for r in found), dtype="<i4")
+    cols, sizes, times = joined(2), joined(3), joined(4)
+    doc_of = np.repeat(np.arange(len(found)), [len(r[3]) // 4 for r in found])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    empty = np.setdiff1d(np.arange(len(found)), doc_of)
     scale = np.where(y == 1, counts[1] / n1, counts[0] / n0)
     scale /= scale.mean()
     without = y[empty] @ scale[empty], scale[empty].sum()
     floor = float((without[0] + 0.5) / (without[1] + 1.0 / base)) if len(empty) else base
-    if not at:
+    if not len(cols):
         return Model({}, 0.0, floor)
-    cols, rows, doc_of = np.array(cols), np.array(rows), np.array(doc_of)
-    w, bias = np.full(len(at), 0.5), -3.0
-    g2, b2, step = np.full(len(at), 1e-2), 1e-2, 0.3
+    w, bias = np.full(len(chosen), 0.5), -3.0
+    g2, b2, step = np.full(len(chosen), 1e-2), 1e-2, 0.3
     for _ in range(rounds):
         z = np.clip(bias + np.bincount(rows, w[cols], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc_of, np.log1p(-p), len(y)))[doc_of]
-        slope = np.where(y[doc_of] == 1, -p * clean / np.maximum(1 - clean, 1e-9), p) * scale[doc_of]
-        grad, gb = np.bincount(cols, slope[rows], len(at)), slope.sum()
+        clean = np.exp(np.bincount(doc_of, times * np.log1p(-p), len(y)))[doc_of]
+        slope = times * np.where(y[doc_of] == 1, -p * clean / np.maximum(1 - clean, 1e-9), p) * scale[doc_of]
+        grad, gb = np.bincount(cols, slope[rows], len(chosen)), slope.sum()
         g2, b2 = g2 + grad * grad, b2 + gb * gb
         rate = step / np.sqrt(g2)
         w = w - rate * grad
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
         bias -= step * gb / math.sqrt(b2)
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(bias), min(floor, 0.4))
+    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, float(bias), min(floor, FLOOR))
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "toxic", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, target: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Learns from at most ``per_class`` documents of each class (see
     :func:`labelled_sample`)."""
-    return train(*labelled_sample(docs, labels, target, allowed, per_class, max_chars))
+    return train(*labelled_sample(docs, labels, target, allowed, per_class))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``into``: score and offending spans (code points)."""
+    """``docs`` with a column ``into``: score and offending spans (code points);
+    a column of that name is replaced."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one = given.value.scorer()
-        found = [one(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in found], "spans": [[{"start": a, "end": b, "p": p} for a, b, p in x] for _, x in found]})
+        for texts in batches:
+            found = [one(t) for t in texts]
+            yield pd.DataFrame({"score": [s for s, _ in found], "spans": [[{"start": a, "end": b, "p": p} for a, b, p in x] for _, x in found]})
 
     return docs.withColumn(into, score(F.col(text)))

@@ -21,6 +21,10 @@ def docs(spark, texts, sources=None):
     return spark.createDataFrame(rows, DOCS)
 
 
+def sampled(spark, texts, labels):
+    return spark.createDataFrame([(i, y, t) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, y int, text string")
+
+
 def empty(spark):
     return spark.createDataFrame([], DOCS)
 
@@ -352,7 +356,7 @@ def test_toxicity_blames_sentences(spark):
     plain = lambda n, seed: words(n, seed).translate(letters)
     clean = [". ".join(plain(12, rng.randrange(10**6)) for _ in range(6)) for _ in range(160)]
     toxic = [". ".join([*(plain(12, rng.randrange(10**6)) for _ in range(3)), f"{plain(4, rng.randrange(10**6))} {rng.choice(['vile', 'rotten'])} {plain(4, rng.randrange(10**6))}", plain(12, i)]) for i in range(60)]
-    model = toxicity.train(clean[:120] + toxic[:40], [0] * 120 + [1] * 40, {0: 120, 1: 40})
+    model = toxicity.train(sampled(spark, clean[:120] + toxic[:40], [0] * 120 + [1] * 40), {0: 120, 1: 40})
     score = model.scorer()
     assert all(score(t)[0] < 0.5 for t in clean[120:]) and all(score(t)[0] >= 0.5 for t in toxic[40:])
     for t in toxic[40:]:
@@ -360,14 +364,14 @@ def test_toxicity_blames_sentences(spark):
         assert spans and all(re.search("vile|rotten", t[a:b]) for a, b, _ in spans)
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.scored(docs(spark, [None, "", toxic[50], ". ".join(clean)]), model).collect()}
     assert got[0]["score"] == got[1]["score"] == model.floor < 0.5 <= got[2]["score"] and got[3]["score"] < 0.5
-    assert toxicity.train([], [], {}).scorer()("x")[0] == pytest.approx(0.5)
+    assert toxicity.train(sampled(spark, [], []), {}).scorer()("x")[0] == pytest.approx(0.5)
 
 
 def test_quality_learns_shapes(spark):
     good = [words(40 + i, i) for i in range(120)]
     bad = [" ".join(w + "%%%" for w in words(40 + i, 500 + i).split()) for i in range(60)] + [" ".join([f"w{i}"] * 50) for i in range(60)]
     texts, labels = good + bad, [1] * 120 + [0] * 120
-    model = quality.train(texts[::2], labels[::2], {0: 60, 1: 60})
+    model = quality.train(sampled(spark, texts[::2], labels[::2]), {0: 60, 1: 60})
     score = model.scorer()
     right = np.mean([(score(t) >= 0.5) == bool(y) for t, y in zip(texts[1::2], labels[1::2], strict=True)])
     assert right > 0.95
@@ -387,6 +391,17 @@ def test_samples_are_bounded_and_obey_folds(spark):
 
     df = docs(spark, [words(5, i) for i in range(60)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    texts, ys, counts = labelled_sample(df, labels, "quality", F.col("doc_id") % 3 != 1, 7, 1000)
+    sample, counts = labelled_sample(df, labels, "quality", F.col("doc_id") % 3 != 1, 7)
+    texts, ys = zip(*sample.select("text", "y").collect(), strict=True)
     assert len(texts) == 14 and sum(ys) == 7 and counts == {0: 20, 1: 20}
     assert not set(texts) & {words(5, i) for i in range(60) if i % 3 == 1}
+
+
+def test_samples_take_one_row_of_an_id_and_long_texts(spark):
+    from quillon.llm.common import labelled_sample
+
+    long = words(30_000, 3)
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, long), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    sample, _ = labelled_sample(df, labels, "quality", F.lit(True), 10)
+    assert sorted(map(tuple, sample.select("doc_id", "y", "text").collect())) == [(1, 1, "a"), (2, 0, long)]
