@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a Python worker is handed at a time: texts are long, and a worker keeps the
+#: memory of its largest batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, for work in Python: sets the session's Arrow batches to at most 1000
+    rows and 4 MiB, where they are at Spark's defaults."""
+    for key, (default, ours) in BATCHES.items():
+        if df.sparkSession.conf.get(key, default).rstrip("b") == default:
+            df.sparkSession.conf.set(key, ours)
+    return df
+
+
 def n_words(text: Column) -> Column:
     """Number of words in ``text`` as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
