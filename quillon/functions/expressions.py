@@ -31,8 +31,11 @@ def split_key(key: Column, share: float, decimals: int = 2) -> Column:
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A number in [0, 1) that depends on the keys and the seed only: the first 13
+    hexadecimal digits of the MD5 sum of "seed:key:...", as a fraction. Other
+    engines can compute it as well."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def modulo_hash(c: Column, size: int) -> Column:
@@ -219,3 +222,46 @@ def swish_layer_norm(x: Column, eps: float = 1e-5) -> Column:
     mean = total(x) / n
     variance = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
     return F.transform(x, lambda v: v * sigmoid((v - mean) / F.sqrt(variance + eps)))
+
+
+def mixture_cross_layer(x0: Column, x: Column, experts: list[tuple[list, list, list]], bias: list[float], gates: list[list[float]] | None = None, activation=relu) -> Column:
+    """sum over experts of gate * x0 * (U act(C act(V x)) + b), plus x. ``experts``:
+    (U, C, V) each; ``gates``: one weight row each, softmax over experts; without
+    gates there is one expert."""
+    zero = lambda w: [0.0] * len(w)
+    outs = [linear(activation(linear(activation(linear(x, v, zero(v))), c, zero(c))), u, bias) for u, c, v in experts]
+    shares = [F.lit(1.0)]
+    if gates is not None:
+        raw = [F.exp(dot(x, F.array(*[F.lit(float(g)) for g in row]))) for row in gates]
+        shares = [r / reduce(lambda a, b: a + b, raw) for r in raw]
+    scaled = lambda o, g: F.transform(o, lambda e: e * g)
+    mixed = vector_sum([scaled(o, g) for o, g in zip(outs, shares, strict=True)])
+    return _times_plus(x0, mixed, x)
+
+
+def projected_interaction(vectors: list[Column], dim: int, left: list[tuple[list, list]], right: list[tuple[list, list]]) -> Column:
+    """The first vector, then the products of two projections of all vectors: a
+    perceptron gives rows of ``dim``, the other one columns of it."""
+    flat = F.concat(*vectors)
+    a, b = mlp(flat, left), mlp(flat, right)
+    n, m = len(left[-1][0]) // dim, len(right[-1][0]) // dim
+    cell = lambda i, j: reduce(lambda s, t: s + t, [F.get(a, F.lit(i * dim + d)) * F.get(b, F.lit(d * m + j)) for d in range(dim)])
+    return F.concat(vectors[0], F.array(*[cell(i, j) for i in range(n) for j in range(m)]))
+
+
+def deep_factorization(dense: Column, sparse: list[Column], deep: list[tuple[list, list]], over: tuple[list[float], float]) -> Column:
+    """Probability of the factorization model: the dense vector, a deep part over
+    all vectors and their factorization, through one logistic unit."""
+    every = [dense, *sparse]
+    x = F.concat(dense, mlp(F.concat(*every), deep), F.array(factorization(every)))
+    return sigmoid(linear(x, [over[0]], [over[1]])[0])
+
+
+def seeded_weights(rows: int, columns: int, seed: int = 0) -> list[list[float]]:
+    """Literal weights in [-0.5, 0.5) by a rule, for tables and tests without trained ones."""
+    return [[((i * 31 + j * 17 + seed * 13) % 101) / 101.0 - 0.5 for j in range(columns)] for i in range(rows)]
+
+
+def seeded_vector(id_: Column, dim: int, low: float = -1.0, high: float = 1.0, seed: int = 0) -> Column:
+    """A first vector for an id: uniform components that depend on id, place and seed."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: low + (high - low) * uniform(id_, i, seed=seed))

@@ -1,8 +1,9 @@
 """Embedding lookups: joins of long ids with vector tables, and pooling.
 
 Vectors are summed element by element. Two plans give the same results: long
-(explode the elements, sum by place: fixed memory for any bag) and folded
-(collect a bag's vectors, add them up: fewer rows for short bags). Small tables
+(explode the elements, sum by place: for vectors of any or of mixed lengths) and
+wide (one sum for each of ``dim`` places: a row for each bag is all that is
+shuffled). Both sum before they shuffle, so a bag may be of any size. Small tables
 are broadcast by the engine from their statistics; large ones are shuffled or
 bucketed by id. With ``dedup`` each distinct id is looked up once.
 """
@@ -22,15 +23,13 @@ def matched(long: DataFrame, table: DataFrame, dedup: bool = False) -> DataFrame
 
 def pooled(long: DataFrame, table: DataFrame, mode: str = "sum", dim: int | None = None, dedup: bool = False) -> DataFrame:
     """(row, key, vec): weighted sum, or mean, of each bag's vectors. With
-    ``dim`` the vectors of a bag are folded, else summed element by element."""
+    ``dim`` the sums of a bag are the columns of one row, else of one row each."""
     rows = matched(long, table, dedup)
     divisor = F.count(F.lit(1)) if mode == "mean" else F.lit(1)
     if dim is not None:
-        entry = F.struct("pos", F.transform("vec", lambda x: x.cast("double")).alias("v"), F.col("weight").alias("w"))
-        got = rows.groupBy("row", "key").agg(F.array_sort(F.collect_list(entry)).alias("bag"))
-        w = (lambda e: F.lit(1.0)) if mode == "mean" else (lambda e: e["w"])
-        vec = F.aggregate("bag", F.array_repeat(F.lit(0.0), dim), lambda s, e: F.zip_with(s, e["v"], lambda a, b: a + b * w(e)))
-        return got.select("row", "key", (F.transform(vec, lambda x: x / F.size("bag")) if mode == "mean" else vec).alias("vec"))
+        w = F.lit(1.0) if mode == "mean" else F.col("weight")
+        sums = rows.groupBy("row", "key").agg(*[(F.sum(F.get("vec", F.lit(i)).cast("double") * w) / divisor).alias(f"v{i}") for i in range(dim)])
+        return sums.select("row", "key", F.array(*[f"v{i}" for i in range(dim)]).alias("vec"))
     sums = element_sums(rows, mode, divisor)
     return sums.groupBy("row", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vec"))
 
@@ -91,6 +90,41 @@ def pool_lookup(pool: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return ids.filter(ok).join(pool, "id")
 
 
+def keyed_pool_update(pool: DataFrame, updates: DataFrame, order: str, most: dict[str, int]) -> DataFrame:
+    """A pool of jagged rows (id, an array for each key of ``most``) after updates
+    with the same columns and an order. Keys may come in any column order, the last
+    update of an id wins, a missing bag is empty, and a bag longer than ``most`` of its
+    key is an error."""
+    bag = lambda k: F.coalesce(F.col(k), F.array().cast(pool.schema[k].dataType))
+    checked = lambda k: F.when(F.size(bag(k)) > most[k], F.raise_error(F.lit(f"a bag of {k} is longer than {most[k]}")).cast(pool.schema[k].dataType)).otherwise(bag(k))
+    given = updates.select("id", F.struct(*[checked(k).alias(k) for k in most]).alias("value"), order)
+    rows = pool.select("id", F.struct(*[bag(k).alias(k) for k in most]).alias("value"))
+    return pool_update(rows, given, order).select("id", *[f"value.{k}" for k in most])
+
+
+def keyed_pool_lookup(pool: DataFrame, ids: DataFrame, size: int, keys: list[str]) -> DataFrame:
+    """The keys' bags of ids; an id outside [0, size) is an error, one that the pool
+    does not hold has empty bags."""
+    ok = F.when((F.col("id") < 0) | (F.col("id") >= size), F.raise_error(F.lit("an id is outside the pool")).cast("boolean")).otherwise(True)
+    empty = {k: F.coalesce(F.col(k), F.array().cast(pool.schema[k].dataType)) for k in keys}
+    return ids.filter(ok).join(pool.select("id", *keys), "id", "left").withColumns(empty)
+
+
+def remapped_pooled(long: DataFrame, state: DataFrame, table: DataFrame, size: int, mode: str = "sum", dim: int | None = None, by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """A remapped lookup as one call: (pooled vectors of the slots of ``state``, the
+    remapped ids). The table's ids are slots."""
+    from quillon.operators.remap import remapped
+
+    slots = remapped(long, state, size, by).drop("id").withColumnRenamed("slot", "id")
+    return pooled(slots, table, mode, dim), slots
+
+
+def pruned_pooled(long: DataFrame, prune: DataFrame, table: DataFrame, mode: str = "sum", dim: int | None = None) -> DataFrame:
+    """Pooled vectors over a pruned table: ids without a slot (id, slot) drop out."""
+    kept = long.join(prune.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("id", "_id").withColumnRenamed("slot", "id")
+    return pooled(kept, table, mode, dim)
+
+
 # --- retrieval ------------------------------------------------------------------
 def block_nearest(candidates: DataFrame, queries: DataFrame, k: int, dims: int, blocks: int | None = None) -> DataFrame:
     """Exact (query, rank, id, distance) of the ``k`` nearest by squared L2.

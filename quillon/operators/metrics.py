@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import recalibrated
+from quillon.operators.prefix import ordered_pairs
 
 # The clamp of entropies, and the number of thresholds of hindsight metrics.
 ETA = 1e-12
@@ -94,6 +95,8 @@ def metric_definitions(threshold: float = 0.5, coefficient: float = 1.0) -> dict
         "calibration_free_ne": Metric(_entropy() | {"wp": W() * P()}, lambda s: {"calibration_free_ne": _ne(s) / entropy_norm(s("pos"), s("n") - s("pos"), s("n"), s("wp"))}),
         "serving_ne": Metric(_entropy() | {"used": F.when(W() != 0, 1).otherwise(0).cast("long")}, lambda s: {"serving_ne": _ne(s), "serving_examples": s("used")}),
         "calibration": Metric({"wp": W() * P(), "wl": W() * L()}, lambda s: {"calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("wp"), s("wl")))}),
+        "serving_calibration": Metric({"wp": W() * P(), "wl": W() * L(), "used": F.when(W() != 0, 1).otherwise(0).cast("long")},
+                                      lambda s: {"serving_calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("wp"), s("wl"))), "total_examples": s("used")}),
         "recalibrated_calibration": Metric({"r_wp": W() * again, "wl": W() * L()}, lambda s: {"recalibrated_calibration": F.when(s("wl") <= 0, 0.0).otherwise(F.try_divide(s("r_wp"), s("wl")))}),
         "ctr": Metric({"wl": W() * L(), "n": W()}, lambda s: {"ctr": ratio(s("wl"), s("n"))}),
         "mse": Metric(square, lambda s: {"mse": ratio(s("se"), s("n")), "rmse": F.sqrt(ratio(s("se"), s("n"))),
@@ -199,61 +202,30 @@ def scalar(df: DataFrame, batch: str, value: Column) -> DataFrame:
     return means.agg(F.max_by("m", batch).alias("last_mean"), F.avg("m").alias("window_mean"))
 
 
-def concordance(df: DataFrame, batch: str, order: list[str]) -> DataFrame:
-    """Weighted share of pairs of a batch that predictions order as labels do
-    (or both tie): XAUC. Pairs are formed within a batch only."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
-    a = numbered.select(batch, *[F.col(c).alias(f"a_{c}") for c in ("_i", "label", "prediction", "weight")])
-    b = numbered.select(batch, *[F.col(c).alias(f"b_{c}") for c in ("_i", "label", "prediction", "weight")])
-    pairs = a.join(b, batch).filter("a__i < b__i")
-    agree = F.signum(F.col("a_label") - F.col("b_label")) == F.signum(F.col("a_prediction") - F.col("b_prediction"))
-    w = F.col("a_weight") * F.col("b_weight")
-    return pairs.agg((F.sum(F.when(agree, w).otherwise(0.0)) / F.sum(w)).alias("xauc"))
+def concordance(df: DataFrame, batch: str) -> DataFrame:
+    """Weighted share of pairs of rows of a batch that predictions order as labels
+    do (or both tie): XAUC. Ordered pairs are counted, not listed."""
+    ordered = ordered_pairs(df, [batch], P(), L(), W()).agg(F.sum("pairs").alias("o"))
+    pairs = lambda *keys: df.groupBy(*keys).agg(((F.sum(W()) * F.sum(W()) - F.sum(W() * W())) / 2.0).alias("p")).agg(F.sum("p"))
+    tied, every = pairs(batch, "prediction", "label").toDF("t"), pairs(batch).toDF("n")
+    return ordered.join(F.broadcast(tied)).join(F.broadcast(every)).select(((F.coalesce("o", F.lit(0.0)) + F.col("t")) / F.col("n")).alias("xauc"))
 
 
-#: Groups of up to so many rows have their inversions counted in an expression.
-SMALL_GROUP = 32
+def regression_auc(df: DataFrame, by: list[str]) -> DataFrame:
+    """1 - inversions / pairs of each group, by (prediction, label); null for one
+    row. An inversion is a pair whose labels are in the other order than its
+    predictions; pairs are counted, not listed."""
+    inverted = ordered_pairs(df, by, P(), -L(), F.lit(1.0)).select(*[F.col(c).alias(f"_i_{c}") for c in by], "pairs")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    both = sizes.join(inverted, [F.col(c).eqNullSafe(F.col(f"_i_{c}")) for c in by], "left")
+    n = F.col("_n")
+    return both.select(*by, F.when(n > 1, 1.0 - F.coalesce("pairs", F.lit(0.0)) / (n * (n - 1) / 2)).alias("rauc"))
 
 
-def regression_auc(df: DataFrame, by: list[str]) -> DataFrame:
-    """1 - inversions / pairs of each group, by (prediction, label); null for
-    one row. Small groups are counted pair by pair in an expression, larger ones
-    by merging sorted halves, one group at a time."""
-    sizes = df.groupBy(*by).count()
-    large = sizes.filter(F.col("count") > SMALL_GROUP).select(*by)
-    labels = F.transform(F.array_sort(F.collect_list(F.struct("prediction", "label"))), lambda x: x["label"])
-    lists = df.join(large, by, "left_anti").groupBy(*by).agg(labels.alias("ls"))
-    pairs = F.aggregate(F.transform("ls", lambda a, i: F.size(F.filter(F.slice("ls", i + 2, F.size("ls")), lambda b: b < a))), F.lit(0), lambda s, x: s + x)
-    n = F.size("ls").cast("double")
-    few = lists.select(*by, F.when(n > 1, 1.0 - pairs / (n * (n - 1) / 2)).alias("rauc"))
-    return few.unionByName(_merge_counted(df.join(large, by, "left_semi"), by))
-
-
-def _merge_counted(df: DataFrame, by: list[str]) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    def inversions(x: np.ndarray) -> int:
-        ranks = np.unique(x, return_inverse=True)[1]
-        count, width = 0, 1
-        runs = ranks.astype(np.int64)
-        while width < len(runs):
-            for at in range(0, len(runs), 2 * width):
-                left, right = runs[at:at + width], runs[at + width:at + 2 * width]
-                if len(right):
-                    count += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-                    runs[at:at + 2 * width] = np.sort(runs[at:at + 2 * width], kind="stable")
-            width *= 2
-        return count
-
-    def one(key, g: pd.DataFrame) -> pd.DataFrame:
-        n = len(g)
-        labels = g.sort_values(["prediction", "label"])["label"].to_numpy()
-        value = None if n < 2 else 1.0 - inversions(labels) / (n * (n - 1) / 2)
-        return pd.DataFrame([(*key, value)])
-
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, "label", "prediction").groupBy(*by).applyInPandas(one, f"{fields}, rauc double")
+def latest_outputs(df: DataFrame, batch: str, outputs: list[str], by: list[str] = ()) -> DataFrame:
+    """The means of model outputs over the last batch of each group: the last write wins."""
+    means = df.groupBy(*by, batch).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in outputs])
+    return means.groupBy(*by).agg(*[F.max_by(c, batch).alias(f"output_{c}") for c in outputs])
 
 
 def id_distribution(df: DataFrame, feature: str, id_: str, buckets: int) -> DataFrame:
@@ -269,12 +241,13 @@ def collision_bounds(df: DataFrame, slot: Column, id_: str, order: str) -> DataF
                                    (F.sum("n") - F.min("n")).alias("collisions_most"), (F.sum("n") - F.max("n")).alias("collisions_least"))
 
 
-def throughput(log: DataFrame, warmup: int, window_seconds: float) -> DataFrame:
+def throughput(log: DataFrame, warmup: int, window_seconds: float, by: list[str] = ()) -> DataFrame:
     """Examples per second over all batches after ``warmup`` and over the last
-    ``window_seconds`` of them, from a log (batch, examples, seconds)."""
+    ``window_seconds`` of them, from a log (batch, examples, seconds); with ``by``
+    for each task. A log has a row per batch; its times are cumulated by the batch."""
     used = log.filter(F.col("batch") > warmup)
-    since = F.sum("seconds").over(Window.orderBy(F.desc("batch")))
-    return used.withColumn("since", since).agg(
+    since = F.sum("seconds").over(Window.partitionBy(*by).orderBy(F.desc("batch")))
+    return used.withColumn("since", since).groupBy(*by).agg(
         F.sum("examples").alias("total_examples"), (F.sum("examples") / F.sum("seconds")).alias("lifetime_qps"),
         (F.sum(F.when(F.col("since") <= window_seconds, F.col("examples"))) / F.sum(F.when(F.col("since") <= window_seconds, F.col("seconds")))).alias("window_qps"))
 

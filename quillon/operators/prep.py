@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import left_padded, uniform
-from quillon.operators.prefix import running_total
+from quillon.operators.prefix import magnitude, ordered_buckets, ranked, running_total
 
 
 #: Orders of all items for users whose draws did not give enough.
@@ -19,15 +19,16 @@ def contiguous_ids(df: DataFrame, column: str, order: list[str], threshold: int)
     first = F.struct(*[F.col(c) for c in order])
     seen = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
     often = seen.filter(F.col("n") >= threshold) if threshold > 1 else seen
-    often = often.withColumn("id", F.row_number().over(Window.orderBy("first")) + 1)
+    often = ranked(often.select(column, "first", F.col(f"first.{order[0]}").alias("_o")), ["_o", "first"], "id", 2)
     rare = seen.filter(F.col("n") < threshold).withColumn("id", F.lit(1)) if threshold > 1 else None
     out = often.select(column, "id")
     return out.union(rare.select(column, "id")) if rare is not None else out
 
 
 def encoded(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``df`` with the ids of ``column`` in its place."""
-    return df.join(ids, column).drop(column).withColumnRenamed("id", column)
+    """``df`` with the ids of ``column`` in its place; null is a value like others."""
+    given = ids.select(F.col(column).alias("_value"), F.col("id").alias("_id"))
+    return df.join(given, F.col(column).eqNullSafe(F.col("_value"))).drop(column, "_value").withColumnRenamed("_id", column)
 
 
 def random_split(df: DataFrame, share: float, *keys: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +55,9 @@ def frequent(df: DataFrame, user: str, item: str, rating: str, least_rating: flo
 
 def dense_index(df: DataFrame, column: str, start: int) -> DataFrame:
     """``column`` replaced by its rank among the distinct values. The ranks are
-    made from distinct values, so no window sees all rows."""
-    ids = df.select(column).distinct().withColumn("_id", F.row_number().over(Window.orderBy(column)) + (start - 1))
-    return df.join(ids, column).drop(column).withColumnRenamed("_id", column)
+    made from distinct values in ordered buckets, so no window sees all of them;
+    null, if there, is the first value."""
+    return encoded(df, ranked(df.select(column).distinct(), [column], "id", start), column)
 
 
 def file_row_ranges(files: DataFrame, world: int, order: str, length: str) -> DataFrame:
@@ -109,9 +110,8 @@ def run_numbers(df: DataFrame, column: str, order: list[str], by: list[str] = ()
 def shuffled(df: DataFrame, key: list[str], days: list[int], seed: int = 0) -> DataFrame:
     """All rows in seeded order (``place``), cut into days of the given sizes.
     The order is a hash; its leading bits are buckets that are numbered apart."""
-    u = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    rows = df.withColumn("_u", u)
-    placed = running_total(rows, ["_u", *key], F.shiftright("_u", 52), F.lit(1).cast("long"), "place").drop("_u")
+    rows = df.withColumn("_u", uniform(*[F.col(k) for k in key], seed=seed))
+    placed = running_total(rows, ["_u", *key], F.floor(F.col("_u") * 4096), F.lit(1).cast("long"), "place").drop("_u")
     day, at = F.lit(len(days) - 1), sum(days)
     for i in range(len(days) - 1, 0, -1):
         at -= days[i]
@@ -156,9 +156,8 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
     Users who are still short go on along one of FILLS seeded orders of the items,
     weighted alike, of which the first ``n`` and as many as they have seen are enough."""
     weight = F.col(popularity).cast("long") if popularity else F.lit(1).cast("long")
-    line = Window.orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = universe.withColumn("_hi", F.sum(weight).over(line)).withColumn("_lo", F.col("_hi") - weight)
-    total = u.agg(F.max("_hi")).first()[0] or 0
+    u = running_total(universe, ["item"], ordered_buckets(universe, "item"), weight, "_lo").withColumn("_hi", F.col("_lo") + weight)
+    total = universe.agg(F.sum(weight)).first()[0] or 0
     width = max(1, total // 4096)
     places = u.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
     draws = seqs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1)))).withColumn("_at", F.floor(uniform(F.col(user), F.col("draw"), seed=seed) * total))
@@ -169,7 +168,8 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
     short = seqs.join(had, F.col(user).eqNullSafe(F.col("_u")), "left").filter(F.coalesce("_n", F.lit(0)) < n).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), F.col(user)), F.lit(FILLS)))
     fills = universe.filter("item IS NOT NULL").withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FILLS - 1).cast("long"))))
     wait = F.when(weight > 0, -F.log1p(-uniform(F.col("item"), F.col("_f"), seed=seed)) / weight)
-    fills = fills.select("item", "_f", F.row_number().over(Window.partitionBy("_f").orderBy(wait.asc_nulls_last(), "item")).alias("_k"))
+    fills = fills.select("item", "_f", wait.alias("_w"))
+    fills = running_total(fills, [F.asc_nulls_last("_w"), "item"], F.coalesce(magnitude(F.col("_w")), F.lit(1 << 40)), F.lit(1).cast("long"), "_k", ["_f"]).select("item", "_f", (F.col("_k") + 1).alias("_k"))
     enough = n + F.coalesce(F.size(F.array_distinct(items)), F.lit(0))
     short = short.withColumn("_k", F.explode(F.sequence(F.lit(1), enough)))
     filled = short.join(fills, ["_f", "_k"]).filter(unseen).select(user, "item", (F.col("_k") + n * tries).alias("draw"))
@@ -177,8 +177,8 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
     return met.withColumn("_r", F.row_number().over(Window.partitionBy(user).orderBy("draw"))).filter(F.col("_r") <= n).select(user, "item")
 
 
-def masked_windows(seqs: DataFrame, user: str, items: str, width: int, share: float, mask: int, n_items: int, pad: int = 0, seed: int = 0) -> DataFrame:
-    """Training rows: windows over a sequence, stepping back from its end by a
+def masked_windows(seqs: DataFrame, user: str, items: str, width: int, share: float, mask: int, n_items: int, pad: int = 0, seed: int = 0, copies: int = 1) -> DataFrame:
+    """Training rows: ``copies`` differently masked ones of each of the windows over a sequence, stepping back from its end by a
     tenth of their width and with one at its start, so that each item is in one;
     in them a seeded share of places is hidden (four fifths by the mask token,
     the rest by a random item) and becomes the label; others have label ``pad``."""
@@ -186,8 +186,10 @@ def masked_windows(seqs: DataFrame, user: str, items: str, width: int, share: fl
     back = F.sequence(F.greatest(last, F.lit(1)), F.lit(1), F.lit(-max(1, width // 10)))
     starts = F.when(last > 0, F.concat(back, F.array(F.lit(0)))).otherwise(F.array(F.lit(0)))
     rows = seqs.withColumn("start", F.explode(starts)).withColumn("window", left_padded(F.slice(items, F.col("start") + 1, F.lit(width)), width, F.lit(pad)))
-    u = lambda i, k: uniform(F.col(user), F.col("start"), i, seed=seed + k)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    again = [F.when(F.col("copy") > 0, F.col("copy"))]  # skipped in the first copy
+    u = lambda i, k: uniform(F.col(user), F.col("start"), i, *again, seed=seed + k)
     hidden = lambda x, i: (x != pad) & (u(i, 1) < share)
     tokens = F.transform("window", lambda x, i: F.when(hidden(x, i), F.when(u(i, 2) < 0.8, F.lit(mask)).otherwise(1 + F.floor(u(i, 3) * n_items))).otherwise(x))
     labels = F.transform("window", lambda x, i: F.when(hidden(x, i), x).otherwise(pad))
-    return rows.select(user, "start", tokens.alias("tokens"), labels.alias("labels"))
+    return rows.select(user, "start", "copy", tokens.alias("tokens"), labels.alias("labels"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.metrics import ratio
+from quillon.operators.prefix import magnitude, running_totals
 
 
 def L() -> Column:  # noqa: N802
@@ -25,11 +26,12 @@ LABEL_BIN, IDEAL_FLOOR, GAUC_EPS = 0.039, 1e-6, 1e-9
 
 def _by_prediction(df: DataFrame, by: list[str]) -> DataFrame:
     """Weighted positives and negatives of each distinct prediction, with those
-    at higher predictions. Ties are one step, so the order of rows is irrelevant
-    and the window sees distinct predictions only."""
+    at higher predictions. Ties are one step, so the order of rows is irrelevant;
+    steps are cumulated within buckets of predictions, so that no task sorts all
+    predictions of a group."""
     steps = df.groupBy(*by, "prediction").agg(F.sum(W() * L()).alias("t"), F.sum(W() * (1.0 - L())).alias("f"))
-    down = Window.partitionBy(*by).orderBy(F.desc("prediction")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumns({"ct": F.sum("t").over(down), "cf": F.sum("f").over(down)})
+    above = running_totals(steps, [F.desc("prediction")], -magnitude(P()), {"ct": F.col("t"), "cf": F.col("f")}, by)
+    return above.withColumns({"ct": F.col("ct") + F.col("t"), "cf": F.col("cf") + F.col("f")})
 
 
 def auc(df: DataFrame, by: list[str], apply_bin: bool = False) -> DataFrame:
@@ -43,11 +45,9 @@ def auc(df: DataFrame, by: list[str], apply_bin: bool = False) -> DataFrame:
 
 def auprc(df: DataFrame, by: list[str]) -> DataFrame:
     """Area under precision over recall, by left rectangles at distinct predictions."""
-    points = _by_prediction(df, by)
-    whole = Window.partitionBy(*by)
     precision = F.coalesce(F.try_divide(F.col("ct"), F.col("ct") + F.col("cf")), F.lit(0.0))
-    step = F.coalesce(F.try_divide(F.col("t"), F.sum("t").over(whole)), F.lit(0.0))
-    return points.select(*by, (step * precision).alias("a")).groupBy(*by).agg(F.sum("a").alias("auprc"))
+    area = F.try_divide(F.sum(F.col("t") * precision), F.sum("t"))
+    return _by_prediction(df, by).groupBy(*by).agg(F.coalesce(area, F.lit(0.0)).alias("auprc"))
 
 
 def mean_of_groups(values: DataFrame, value: str, by: list[str], empty: float) -> DataFrame:

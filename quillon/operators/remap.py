@@ -7,27 +7,42 @@ take the freed slots in order. The last slot is reserved for misses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import uniform
+from quillon.operators.prefix import magnitude, running_total
+
+#: Slots that are listed and numbered together.
+SLOT_BLOCK = 4096
+
+
+#: Policies by name: (now, decay) -> what is kept, the largest first.
+POLICIES: dict[str, Callable[[Column, float], Column]] = {
+    "lfu": lambda now, decay: F.col("count").cast("double"),
+    "lru": lambda now, decay: -F.pow((now - F.col("last") + 1).cast("double"), F.lit(decay)),
+    "distance_lfu": lambda now, decay: F.col("count") / F.pow((now - F.col("last") + 1).cast("double"), F.lit(decay)),
+}
 
 
-def score(policy: str, now: Column, decay: float = 1.0) -> Column:
-    """What a policy keeps: the largest scores."""
-    age = (now - F.col("last") + 1).cast("double")
-    if policy == "lfu":
-        return F.col("count").cast("double")
-    if policy == "lru":
-        return -F.pow(age, F.lit(decay))
-    if policy == "distance_lfu":
-        return F.col("count") / F.pow(age, F.lit(decay))
-    raise ValueError(f"no policy {policy!r}")
+def score(policy: str | Callable[[Column, float], Column], now: Column, decay: float = 1.0) -> Column:
+    """What a policy keeps: the largest scores. A policy is a name of POLICIES or a
+    function of the interval and the decay over the columns count and last."""
+    if callable(policy):
+        return policy(now, decay)
+    if policy not in POLICIES:
+        raise ValueError(f"no policy {policy!r}")
+    return POLICIES[policy](now, decay)
 
 
-def admitted(counts: DataFrame, rule: str = "all", value: float = 1.0, seed: int = 0) -> DataFrame:
+def admitted(counts: DataFrame, rule: str | Callable[[DataFrame], DataFrame] = "all", value: float = 1.0, seed: int = 0) -> DataFrame:
     """Ids (id, count) that may enter: all; those above ``value`` times the mean
-    count (average: the mean); or by chance 1 - (1 - value)^count."""
+    count (average: the mean); by chance 1 - (1 - value)^count; or what a function
+    of the counts returns."""
+    if callable(rule):
+        return rule(counts)
     if rule == "all":
         return counts
     if rule in ("average", "dynamic"):
@@ -46,14 +61,17 @@ def updated(state: DataFrame, batch: DataFrame, size: int, policy: str = "lfu",
     new = batch.select(*keys, F.col("count").alias("c1"))
     both = old.join(new, keys, "full").select(*keys, "slot", (F.coalesce("c0", F.lit(0)) + F.coalesce("c1", F.lit(0))).alias("count"),
                                                F.when(F.col("c1").isNotNull(), F.lit(now)).otherwise(F.col("l0")).alias("last"))
-    order = Window.partitionBy(*by).orderBy(F.desc(score(policy, F.lit(now), decay)), F.col("slot").isNull(), "slot", "id")
-    both = both.withColumn("_keep", F.row_number().over(order) <= size - 1)
-    stay = both.filter("_keep AND slot IS NOT NULL").drop("_keep")
-    enter = both.filter("_keep AND slot IS NULL").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score(policy, F.lit(now), decay)), "id")))
-    slots = batch.sparkSession.range(size - 1).withColumnRenamed("id", "slot")
-    if by:
-        slots = both.select(*by).distinct().join(F.broadcast(slots))
-    free = slots.join(stay.select(*by, "slot"), [*by, "slot"], "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("slot")))
+    both = both.withColumn("_s", score(policy, F.lit(now), decay))
+    order = [F.desc("_s"), F.col("slot").isNull(), "slot", "id"]
+    one = F.lit(1).cast("long")
+    both = running_total(both, order, -magnitude(F.col("_s")), one, "_r", by).filter(F.col("_r") < size - 1)
+    stay = both.filter("slot IS NOT NULL")
+    enter = running_total(both.filter("slot IS NULL"), [F.desc("_s"), "id"], -magnitude(F.col("_s")), one, "_k", by)
+    room = F.greatest(F.lit(1), F.ceil(F.lit((size - 1) / SLOT_BLOCK))).cast("long")
+    tables = both.select(*by).distinct() if by else batch.sparkSession.range(1).select()
+    slots = tables.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), room - 1))).withColumn("slot", F.explode(F.sequence(F.col("_c") * SLOT_BLOCK, (F.col("_c") + 1) * SLOT_BLOCK - 1))).filter(F.col("slot") < size - 1)
+    free = slots.select(*by, "slot").join(stay.select(*by, "slot"), [*by, "slot"], "left_anti")
+    free = running_total(free, ["slot"], F.floor(F.col("slot") / SLOT_BLOCK), one, "_k", by)
     placed = enter.drop("slot").join(free, [*by, "_k"]).select(*keys, "slot", "count", "last")
     return stay.select(*keys, "slot", "count", "last").unionByName(placed)
 
@@ -113,8 +131,7 @@ def ttl_score(hours: Column, ttl: Column) -> Column:
 
 def prune_map(usage: DataFrame, keep: int) -> DataFrame:
     """(id, slot): the ``keep`` most used ids get slots 0 .. keep-1, others none."""
-    order = Window.orderBy(F.desc("count"), "id")
-    return usage.orderBy(F.desc("count"), "id").limit(keep).withColumn("slot", F.row_number().over(order) - 1).select("id", "slot")
+    return running_total(usage, [F.desc("count"), "id"], -magnitude(F.col("count")), F.lit(1).cast("long"), "slot").filter(F.col("slot") < keep).select("id", "slot")
 
 
 def prune_due(step: Column, interval: int, start: int = 0) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as X
-from quillon.operators import jagged, layout, lookup, metrics, prefix, prep, ranking, remap
+from quillon.operators import jagged, layout, lookup, metrics, models, prefix, prep, ranking, remap, retrieval, transformers
 from quillon.plans import planner
 from quillon.sources import readers
 from quillon.streaming import streams
@@ -87,6 +87,7 @@ for _name, _metrics, _sql in (
     ("metric_ne_calibration_free", ["calibration_free_ne"], f"round(ce / {NORM} / (-pos * log2(wp / n) - (n - pos) * log2(1 - wp / n)), 6) AS calibration_free_ne"),
     ("metric_ne_serving", ["serving_ne"], f"round(ce / {NORM}, 6) AS serving_ne, used AS serving_examples"),
     ("metric_calibration", ["calibration"], "round(CASE WHEN pos <= 0 THEN 0 ELSE wp / pos END, 6) AS calibration"),
+    ("metric_calibration_serving", ["serving_calibration"], "round(CASE WHEN pos <= 0 THEN 0 ELSE wp / pos END, 6) AS serving_calibration, used AS total_examples"),
     ("metric_ctr", ["ctr"], "round(pos / n, 6) AS ctr"),
     ("metric_mse_rmse_r2", ["mse"], "round(se / n, 6) AS mse, round(sqrt(se / n), 6) AS rmse, round(1 - se / (wll - pos * pos / n), 6) AS r2"),
     ("metric_mae", ["mae"], "round(ae / n, 6) AS mae"),
@@ -166,14 +167,11 @@ def metric_tensor_weighted_avg(spark, sf_dir):
     return rounded(a.join(metrics.sums_with_groups(e, ["event_type"], F.col("value")).withColumnRenamed("average", "plain"), "event_type"))
 
 
-_PAIR_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-
-
 @query(BATCH + """, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM b)
  SELECT round(sum(CASE WHEN sign(x.label - y.label) = sign(x.prediction - y.prediction) THEN x.weight * y.weight ELSE 0 END) / sum(x.weight * y.weight), 6) AS xauc
  FROM n x JOIN n y ON x.l_orderkey = y.l_orderkey AND x.i < y.i""")
 def metric_xauc(spark, sf_dir):
-    return rounded(metrics.concordance(batch(spark, sf_dir), "l_orderkey", _PAIR_ORDER))
+    return rounded(metrics.concordance(batch(spark, sf_dir), "l_orderkey"))
 
 
 @query("""WITH b AS (SELECT l_orderkey AS g, l_quantity AS label, l_discount AS prediction, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_quantity, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
@@ -202,6 +200,19 @@ def throughput_qps(spark, sf_dir):
     return rounded(metrics.throughput(log, 5, 40000))
 
 
+@query("""WITH m AS (SELECT event_type, event_id // 100 AS b, avg(value) AS value, avg(event_id % 7) AS k FROM events GROUP BY 1, 2) SELECT event_type, round(max_by(value, b), 6) AS output_value, round(max_by(k, b), 6) AS output_k FROM m GROUP BY 1""")
+def metric_output(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumns({"b": F.floor(F.col("event_id") / 100), "k": F.col("event_id") % 7})
+    return rounded(metrics.latest_outputs(e, "b", ["value", "k"], ["event_type"]))
+
+
+@query("""WITH l AS (SELECT event_type, event_id // 100 AS b, count(*) AS n, sum(value) AS s FROM events GROUP BY 1, 2), u AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY b DESC) AS since FROM l WHERE b > 5)
+ SELECT event_type, sum(n)::BIGINT AS total_examples, round(sum(n) / sum(s), 6) AS lifetime_qps, round(sum(CASE WHEN since <= 10000 THEN n END) / sum(CASE WHEN since <= 10000 THEN s END), 6) AS window_qps FROM u GROUP BY 1""")
+def tower_qps(spark, sf_dir):
+    log = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("event_id") / 100).alias("batch")).agg(F.count(F.lit(1)).alias("examples"), F.sum("value").alias("seconds"))
+    return rounded(metrics.throughput(log, 5, 10000, ["event_type"]))
+
+
 @query("""WITH l AS (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000) SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM l""")
 def percentile_log(spark, sf_dir):
     return rounded(metrics.last_percentiles(table(spark, sf_dir, "events"), "value", "event_id", 1000, [0.5, 0.9, 0.99]))
@@ -316,8 +327,8 @@ def hex_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", X.hex_id(F.lower(F.hex(F.col("user_id") * 7919))).alias("id"))
 
 
-@query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part WHERE p_size < 40 GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 3)
- SELECT p_partkey, coalesce(o.id, 1)::INT AS p_type FROM part p LEFT JOIN o ON p.p_type = o.v WHERE p_size < 40""")
+@query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 3)
+ SELECT p_partkey, coalesce(o.id, 1)::INT AS p_type FROM part p LEFT JOIN o ON p.p_type = o.v""")
 def contiguous_ids(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     return prep.encoded(p, prep.contiguous_ids(p, "p_type", ["p_partkey"], 3), "p_type").select("p_partkey", F.col("p_type").cast("int").alias("p_type"))
@@ -328,7 +339,12 @@ def idx_split(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.split_key(F.col("event_id"), 0.7).alias("train"))
 
 
-@query()
+def md5_uniform(seed: int, *keys: str) -> str:
+    """``expressions.uniform`` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT / {2**52}.0)"
+
+
+@query(f"SELECT event_id, CASE WHEN {md5_uniform(3, 'event_id')} < 0.7 THEN 'train' ELSE 'val' END AS side FROM events")
 def random_split(spark, sf_dir):
     a, b = prep.random_split(table(spark, sf_dir, "events"), 0.7, "event_id", seed=3)
     return a.select("event_id", F.lit("train").alias("side")).union(b.select("event_id", F.lit("val").alias("side")))
@@ -384,7 +400,8 @@ def session_runs(spark, sf_dir):
     return prep.run_numbers(table(spark, sf_dir, "events"), "event_type", ["event_id"], ["user_id"]).select("event_id", "run")
 
 
-@query()
+@query(f"""WITH p AS (SELECT n_nationkey, row_number() OVER (ORDER BY {md5_uniform(1, 'n_nationkey')}, n_nationkey) - 1 AS place FROM nation)
+ SELECT n_nationkey, place, (CASE WHEN place < 10 THEN 0 WHEN place < 20 THEN 1 ELSE 2 END)::INT AS day FROM p""")
 def shuffled_days(spark, sf_dir):
     o = table(spark, sf_dir, "nation").select("n_nationkey")
     return prep.shuffled(o, ["n_nationkey"], [10, 10, 5], seed=1)
@@ -429,7 +446,9 @@ def negative_samples(spark, sf_dir):
     return prep.negatives(seqs, "u", F.col("items"), items, 5, "popularity", seed=1)
 
 
-@query()
+@query(ITEMS + f""", w AS (SELECT user_id, i, unnest(CASE WHEN len(i) > 20 THEN list_concat(range(len(i) - 20, 0, -2), [0]) ELSE [0] END) AS "start" FROM s),
+ e AS (SELECT user_id, "start", unnest(i["start" + 1:"start" + 20]) AS x, unnest(range(greatest(20 - len(i), 0), 20)) AS place FROM w)
+ SELECT user_id, "start"::INT AS "start", (count(*) FILTER (x <> 0 AND {md5_uniform(2, 'user_id', '"start"', 'place')} < 0.2))::INT AS hidden FROM e GROUP BY ALL""")
 def masked_training_rows(spark, sf_dir):
     return prep.masked_windows(user_items(spark, sf_dir), "user_id", F.col("items"), 20, 0.2, -1, 1000, seed=1).withColumn("hidden", F.size(F.filter("labels", lambda x: x != 0))).select("user_id", "start", "hidden")
 
@@ -512,7 +531,7 @@ def kjt_concat(spark, sf_dir):
     return c.select("row", F.size("part").cast("long").alias("n"), F.size("supp").cast("long").alias("m"))
 
 
-@query("SELECT l_orderkey AS bag, count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("SELECT l_orderkey AS bag, count(*) AS n, sum(l_partkey)::BIGINT AS s FROM lineitem GROUP BY 1")
 def kjt_from_lengths(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     lengths = l.groupBy(F.col("l_orderkey").alias("bag")).agg(F.count(F.lit(1)).alias("length"))
@@ -549,8 +568,12 @@ def kjt_inverse_indices(spark, sf_dir):
 
 
 # --- lookups -------------------------------------------------------------------
+#: Length of the vectors in ``embeddings``.
+DIM = 64
+
+
 def vectors_of(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vec"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def id_bags(spark, sf_dir):
@@ -560,9 +583,9 @@ def id_bags(spark, sf_dir):
     return long.withColumn("id", F.pmod("id", F.lit(max(1, table(spark, sf_dir, "embeddings").count()))))
 
 
-LONG = """WITH l AS (SELECT l_orderkey AS "row", 'part' AS "key", l_partkey % 500 AS id, l_quantity AS weight, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem WHERE l_orderkey < 2000
- UNION ALL SELECT l_orderkey, 'supp', l_suppkey % 500, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 FROM lineitem WHERE l_orderkey < 2000),
- e AS (SELECT vec_id AS id, unnest(embedding[1:8]) AS x, unnest(range(8)) AS dim FROM embeddings), j AS (SELECT l.*, e.dim, e.x::DOUBLE AS x FROM l JOIN e USING (id))"""
+LONG = """WITH z AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT l_orderkey AS "row", 'part' AS "key", l_partkey % z.n AS id, l_quantity AS weight, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem, z
+ UNION ALL SELECT l_orderkey, 'supp', l_suppkey % z.n, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 FROM lineitem, z),
+ e AS (SELECT vec_id AS id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings), j AS (SELECT l.*, e.dim, e.x::DOUBLE AS x FROM l JOIN e USING (id))"""
 
 
 def _elements(df, *by):
@@ -571,7 +594,7 @@ def _elements(df, *by):
 
 @query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
 def ebc_sum(spark, sf_dir):
-    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir)), "row", "key")
+    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=DIM), "row", "key")
 
 
 @query(LONG + """ SELECT "row", "key", dim, round(avg(x), 4) AS v FROM j GROUP BY ALL""")
@@ -581,13 +604,13 @@ def ebc_mean(spark, sf_dir):
 
 @query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
 def ebc_sum_folded(spark, sf_dir):
-    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=8, dedup=True), "row", "key")
+    return _elements(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=DIM, dedup=True), "row", "key")
 
 
-@query(LONG + """, c AS (SELECT "row", CASE WHEN "key" = 'part' THEN dim ELSE dim + 8 END AS dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL) SELECT * FROM c""")
+@query(LONG + """, c AS (SELECT "row", CASE WHEN "key" = 'part' THEN dim ELSE dim + 64 END AS dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL) SELECT * FROM c""")
 def ebc_concatenated(spark, sf_dir):
-    p = lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=8)
-    return _elements(lookup.concatenated_keys(p, ["part", "supp"], 8), "row")
+    p = lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), dim=DIM)
+    return _elements(lookup.concatenated_keys(p, ["part", "supp"], DIM), "row")
 
 
 @query(LONG + """ SELECT "row", "key", pos::BIGINT AS pos, round(sum(x), 4) AS s FROM j GROUP BY ALL""")
@@ -599,7 +622,7 @@ def ec_sequence(spark, sf_dir):
 @query(LONG + """ SELECT "row", "key", dim, round(sum(x * CASE pos WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END), 4) AS v FROM j GROUP BY ALL""")
 def ebc_position_weighted(spark, sf_dir):
     long = id_bags(spark, sf_dir).withColumn("weight", F.when(F.col("pos") == 0, 3.0).when(F.col("pos") == 1, 2.0).otherwise(1.0))
-    return _elements(lookup.pooled(long, vectors_of(spark, sf_dir)), "row", "key")
+    return _elements(lookup.pooled(long, vectors_of(spark, sf_dir), dim=DIM), "row", "key")
 
 
 QUANT = LONG.replace("j AS (", "q AS (SELECT id, dim, x, min(x::DOUBLE) OVER (PARTITION BY id) AS lo, (max(x::DOUBLE) OVER (PARTITION BY id) - min(x::DOUBLE) OVER (PARTITION BY id)) / 255 AS sc FROM e), j AS (").replace("e.dim, e.x::DOUBLE AS x FROM l JOIN e", "q.dim, round((q.x::DOUBLE - lo) / sc) * sc + lo AS x FROM l JOIN q")
@@ -608,7 +631,7 @@ QUANT = LONG.replace("j AS (", "q AS (SELECT id, dim, x, min(x::DOUBLE) OVER (PA
 @query(QUANT + """ SELECT "row", "key", dim, round(sum(x * weight), 3) AS v FROM j GROUP BY ALL""")
 def quant_lookup(spark, sf_dir):
     q = lookup.dequantized(lookup.quantized(vectors_of(spark, sf_dir), 8))
-    return lookup.pooled(id_bags(spark, sf_dir), q).select("row", "key", F.posexplode("vec").alias("dim", "v")).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 3).alias("v"))
+    return lookup.pooled(id_bags(spark, sf_dir), q, dim=DIM).select("row", "key", F.posexplode("vec").alias("dim", "v")).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 3).alias("v"))
 
 
 @query("""WITH c AS (SELECT 't' || (n_nationkey % 4) AS "table", 'f' || (n_nationkey % 7) AS feature FROM nation), d AS (SELECT DISTINCT * FROM c) SELECT "table", feature, CASE WHEN count(*) OVER (PARTITION BY feature) > 1 THEN feature || '@' || "table" ELSE feature END AS name FROM d""")
@@ -639,11 +662,11 @@ def ratings_join(spark, sf_dir):
     return lookup.ratings_with_movies(r, m, "p_partkey", "at").withColumnRenamed("p_partkey", "l_partkey")
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query, c.vec_id AS id, pow(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS d FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 7 AND c.vec_id <> q.vec_id),
+@query("""WITH d AS (SELECT q.vec_id AS query, c.vec_id AS id, pow(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS d FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM d) SELECT query, id, round(d, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5""")
 def knn_exact(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return rounded(lookup.block_nearest(v, v.filter("id % 100 = 7"), 5, 64))
+    return rounded(lookup.block_nearest(v, v.filter("id % 50 = 0"), 5, 64))
 
 
 E3 = """WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS a, embedding[5:8]::DOUBLE[] AS b, embedding[9:12]::DOUBLE[] AS c FROM embeddings)"""
@@ -697,13 +720,123 @@ def swish_layer_norm(spark, sf_dir):
     return rounded(features3(spark, sf_dir).select("vec_id", X.swish_layer_norm(F.col("a"))[0].alias("s0")))
 
 
-@query()
+@query(LONG + """, m AS (SELECT "row", "key", dim, avg(x) AS v FROM j GROUP BY ALL), r AS (SELECT "row", sum(v) AS s FROM m GROUP BY 1),
+ d AS (SELECT a."row", sum(a.v * b.v) AS d FROM m a JOIN m b ON a."row" = b."row" AND a.dim = b.dim AND a."key" = 'part' AND b."key" = 'supp' GROUP BY 1)
+ SELECT "row", round(1 / (1 + exp(-(greatest(0.5 * (s + d) + 0.1, 0) - greatest(-0.5 * (s + d) + 0.1, 0)))), 6) AS p FROM r JOIN d USING ("row")""")
 def click_model_forward(spark, sf_dir):
     """Pooled bags and dense features through interaction and a final layer."""
-    p = lookup.concatenated_keys(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), "mean", dim=8), ["part", "supp"], 8)
-    a, b = F.slice("vec", 1, 8), F.slice("vec", 9, 8)
+    p = lookup.concatenated_keys(lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir), "mean", dim=DIM), ["part", "supp"], DIM)
+    a, b = F.slice("vec", 1, DIM), F.slice("vec", DIM + 1, DIM)
+    n = 2 * DIM + 1
     x = F.concat("vec", X.pairwise_dots([a, b]))
-    return rounded(p.select("row", X.sigmoid(X.mlp(x, [([[0.5] * 17, [-0.5] * 17], [0.1, 0.1]), ([[1, -1]], [0])], last=False)[0]).alias("p")))
+    return rounded(p.select("row", X.sigmoid(X.mlp(x, [([[0.5] * n, [-0.5] * n], [0.1, 0.1]), ([[1, -1]], [0])], last=False)[0]).alias("p")))
+
+
+def _linear_sql(inputs: list[str], weights, bias) -> list[str]:
+    """Outputs of a linear layer with literal weights, in SQL."""
+    return ["(" + " + ".join([*(f"({w!r}::DOUBLE * {x})" for w, x in zip(row, inputs, strict=True)), f"{b!r}::DOUBLE"]) + ")" for row, b in zip(weights, bias, strict=True)]
+
+
+def _relu_sql(xs: list[str]) -> list[str]:
+    return [f"greatest({x}, 0)" for x in xs]
+
+
+_E12 = [f"{v}[{i}]" for v in "abc" for i in (1, 2, 3, 4)]
+_DEEP = [(X.seeded_weights(3, 12, 1), [0.1, 0.0, -0.1]), (X.seeded_weights(2, 3, 2), [0.0, 0.05])]
+_OVER = ([0.3, -0.2, 0.5, 0.1, 0.7, -0.4, 0.05], -0.1)
+_FM = "0.5 * (" + " + ".join(f"(pow(a[{i}] + b[{i}] + c[{i}], 2) - a[{i}] * a[{i}] - b[{i}] * b[{i}] - c[{i}] * c[{i}])" for i in (1, 2, 3, 4)) + ")"
+
+
+def _deep_fm_sql() -> str:
+    hidden = _relu_sql(_linear_sql(_E12, *_DEEP[0]))
+    deep = _relu_sql(_linear_sql([f"h{i}" for i in range(3)], *_DEEP[1]))
+    logit = _linear_sql(["a[1]", "a[2]", "a[3]", "a[4]", "d0", "d1", "fm"], [_OVER[0]], [_OVER[1]])[0]
+    return (E3 + f", h AS (SELECT *, {', '.join(f'{x} AS h{i}' for i, x in enumerate(hidden))}, {_FM} AS fm FROM e), d AS (SELECT *, {', '.join(f'{x} AS d{i}' for i, x in enumerate(deep))} FROM h)"
+            f" SELECT vec_id, round(1 / (1 + exp(-{logit})), 6) AS p FROM d")
+
+
+@query(_deep_fm_sql())
+def factorization_model_forward(spark, sf_dir):
+    e = features3(spark, sf_dir)
+    return rounded(e.select("vec_id", X.deep_factorization(F.col("a"), [F.col("b"), F.col("c")], _DEEP, _OVER).alias("p")))
+
+
+_LEFT, _RIGHT = [(X.seeded_weights(8, 12, 3), [0.1] * 8)], [(X.seeded_weights(4, 12, 4), [0.1] * 4)]
+
+
+def _projected_sql() -> str:
+    a, b = _relu_sql(_linear_sql(_E12, *_LEFT[0])), _relu_sql(_linear_sql(_E12, *_RIGHT[0]))
+    named = ", ".join([*(f"{x} AS l{i}" for i, x in enumerate(a)), *(f"{x} AS r{i}" for i, x in enumerate(b))])
+    cells = ", ".join(f"round({' + '.join(f'l{4 * i + d} * r{d}' for d in range(4))}, 6) AS x{i}" for i in range(2))
+    return E3 + f", p AS (SELECT *, {named} FROM e) SELECT vec_id, round(a[1], 6) AS a0, {cells} FROM p"
+
+
+@query(_projected_sql())
+def projected_interaction(spark, sf_dir):
+    e = features3(spark, sf_dir).select("vec_id", X.projected_interaction([F.col(c) for c in "abc"], 4, _LEFT, _RIGHT).alias("x"))
+    return rounded(e.select("vec_id", F.col("x")[0].alias("a0"), F.col("x")[4].alias("x0"), F.col("x")[5].alias("x1")))
+
+
+_EXPERTS = [(X.seeded_weights(4, 2, 5 + k), X.seeded_weights(2, 2, 7 + k), X.seeded_weights(2, 4, 9 + k)) for k in range(2)]
+_GATES, _MIX_BIAS = X.seeded_weights(2, 4, 11), [0.1, 0.0, -0.1, 0.2]
+
+
+def _mixture_sql() -> str:
+    a, zero = [f"a[{i}]" for i in (1, 2, 3, 4)], [0.0, 0.0]
+    first = ", ".join(f"{x} AS v{k}_{i}" for k, (_, _, v) in enumerate(_EXPERTS) for i, x in enumerate(_relu_sql(_linear_sql(a, v, zero))))
+    second = ", ".join(f"{x} AS c{k}_{i}" for k, (_, c, _) in enumerate(_EXPERTS) for i, x in enumerate(_relu_sql(_linear_sql([f"v{k}_0", f"v{k}_1"], c, zero))))
+    gates = ", ".join(f"exp({x}) AS g{k}" for k, x in enumerate(_linear_sql(a, _GATES, zero)))
+    outs = [_linear_sql([f"c{k}_0", f"c{k}_1"], u, _MIX_BIAS) for k, (u, _, _) in enumerate(_EXPERTS)]
+    mixed = ", ".join(f"round(a[{i + 1}] * (g0 * {outs[0][i]} + g1 * {outs[1][i]}) / (g0 + g1) + a[{i + 1}], 6) AS m{i}" for i in range(4))
+    return E3 + f", f AS (SELECT *, {first} FROM e), s AS (SELECT *, {second}, {gates} FROM f) SELECT vec_id, {mixed} FROM s"
+
+
+@query(_mixture_sql())
+def cross_layer_mixture(spark, sf_dir):
+    a = F.col("a")
+    e = features3(spark, sf_dir).select("vec_id", X.mixture_cross_layer(a, a, _EXPERTS, _MIX_BIAS, _GATES).alias("m"))
+    return rounded(e.select("vec_id", *[F.col("m")[i].alias(f"m{i}") for i in range(4)]))
+
+
+@query()
+def sequence_model_forward(spark, sf_dir):
+    """The next items after each user's events, items being events modulo 997."""
+    seqs = user_items(spark, sf_dir).select("user_id", F.transform("items", lambda x: x % 997 + 1).alias("items"))
+    return rounded(models.next_items(seqs, "user_id", "items", models.SequenceModel.seeded(1000, 32), 5))
+
+
+@query()
+def knn_quantized(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = retrieval.fitted(v, cells=16, parts=16, bits=6)
+    return rounded(retrieval.searched(v.filter("id % 50 = 0"), retrieval.encoded(v, index), index, 5, probes=8))
+
+
+@query("""WITH s AS (SELECT user_id, min(event_id) AS f FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY f) - 1 AS k FROM s)
+ SELECT event_id, CASE WHEN k < 100 THEN k END::BIGINT AS slot FROM events JOIN r USING (user_id)""")
+def id_transform(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"))
+    done, _ = transformers.transformed(spark.createDataFrame([], transformers.STATE), ids, 100, 1, "event_id")
+    return done.select("event_id", "slot")
+
+
+@query("""WITH s AS (SELECT user_id AS id, least(31, 5 + floor(log2(count(*))))::BIGINT * 134217728 + (max(event_id) % 134217728) AS record FROM events GROUP BY 1) SELECT id, record FROM s QUALIFY row_number() OVER (ORDER BY record, id) <= 50""")
+def mixed_eviction(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("at"))
+    s = s.select("id", transformers.record(F.least(F.lit(31), 5 + F.floor(F.log2("n"))), F.col("at")).alias("record"))
+    return transformers.least_used(s, 50)
+
+
+@query("""WITH u AS (SELECT user_id AS id, event_id, [event_id, event_id + 1] AS a, CASE WHEN event_id % 3 = 0 THEN [value] END AS b FROM events WHERE user_id % 2 = 0),
+ l AS (SELECT id, max_by(a, event_id) AS a, arg_max(coalesce(b, []), event_id) AS b FROM u GROUP BY 1), p AS (SELECT DISTINCT user_id AS id FROM events)
+ SELECT p.id, array_to_string(coalesce(l.a, [0]), ',') AS a, round(coalesce(list_sum(l.b), 0), 6) AS b, coalesce(len(l.b), 0)::INT AS n FROM p LEFT JOIN l USING (id)""")
+def keyed_pool(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("id", F.col("user_id"))
+    pool = e.select("id").distinct().select("id", F.array(F.lit(0).cast("long")).alias("a"), F.array().cast("array<double>").alias("b"))
+    updates = e.filter("user_id % 2 = 0").select(F.when(F.col("event_id") % 3 == 0, F.array("value")).alias("b"), F.array(F.col("event_id"), F.col("event_id") + 1).alias("a"), "id", "event_id")
+    pool = lookup.keyed_pool_update(pool, updates, "event_id", {"a": 2, "b": 1})
+    got = lookup.keyed_pool_lookup(pool, e.select("id").distinct(), 1 << 40, ["a", "b"])
+    return got.select("id", _text("a").alias("a"), F.round(X.total(F.col("b")), 6).alias("b"), F.size("b").alias("n"))
 
 
 # --- remapping -------------------------------------------------------------------
@@ -729,7 +862,7 @@ def admission_dynamic(spark, sf_dir):
     return remap.admitted(id_counts(spark, sf_dir), "dynamic", 1.2)
 
 
-@query()
+@query(C + f" SELECT id, count FROM c WHERE 1 - pow(0.99, count) > {md5_uniform(0, 'id')}")
 def admission_probabilistic(spark, sf_dir):
     return remap.admitted(id_counts(spark, sf_dir), "probabilistic", 0.01)
 
@@ -757,17 +890,39 @@ def remap_lookup(spark, sf_dir):
     return remap.remapped(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id")), state, 40).select("event_id", "slot")
 
 
+@query(LFU + """, l AS (SELECT event_id // 10 AS "row", coalesce(t.slot, 39)::BIGINT AS slot FROM events LEFT JOIN t ON user_id = id), e AS (SELECT vec_id AS slot, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings)
+ SELECT "row", dim, round(sum(x::DOUBLE), 4) AS v FROM l JOIN e USING (slot) GROUP BY ALL""")
+def remapped_bags(spark, sf_dir):
+    state = remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lfu", 1)
+    long = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("row"), F.lit("user").alias("key"), F.col("event_id").alias("pos"), F.col("user_id").alias("id"), F.lit(1.0).alias("weight"))
+    vecs, _ = lookup.remapped_pooled(long, state, vectors_of(spark, sf_dir), 40, dim=DIM)
+    return _elements(vecs, "row")
+
+
+@query(C + """, p AS (SELECT id, row_number() OVER (ORDER BY count DESC, id) - 1 AS slot FROM c QUALIFY slot < 20), e AS (SELECT vec_id AS slot, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings)
+ SELECT event_id // 10 AS "row", dim, round(avg(x::DOUBLE), 4) AS v FROM events JOIN p ON user_id = id JOIN e USING (slot) GROUP BY ALL""")
+def pruned_bags(spark, sf_dir):
+    long = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("row"), F.lit("user").alias("key"), F.col("event_id").alias("pos"), F.col("user_id").alias("id"), F.lit(1.0).alias("weight"))
+    return _elements(lookup.pruned_pooled(long, remap.prune_map(id_counts(spark, sf_dir), 20), vectors_of(spark, sf_dir), "mean", DIM), "row")
+
+
 @query(LFU + " SELECT 39 - count(*) AS open_slots FROM t")
 def remap_open_slots(spark, sf_dir):
     return remap.open_slots(remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lfu", 1), 40)
 
 
-@query()
+def evicted_sql(score: str) -> str:
+    """The LFU update with another score of c (count), b (new count or null)."""
+    j = f"coalesce(s.c, 0) + coalesce(b.c, 0) AS c, {score} AS sc FROM s FULL JOIN b"
+    return LFU.replace("coalesce(s.c, 0) + coalesce(b.c, 0) AS c FROM s FULL JOIN b", j).replace("ORDER BY c DESC, (slot", "ORDER BY sc DESC, (slot").replace("n AS (SELECT id, c, row_number() OVER (ORDER BY c DESC, id)", "n AS (SELECT id, c, row_number() OVER (ORDER BY sc DESC, id)")
+
+
+@query(evicted_sql("CASE WHEN b.c IS NULL THEN -2 ELSE -1 END") + " SELECT id, slot::BIGINT AS slot, c::BIGINT AS count, CASE WHEN id IN (SELECT id FROM b) THEN 1 ELSE 0 END AS last FROM t")
 def lru_evict(spark, sf_dir):
     return remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "lru", 1, 1.0)
 
 
-@query()
+@query(evicted_sql("(coalesce(s.c, 0) + coalesce(b.c, 0)) / CASE WHEN b.c IS NULL THEN 2.0 ELSE 1.0 END") + " SELECT id, slot::BIGINT AS slot, c::BIGINT AS count, CASE WHEN id IN (SELECT id FROM b) THEN 1 ELSE 0 END AS last FROM t")
 def distance_lfu_evict(spark, sf_dir):
     return remap.updated(_state(spark, sf_dir, 40), id_counts(spark, sf_dir, "event_id % 2 = 1"), 40, "distance_lfu", 1, 1.0)
 
@@ -846,7 +1001,7 @@ def row_sharded_lookup(spark, sf_dir):
 
 @query(LONG + """ SELECT "row", "key", dim, round(sum(x * weight), 4) AS v FROM j GROUP BY ALL""")
 def column_sharded_lookup(spark, sf_dir):
-    shards = layout.column_shards(8, 3)
+    shards = layout.column_shards(DIM, 3)
     whole = None
     for i, c in enumerate(layout.column_slices(F.col("vec"), shards)):
         p = lookup.pooled(id_bags(spark, sf_dir), vectors_of(spark, sf_dir).select("id", c.alias("vec"))).withColumnRenamed("vec", f"v{i}")
@@ -922,6 +1077,31 @@ def plan_imbalance(spark, sf_dir):
 
 
 # --- sources and streams -------------------------------------------------------------
+_INT_SQL = "CASE WHEN (l_linenumber + {0}) % 5 = 0 THEN '' WHEN (l_linenumber + {0}) % 7 = 0 THEN 'x' || l_partkey ELSE (l_partkey * {1})::VARCHAR END"
+_CAT_SQL = "CASE WHEN (l_linenumber + {0}) % 3 = 0 THEN NULL ELSE printf('%x', l_suppkey * {1}) END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {', '.join(f"{_INT_SQL.format(i, i + 1)} AS int_{i}" for i in range(13))}, {', '.join(f"{_CAT_SQL.format(i, i + 1)} AS cat_{i}" for i in range(26))}, CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '0' ELSE 'n' END AS label FROM lineitem)
+ SELECT l_orderkey, l_linenumber, coalesce(try_cast(label AS INT), 0) AS label, ({' + '.join(f"coalesce(try_cast(int_{i} AS INT), 0)" for i in range(13))})::BIGINT AS ints, ({' + '.join(f"coalesce(('0x' || cat_{i})::BIGINT, 0)" for i in range(26))})::BIGINT AS cats FROM r""")
+def click_rows(spark, sf_dir):
+    k, n = F.col("l_linenumber"), F.col("l_partkey")
+    ints = [F.when((k + i) % 5 == 0, "").when((k + i) % 7 == 0, F.concat(F.lit("x"), n)).otherwise((n * (i + 1)).cast("string")).alias(c) for i, c in enumerate(readers.INTS)]
+    cats = [F.when((k + i) % 3 != 0, F.lower(F.hex(F.col("l_suppkey") * (i + 1)))).alias(c) for i, c in enumerate(readers.CATS)]
+    label = F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "0").otherwise("n")
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), *ints, *cats)
+    rows = readers.typed_clicks(raw, True, True, "l_orderkey", "l_linenumber")
+    added = lambda cols: sum((F.col(c).cast("long") for c in cols[1:]), F.col(cols[0]).cast("long"))
+    return rows.select("l_orderkey", "l_linenumber", "label", added(readers.INTS).alias("ints"), added(readers.CATS).alias("cats"))
+
+
+@query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 2)
+ SELECT p_partkey, round(ln(greatest(p_size - 25, 0) + 1), 6) AS p_size, coalesce(o.id, 1)::BIGINT AS p_type FROM part LEFT JOIN o ON p_type = v""")
+def prepared_features(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25).alias("p_size"), "p_type")
+    got = readers.prepared_clicks(p, "p_partkey", 2, ["p_size"], ["p_type"])
+    return rounded(got.select("p_partkey", "p_size", F.col("p_type").cast("long").alias("p_type")))
+
+
 @query()
 def random_examples(spark, sf_dir):
     return readers.random_examples(spark, ["f1", "f2"], 1000, [100, 1000], [3, 5], dense=2, seed=4)

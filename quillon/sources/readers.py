@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.expressions import hex_id, safe_cast, uniform
+from quillon.operators.prefix import running_total
+from quillon.operators.prep import contiguous_ids, encoded
 
 # The columns of a click log.
 INTS = [f"int_{i}" for i in range(13)]
@@ -20,9 +22,37 @@ def click_log(spark: SparkSession, paths: list[str] | str, labelled: bool = True
     0, missing categories "" (or 0 with ``hashed``); without a label it is -1."""
     names = (["label"] if labelled else []) + INTS + CATS
     raw = spark.read.csv(paths, sep="\t", schema=T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return typed_clicks(raw, labelled, hashed, "_metadata.file_path")
+
+
+def typed_clicks(raw: DataFrame, labelled: bool = True, hashed: bool = False, *keep: str) -> DataFrame:
+    """The columns of a click log from text: label, 13 numbers, 26 categories, and
+    columns to ``keep``."""
     label = safe_cast(F.col("label"), "int", 0) if labelled else F.lit(-1)
     cats = [(hex_id(F.col(c)) if hashed else F.coalesce(c, F.lit(""))).alias(c) for c in CATS]
-    return raw.select(label.alias("label"), *[safe_cast(F.col(c), "int", 0).alias(c) for c in INTS], *cats, F.col("_metadata.file_path").alias("path"))
+    return raw.select(label.alias("label"), *[safe_cast(F.col(c), "int", 0).alias(c) for c in INTS], *cats, *[F.col(c).alias("path") if c.startswith("_metadata") else F.col(c) for c in keep])
+
+
+def click_days(spark: SparkSession, days: list[list[str] | str], labelled: bool = True, hashed: bool = False) -> DataFrame:
+    """Click logs of consecutive days with ``day`` and ``stage``: all days but the
+    last are train, the first half (rounded up) of the last day's rows val, the rest
+    test. Rows keep the order of the files; they are numbered within file splits."""
+    logs = [click_log(spark, p, labelled, hashed).withColumn("day", F.lit(i)) for i, p in enumerate(days)]
+    last = logs[-1].withColumn("_at", F.monotonically_increasing_id())
+    placed = running_total(last, ["_at"], F.shiftright("_at", 33), F.lit(1).cast("long"), "_row").drop("_at")
+    cut = F.floor((F.lit(logs[-1].count()) + 1) / 2)
+    staged = placed.withColumn("stage", F.when(F.col("_row") < cut, "val").otherwise("test")).drop("_row")
+    return concatenated([*[x.withColumn("stage", F.lit("train")) for x in logs[:-1]], staged])
+
+
+def prepared_clicks(clicks: DataFrame, row: str, threshold: int = 1, ints: list[str] = INTS, cats: list[str] = CATS) -> DataFrame:
+    """Features for training: numbers below 0 or missing are 0 and all become
+    ln(x + 1); of each category the values seen at least ``threshold`` times get the
+    ids 2, 3, ... in the order of their first row, others 1."""
+    out = clicks.withColumns({c: F.log1p(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("double")) for c in ints})
+    for c in cats:
+        out = encoded(out, contiguous_ids(clicks, c, [row], threshold), c)
+    return out
 
 
 def ratings(spark: SparkSession, root: str, movies: bool = False) -> DataFrame:

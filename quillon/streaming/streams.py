@@ -33,7 +33,7 @@ REMAP_STATE = "ids array<long>, slots array<long>, counts array<long>, last arra
 
 def remap_stream(ids: DataFrame, buckets: int, slots_per_bucket: int, decay: float = 1.0) -> DataFrame:
     """A stream of (id, hour) remapped to bounded slots: each hash bucket keeps
-    its state and evicts by count over age. Output: id, hour, slot, hit; ids
+    its state and evicts once a trigger by count over age. Output: id, hour, slot, hit; ids
     without a slot get the bucket's last one."""
     import numpy as np
     import pandas as pd
@@ -43,13 +43,16 @@ def remap_stream(ids: DataFrame, buckets: int, slots_per_bucket: int, decay: flo
         if state.exists:
             a, b, c, d = state.get
             table = {i: [s, n, t] for i, s, n, t in zip(a, b, c, d, strict=True)}
-        for pdf in frames:
-            now = int(pdf["hour"].max())
+        chunks = [pdf for pdf in frames if len(pdf)]
+        if chunks:
+            # one eviction for a trigger's rows, however they are cut into chunks
+            now = int(max(pdf["hour"].max() for pdf in chunks))
             known = set(table)
-            for i, n in pdf["id"].value_counts(sort=False).items():
-                entry = table.setdefault(int(i), [-1, 0, now])
-                entry[1] += int(n)
-                entry[2] = now
+            for pdf in chunks:
+                for i, n in pdf["id"].value_counts(sort=False).items():
+                    entry = table.setdefault(int(i), [-1, 0, now])
+                    entry[1] += int(n)
+                    entry[2] = now
             best = sorted(table, key=lambda i: (-table[i][1] / (now - table[i][2] + 1) ** decay, table[i][0] < 0, i))
             keep = set(best[:slots_per_bucket - 1])
             table = {i: table[i] for i in sorted(keep)}
@@ -58,8 +61,9 @@ def remap_stream(ids: DataFrame, buckets: int, slots_per_bucket: int, decay: flo
                 if i in keep and table[i][0] < 0:
                     table[i][0] = next(free)
             base = int(key[0]) * slots_per_bucket
-            slot = np.array([base + (table[i][0] if i in table else slots_per_bucket - 1) for i in pdf["id"]])
-            yield pd.DataFrame({"id": pdf["id"], "hour": pdf["hour"], "slot": slot, "hit": [i in known for i in pdf["id"]]})
+            for pdf in chunks:
+                slot = np.array([base + (table[i][0] if i in table else slots_per_bucket - 1) for i in pdf["id"]])
+                yield pd.DataFrame({"id": pdf["id"], "hour": pdf["hour"], "slot": slot, "hit": [i in known for i in pdf["id"]]})
         items = list(table.items())
         state.update(([i for i, _ in items], *[[e[j] for _, e in items] for j in range(3)]))
 
