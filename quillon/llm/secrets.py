@@ -1,14 +1,19 @@
 """Secret scan: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models over the characters that secrets are written in, one of
-random strings and one of ordinary words and identifiers, are learned from
-labelled samples. A token is a secret if its log-likelihood ratio exceeds a
-threshold, which is set above nearly all ordinary tokens of the samples. Spans of
-the patterns always stay; the models add tokens that overlap none of them.
+random strings and one of ordinary text, are learned from labelled samples. Random
+strings are generated by rule, and joined by the values that the patterns find;
+ordinary are all other runs of such characters in the whole corpus, and names as
+programs have them, made by rule from WORDS. Transitions are counted over every
+text in tasks, so only one table of counts reaches the driver. A token is a secret
+if its mean log-likelihood ratio exceeds a threshold, which is set above nearly all
+names. Spans of the patterns always stay; the models add tokens that overlap none of
+them.
 
 Null and empty texts have no spans. With no documents to learn from, the samples
-are the built-in generators alone. Repeated rows are scanned alike; extra columns
-are kept. Whole texts are scanned; offsets are code points, ends exclusive.
+are the generators alone. Repeated rows are scanned alike; extra columns are kept,
+but one named like the result is replaced. Whole texts are scanned; offsets are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import about
+from quillon.llm.common import bounded
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -32,9 +38,23 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 20_000
 LEAST = 16
+#: The threshold is at least this, in nats per character.
+LOWEST = 0.5
+#: Different characters of a secret, at least: rows of dashes are none.
+VARIED = 6
+#: Words that names in programs are made of, the labelled sample of ordinary tokens.
+WORDS = """access account action active address admin agent alpha answer array author batch block buffer builder button cache
+channel chart check client cloud cluster color column command config connection content context control convert counter create current
+customer data database debug default delete device document domain driver editor element email engine error event export factory field
+file filter folder format function global graph group handler header helper history host image import index input insert instance
+interface item iterator label language layer layout library limit line list loader local lock logger main manager map master
+matrix member memory menu message method metric model module monitor mouse name network node number object offset option order
+output owner package page panel parent parser path pattern payload phone plugin point policy portal position process product profile
+project property protocol provider queue random range reader record region register remote render report request resource response
+result review router rule sample scanner schema screen script search section select sensor server service session setting shape
+signal source stack state status storage stream string student style system table target task template test theme thread time
+title topic tracker transport tree type update upload user utils value vector version video view widget window worker writer""".split()
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
@@ -65,16 +85,23 @@ def _codes(token: str) -> np.ndarray:
     return np.fromiter((CODE[c] for c in token), dtype=np.intp, count=len(token))
 
 
-def _chain(samples: list[str], smooth: float = 0.5) -> np.ndarray:
-    """Log probabilities of each character after each (0: the start)."""
-    n = len(ALPHABET) + 1
-    counts = np.zeros((n, n))
-    for s in samples:
-        c = _codes(s)
-        if len(c):
-            np.add.at(counts, (np.concatenate([[0], c[:-1]]), c), 1)
-    counts[:, 1:] += smooth
-    return np.log(counts[:, 1:] / counts[:, 1:].sum(axis=1, keepdims=True))
+N = len(ALPHABET) + 1
+#: Codes of bytes; 0 for those of no character of ALPHABET, which end a run.
+OF_BYTE = np.array([CODE.get(chr(b), 0) for b in range(256)], dtype=np.int64)
+
+
+def transitions(text: str) -> np.ndarray:
+    """Counts of each character after each (0: the start of a run) in the runs of
+    ``text``, flat."""
+    c = OF_BYTE[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    before = np.concatenate([[0], c[:-1]])
+    return np.bincount((before * N + c)[c > 0], minlength=N * N)
+
+
+def _chain(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log probabilities of each character after each."""
+    counts = counts.reshape(N, N)[:, 1:] + smooth
+    return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 @dataclass
@@ -91,7 +118,13 @@ class Model:
         """All spans: those of the patterns, and the models' beside them."""
         text = text or ""
         found = base_spans(text)
-        more = [(m.start(), 3, m.end()) for m in tokens(text) if not any(s < m.end() and m.start() < e for s, _, e in found) and self.score(m[0]) > self.threshold]
+        more, at, ends = [], 0, 0  # spans and tokens both come in order: one walk over both
+        for m in tokens(text):
+            while at < len(found) and found[at][0] < m.end():
+                ends = max(ends, found[at][2])
+                at += 1
+            if ends <= m.start() and len(set(m[0])) >= VARIED and self.score(m[0]) > self.threshold:
+                more.append((m.start(), 3, m.end()))
         return sorted(found + more)
 
 
@@ -110,36 +143,56 @@ def _identifiers(rng: random.Random, words: list[str], n: int) -> list[str]:
     return out
 
 
-def train(texts: list[str], seed: int = 11) -> Model:
-    """Learns from texts: the values that the patterns find are random strings,
-    words and all other tokens are ordinary; generators add to both."""
+def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of all texts without the patterns' spans, and of the values that
+    the patterns find, summed over the whole corpus in tasks."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, values = np.zeros(N * N, dtype=np.int64), np.zeros(N * N, dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                if not text:
+                    continue
+                at = 0
+                for a, kind, b in base_spans(text):
+                    if a >= at:
+                        rest += transitions(text[at:a])
+                    at = max(at, b)
+                    values += transitions(ASSIGN.match(text, a)[2] if kind == 0 else text[a:b])
+                rest += transitions(text[at:])
+        for kind, counts in enumerate((rest, values)):
+            some = np.flatnonzero(counts)
+            yield pd.DataFrame({"kind": np.full(len(some), kind, dtype=np.int32), "at": some.astype(np.int32), "n": counts[some]})
+
+    summed = bounded(docs).select("text").mapInPandas(count, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    out = np.zeros((2, N * N))
+    for r in summed.collect():
+        out[r["kind"], r["at"]] = r["n"]
+    return out[0], out[1]
+
+
+def train(ordinary: np.ndarray, found: np.ndarray, seed: int = 11, names: int = 4000) -> Model:
+    """Learns from transitions of ordinary text and of values found by patterns;
+    generators add to both. Names weigh as much as the ordinary text, found values
+    as much as the generated strings, so that neither drowns the other."""
     rng = random.Random(seed)
-    positive, ordinary, long = [], [], []
-    for t in texts:
-        found = base_spans(t)
-        positive += [m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= ASSIGN_LEAST]
-        ordinary += re.findall(r"\b[A-Za-z]{3,}\b", t)
-        long += [m[0] for m in tokens(t) if not any(s < m.end() and m.start() < e for s, _, e in found)]
-    words = list(dict.fromkeys(ordinary)) or ["alpha", "value", "index", "config", "handler", "request", "number", "default", "return", "result"]
-    names = _identifiers(rng, [w.lower() for w in words[:200_000]], 4000)
-    random_strings = positive + _random_strings(rng, max(4000, len(positive)))
-    ratio = _chain(random_strings) - _chain([*words, *names, *long])
+    made = _identifiers(rng, WORDS, names)
+    scaled = lambda given, own: own + (given * (own.sum() / given.sum()) if given.sum() else 0.0)
+    total = lambda xs: transitions("\n".join(xs)).astype(float)
+    ratio = _chain(scaled(found, total(_random_strings(rng, names)))) - _chain(scaled(ordinary, total(made)))
     model = Model(ratio, 0.0)
-    clean = sorted(model.score(x) for x in [*names, *(w for w in words if len(w) >= LEAST)] if len(x) >= LEAST)
+    clean = sorted(model.score(x) for x in made if len(x) >= LEAST)
     rare = clean[min(len(clean) - 1, int(0.9995 * len(clean)))] if clean else 0.0
-    return Model(ratio, max(0.5, rare + 0.1))
+    return Model(ratio, max(LOWEST, rare + 0.1))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from ``sample_docs`` documents of at most ``sample_chars``
-    characters, chosen by a hash of their id."""
-    usable = docs.filter(F.length("text") <= sample_chars)
-    rows = about(usable.select("doc_id", "text"), sample_docs, usable.count()).select("text").collect()
-    return train([r[0] for r in rows])
+def fit(docs: DataFrame) -> Model:
+    """Learns from all documents (see :func:`corpus_counts`)."""
+    return train(*corpus_counts(docs))
 
 
 def _spans(docs: DataFrame, model: Model, text: str) -> Column:
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = bounded(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SPANS)
     def scan(texts: pd.Series) -> pd.Series:
@@ -161,7 +214,7 @@ def described(spans: Column) -> Column:
 def redacted(docs: DataFrame, model: Model, mask: str = MASK) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``; overlapping
     spans count as one. ``n_chars``, where present, follows the text."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = bounded(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -269,7 +269,8 @@ def test_base_spans():
 
 
 def test_models_tell_random_from_ordinary(spark):
-    model = secrets.train([m.__doc__ for m in (ann, chat, html, mixing, neardup, packing, quality, rules, toxicity)])
+    ordinary = "\n".join(m.__doc__ for m in (ann, chat, html, mixing, neardup, packing, quality, rules, toxicity))
+    model = secrets.train(*secrets.corpus_counts(docs(spark, [ordinary, None, ""])))
     rng = random.Random(5)
     drawn = secrets._random_strings(rng, 200)
     plain = secrets._identifiers(rng, "internationalization configuration request handler number of the default value".split(), 200)
