@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,12 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bounded
+
 # HTML elements by what they do to the text around them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header li main menu nav ol p pre section span table td th tr ul h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("script style noscript template iframe object svg math select textarea title button canvas audio video head".split())
 #: Of these, those whose content is no markup: without an end tag they run to the end of the page.
-RAW = frozenset("script style noscript iframe textarea title head".split())
+RAW = frozenset("script style iframe textarea title head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
@@ -40,8 +43,13 @@ breadcrumb breadcrumbs sidebar side widget widgets comment comments reply replie
 notices alert newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay
 footer header masthead topbar toolbar pager pagination copyright search form hidden toc tags complementary contentinfo
 dialog""".split())
+#: Of these, those that count only as a whole class, id or role: in compounds they
+#: often say how something looks ("text-side") or what it is about ("search-results").
+WHOLE = frozenset("side form search hidden share alert related menu login".split())
 MAIN = frozenset("article main articlebody post-content entry-content article-content article-body story-body".split())
 
+PARTS = HINTS - WHOLE
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 ATTR = re.compile(r"""([a-zA-Z_:-][a-zA-Z0-9_:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -99,7 +107,7 @@ def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
                 words = value.split()
                 article = article or not MAIN.isdisjoint(words)
                 if tag not in ("body", "html", "article", "main"):
-                    aside = aside or any(not HINTS.isdisjoint(re.split(r"[-_:]", w)) for w in words if w not in MAIN)
+                    aside = aside or any(w in HINTS or not PARTS.isdisjoint(re.split(r"[-_:]", w)) for w in words if w not in MAIN)
             elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 aside = True
             elif name == "data-keep":
@@ -112,9 +120,24 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
     source = source or ""
     low, found, now = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source), [], Block()
     stack: list[tuple] = []  # tag, article, aside, keep
+    inside = [0, 0, 0, 0]  # open elements that are articles, asides, kept, headings
+    there: Counter = Counter()  # open elements by tag
     links, at, n = 0, 0, len(source)
     unclosed: set[str] = set()
 
+    def push(tag: str, *marks: bool) -> None:
+        stack.append((tag, *marks))
+        there[tag] += 1
+        for i, on in enumerate((*marks, tag in HEADINGS)):
+            inside[i] += on
+
+    def pop() -> str:
+        tag, *marks = stack.pop()
+        there[tag] -= 1
+        for i, on in enumerate((*marks, tag in HEADINGS)):
+            inside[i] -= on
+        return tag
+
     def text(raw: str) -> None:
         if raw:
             now.parts.append(raw)
@@ -127,7 +150,7 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
         if whole:
             linked = len(html.unescape("".join(now.linked)).split())
             found.append((whole, now, linked))
-        now = Block(article=any(s[1] for s in stack), aside=any(s[2] for s in stack), heading=any(s[0] in HEADINGS for s in stack), keep=any(s[3] for s in stack))
+        now = Block(article=inside[0] > 0, aside=inside[1] > 0, heading=inside[3] > 0, keep=inside[2] > 0)
 
     while at < n:
         start = source.find("<", at)
@@ -149,7 +172,7 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
                 unclosed.add(tag)
                 # left open: aside up to the end of its parent or the next block
                 end()
-                stack.append((tag, False, True, False))
+                push(tag, False, True, False)
                 end()
                 continue
             if tag == "head" and (body := low.find("<body", at)) >= 0 and (low.find("</head", at) < 0 or body < low.find("</head", at)):
@@ -161,24 +184,24 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
             continue
         if tag in BLOCKS and tag != "option" and stack and stack[-1][0] in SKIPPED:
             while stack and stack[-1][0] in SKIPPED:
-                stack.pop()
+                pop()
         if tag == "a":
             links = max(0, links - 1) if closing else 1
         if tag in ("br", "img", "input"):
             text(" ")
         if tag in CONTAINERS and tag not in VOID:
             if closing:
-                if any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
+                if there[tag]:
+                    while pop() != tag:
                         pass
             else:
                 if tag in ("p", "li", "td", "th", "tr") or tag in HEADINGS:
                     same = {"p": ("p",), "li": ("li", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p")}.get(tag, ("p",))
                     while stack and stack[-1][0] in same:
-                        stack.pop()
+                        pop()
                 elif stack and stack[-1][0] == "p" and tag != "span":
-                    stack.pop()
-                stack.append((tag, *_marks(tag, m[3], any(s[1] for s in stack))))
+                    pop()
+                push(tag, *_marks(tag, m[3], inside[0] > 0))
         if tag in BLOCKS:
             end()
     end()
@@ -235,7 +258,8 @@ def main_blocks(source: str | None, tree: tuple | None = None) -> list[str]:
 
 
 def extracted(pages: DataFrame, source: str = "html", into: str = "main_blocks") -> DataFrame:
-    """``pages`` with a column ``into``: the texts of the main blocks, in order."""
+    """``pages`` with a column ``into``: the texts of the main blocks, in order; a
+    column of that name is replaced."""
 
     tree = trained()
 
@@ -244,4 +268,4 @@ def extracted(pages: DataFrame, source: str = "html", into: str = "main_blocks")
         return pd.Series([main_blocks(s, tree) for s in sources], dtype="object")
 
     found: Column = read(F.col(source))
-    return pages.withColumn(into, found)
+    return bounded(pages).withColumn(into, found)
