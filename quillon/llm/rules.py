@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, labelled_rows
+from quillon.llm.common import WORD, labelled_sample
 
 WINDOW = 8
 #: Base test: texts with fewer words, or a larger share (in percent) of repeated words, fail.
@@ -95,12 +95,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                         stuttered(ws).alias("n_stutter"))
 
     of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return docs.withColumn("_w", _let(words, measured)).withColumn("_l", of_lines).withColumn("stats", F.struct(
-        F.col("_w.n_words"), F.col("_w.n_repeat_words"), F.col("_w.n_stutter"), F.col("_l.n_lines"), F.col("_l.n_dup_lines"),
+    w, l = "_quillon_of_words", "_quillon_of_lines"  # noqa: E741
+    return docs.withColumn(w, _let(words, measured)).withColumn(l, of_lines).withColumn("stats", F.struct(
+        F.col(f"{w}.n_words"), F.col(f"{w}.n_repeat_words"), F.col(f"{w}.n_stutter"), F.col(f"{l}.n_lines"), F.col(f"{l}.n_dup_lines"),
         F.length(_without(t, SPACES)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
         (F.length(t) - F.length(_without(t, capitals))).cast("long").alias("n_capitals"),
-        (F.length(t) - F.length(_without(t, "!?"))).cast("long").alias("n_marks"))).drop("_w", "_l")
+        (F.length(t) - F.length(_without(t, "!?"))).cast("long").alias("n_marks"))).drop(w, l)
 
 
 def features(stats: str = "stats") -> dict[str, Column]:
@@ -209,10 +210,10 @@ def learn(rejected: list[tuple], kept: list[tuple], weight: float = 1.0, least_r
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = PER_CLASS) -> DecisionList:
     """Learns from the statistics of at most ``per_class`` labelled documents of
     each class, chosen by a hash of their id; label 0 is to be rejected.
-    Documents that fail the base test teach nothing."""
-    chosen, counts = labelled_rows(labels, target, F.lit(True), per_class)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_statistics(texts).filter(~base_failed()).select("doc_id", "_y", *[c.alias(n) for n, c in features().items()]).collect()
+    Documents that fail the base test teach nothing. The sample is stored before
+    its statistics are taken, so that those of other documents are not."""
+    sample, counts = labelled_sample(docs, labels, target, F.lit(True), per_class)
+    got = with_statistics(sample).filter(~base_failed()).select("doc_id", "y", *[c.alias(n) for n, c in features().items()]).collect()
     got.sort()
     split = {y: [tuple(r)[2:] for r in got if r[1] == y] for y in (0, 1)}
     if not split[0] or not split[1]:
@@ -222,5 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
 
 
 def judged(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """``docs`` with ``stats``, ``base_failed`` and ``kept``."""
+    """``docs`` with ``stats``, ``base_failed`` and ``kept``; columns of these
+    names are replaced."""
     return with_statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept())
