@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bounded
+
 #: Turns between control strings; what the assistant says is learned.
 TEMPLATE = (
     "{% for m in messages %}"
@@ -430,7 +432,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
             done()
         yield frame()
 
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = bounded(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     return rows.select("conv_id", "role", "text").mapInPandas(run, "conv_id long, formatted string, spans array<struct<start:long,end:long>>")
 

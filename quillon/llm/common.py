@@ -136,7 +136,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Co
 class Cache(dict):
     """What ``make`` gives for a key, kept for at most ``most`` keys; then it starts anew."""
 
-    def __init__(self, make, most: int = 1 << 18):
+    def __init__(self, make, most: int = 1 << 17):
         super().__init__()
         self.make, self.most = make, most
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quillon.llm.common import bounded
+
 WINDOW = 2048
 CLASSES = 64
 POOL = 4096
@@ -246,4 +248,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, classes: int = C
                     yield frame(packer.drain())
         yield frame(packer.drain(last=True))
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return bounded(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, Cache, labelled_sample
+from quillon.llm.common import WORD, Cache, bounded, labelled_sample
 
 PER_CLASS = 2500
 BITS = 20
@@ -94,7 +94,7 @@ def counted(sample: DataFrame) -> DataFrame:
                 out.append((doc_id, y, where.astype("<i4").tobytes(), (GAIN * times / max(1, len(at))).astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "y", "at", "x"])
 
-    return sample.select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, at binary, x binary")
+    return bounded(sample).select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, at binary, x binary")
 
 
 def train(sample: DataFrame, counts: dict[int, int], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
@@ -151,4 +151,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quali
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(into, score(F.col(text)))
+    return bounded(docs).withColumn(into, score(F.col(text)))

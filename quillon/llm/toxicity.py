@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Cache, labelled_sample
+from quillon.llm.common import Cache, bounded, labelled_sample
 
 PER_CLASS = 2500
 MOST_FEATURES = 50_000
@@ -105,7 +105,7 @@ def telling(sample: DataFrame, n0: int, n1: int, most: int = MOST_FEATURES) -> l
         for y in (0, 1):
             yield pd.DataFrame({"y": y, "feature": list(held[y]), "n": list(held[y].values())}).astype({"feature": "object", "n": "int64"})
 
-    one = sample.select("doc_id", "y", "text").mapInPandas(split, "doc_id long, y int, words string")
+    one = bounded(sample).select("doc_id", "y", "text").mapInPandas(split, "doc_id long, y int, words string")
     one = one.groupBy("y", "words").agg(F.min("doc_id").alias("doc_id"))
     parts = one.repartition("doc_id").sortWithinPartitions("doc_id", "y").mapInPandas(count, "y int, feature string, n long")
     both = parts.groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("held"))
@@ -133,7 +133,7 @@ def evidence(sample: DataFrame, chosen: list[str]) -> DataFrame:
                 out.append((doc_id, y, pack([x for s in found for x in s]), pack([len(s) for s in found]), pack(list(found.values()))))
             yield pd.DataFrame(out, columns=["doc_id", "y", "cols", "sizes", "times"])
 
-    return sample.select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, cols binary, sizes binary, times binary")
+    return bounded(sample).select("doc_id", "y", "text").mapInPandas(look, "doc_id long, y int, cols binary, sizes binary, times binary")
 
 
 def train(sample: DataFrame, counts: dict[int, int], rounds: int = 150, l1: float = 0.02) -> Model:
@@ -192,4 +192,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "toxic
             found = [one(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in found], "spans": [[{"start": a, "end": b, "p": p} for a, b, p in x] for _, x in found]})
 
-    return docs.withColumn(into, score(F.col(text)))
+    return bounded(docs).withColumn(into, score(F.col(text)))
