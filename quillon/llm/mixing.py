@@ -12,7 +12,7 @@ so that no task ever holds a whole source. Tables of sources, groups and shards
 are the only ones grouped by source, after partial aggregation.
 
 Nulls: a null text has size 0, a null source is a source of its own (last).
-Empty table: no rows. Repeated rows are separate documents with the same id;
+Rows without id are dealt to shards by their text. Empty table: no rows. Repeated rows are separate documents with the same id;
 their order in a shard is then by size. Extra columns are ignored here and kept
 by :func:`mixed_documents`.
 """
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD
     ``[cut_from, cut_to)`` and ``[0, wrap_to)`` of one further copy.
     """
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
-                               F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("h")))
+                               F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("h")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = source_targets(sources, repeats)
     sources = sources.withColumns({
@@ -151,17 +151,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole pass
     over a document, and one for the words of a partial pass, cut between words.
     ``n_chars``, where present, follows the text. Rows without id, and rows that
-    repeat one, are told apart by a number in the order of a hash of their text.
+    repeat one, are told apart by a hash of their text and, if that is equal, a number.
     """
     key = F.col("doc_id").cast("string")
     if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        key = F.concat(F.coalesce(key, F.lit("")), F.lit("#"), nth.cast("string"))
-    keyed = docs.withColumn("_mix_key", key)
-    plan = mix(keyed.select(F.col("_mix_key").alias("doc_id"), "source", "text"), **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.struct("size", "passes", "cut_from", "cut_to", "wrap_to").alias("_mix"))
-    rows = keyed.join(plan, F.col("_mix_key") == F.col("_mix_id"))
-    of = lambda name: F.col(f"_mix.{name}")
+        same = F.xxhash64("text")  # only equal texts under one id share a number range
+        nth = F.row_number().over(Window.partitionBy("doc_id", same).orderBy(same))
+        key = F.concat(F.coalesce(key, F.lit("")), F.lit("#"), F.hex(same), F.lit("#"), nth.cast("string"))
+    keyed = docs.withColumn("_quillon_key", key)
+    plan = mix(keyed.select(F.col("_quillon_key").alias("doc_id"), "source", "text"), **options).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_quillon_id"), F.struct("size", "passes", "cut_from", "cut_to", "wrap_to").alias("_quillon_mix"))
+    rows = keyed.join(plan, F.col("_quillon_key") == F.col("_quillon_id"))
+    of = lambda name: F.col(f"_quillon_mix.{name}")
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = lambda start, stop: F.array_join(F.slice(pieces, (start + 1).cast("int"), (stop - start).cast("int")), "")
     zero = F.lit(0).cast("long")
@@ -169,8 +170,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.when(of("wrap_to") > 0, F.struct(zero.alias("from"), of("wrap_to").alias("to"))),
         F.when(of("cut_to") > of("cut_from"), F.struct(of("cut_from").alias("from"), of("cut_to").alias("to")))), lambda x: x.isNotNull())
     whole = F.array_repeat(F.struct(zero.alias("from"), of("size").alias("to")), of("passes").cast("int"))
-    rows = rows.withColumn("_mix_part", F.explode(F.concat(whole, partial)))
-    start, stop = F.col("_mix_part.from"), F.col("_mix_part.to")
+    rows = rows.withColumn("_quillon_part", F.explode(F.concat(whole, partial)))
+    start, stop = F.col("_quillon_part.from"), F.col("_quillon_part.to")
     rows = rows.withColumn("text", F.when((start == 0) & (stop == of("size")), F.col("text")).otherwise(cut(start, stop)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
