@@ -25,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose noisy-or of sentences reaches TOXIC_FROM go."""
     learnable = F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1], F.lit(True))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learnable)
-    return toxicity.scored(docs, model, into="_toxicity").filter(F.col("_toxicity.score") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.scored(docs, model, into="_quillon_toxicity").filter(F.col("_quillon_toxicity.score") < TOXIC_FROM).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
