@@ -72,7 +72,8 @@ def _str(x: Any) -> str:
 
 
 # --- parsing -----------------------------------------------------------------
-PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+PIECE = re.compile(rf"\{{\{{(?P<l>-?)(?P<out>{_INSIDE})(?P<r>-?)\}}\}}|\{{%(?P<ll>-?)(?P<tag>{_INSIDE})(?P<rr>-?)%\}}|\{{#(?P<lll>-?).*?(?P<rrr>-?)#\}}", re.S)
 TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[~+|.\[\]()<>=]))")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -171,20 +172,32 @@ class _Expression:
         return out
 
 
+def _no_piece(text: str) -> None:
+    if m := re.search(r"\{[{%]", text):
+        raise TemplateError(f"a piece has no end: {text[m.start():m.start() + 12]!r}")
+
+
 def parse(source: str) -> list[tuple]:
     """The syntax tree: a list of ("text", s), ("out", e), ("for", name, e,
-    body), ("if", [(test, body), ...]), ("set", name, e), ("generation", body)."""
+    body), ("if", [(test, body), ...]), ("set", name, e), ("generation", body).
+    A minus inside a piece's braces trims white space on that side; strings may hold
+    braces."""
     root: list = []
     open_blocks: list[tuple[str, list]] = [("", root)]
     at = 0
+    bare = False  # whether the piece before trims what follows it
     for m in PIECE.finditer(source):
-        if m.start() > at:
-            open_blocks[-1][1].append(("text", source[at:m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            open_blocks[-1][1].append(("out", _Expression(_lex(m[1])).whole()))
-        elif m[2] is not None:
-            tokens = _lex(m[2])
+        text = source[at:m.start()]
+        _no_piece(text)
+        text = text.lstrip() if bare else text
+        text = text.rstrip() if m["l"] or m["ll"] or m["lll"] else text
+        if text:
+            open_blocks[-1][1].append(("text", text))
+        at, bare = m.end(), bool(m["r"] or m["rr"] or m["rrr"])
+        if m["out"] is not None:
+            open_blocks[-1][1].append(("out", _Expression(_lex(m["out"])).whole()))
+        elif m["tag"] is not None:
+            tokens = _lex(m["tag"])
             word = tokens[0][1] if tokens else ""
             rest = tokens[1:]
             if word == "for":
@@ -214,8 +227,9 @@ def parse(source: str) -> list[tuple]:
                 raise TemplateError(f"unexpected {m[0]!r}")
     if len(open_blocks) > 1:
         raise TemplateError(f"{open_blocks[-1][0]} has no end")
-    if at < len(source):
-        root.append(("text", source[at:]))
+    _no_piece(source[at:])
+    if last := source[at:].lstrip() if bare else source[at:]:
+        root.append(("text", last))
     return root
 
 
@@ -229,7 +243,10 @@ def _fold_expression(e: tuple) -> tuple:
     parts = tuple(_fold_expression(p) if isinstance(p, tuple) else p for p in e[1:])
     e = (e[0], *parts)
     if all(not isinstance(p, tuple) or p[0] == "const" for p in parts):
-        return ("const", _closure(e)({}))
+        try:
+            return ("const", _closure(e)({}))
+        except TypeError as fault:
+            raise TemplateError(f"constants of {e[0]!r} do not fit: {fault}") from fault
     if e[0] == "~" and e[2][0] == "const" and e[1][0] == "~" and e[1][2][0] == "const":
         return ("~", e[1][1], ("const", _str(e[1][2][1]) + _str(e[2][1])))
     return e
