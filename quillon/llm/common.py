@@ -134,14 +134,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Co
 
 
 class Cache(dict):
-    """What ``make`` gives for a key, kept for at most ``most`` keys; then it starts anew."""
+    """What ``make`` gives for a key, kept for the first ``most`` keys: common ones come early."""
 
     def __init__(self, make, most: int = 1 << 17):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
         return value
