@@ -232,10 +232,11 @@ def _stars(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     one for each."""
     m = members.join(comps, "node")
     mask = F.xxhash64(F.lit(turn), F.pmod(F.shiftrightunsigned("band", 8 * ROWS), F.lit(MASKS)))
-    lead = m.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    lead = lead.filter("x < y").select(F.col("band").alias("_band"), F.col("lead").bitwiseXOR(mask).alias("b"))
-    pairs = m.join(lead, F.col("band") == F.col("_band")).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return pairs if turn == 0 else _apart(pairs, comps).select("a", "b")
+    first = F.min(F.struct(F.col("node").bitwiseXOR(mask).alias("k"), F.col("comp").alias("c")))
+    lead = m.groupBy("band").agg(first.alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+    lead = lead.select(F.col("band").alias("_band"), F.col("lead.k").alias("k"), F.col("lead.c").alias("comp_b"))
+    met = m.join(lead, F.col("band") == F.col("_band")).filter("comp <> comp_b")
+    return met.select(F.col("node").alias("a"), F.col("k").bitwiseXOR(mask).alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
