@@ -60,7 +60,13 @@ def _shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session is still there."""
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
@@ -83,9 +89,9 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     ``instead_of`` this one, which nothing may read from then on.
     """
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(drop_path, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     if instead_of is not None:
@@ -96,7 +102,7 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Deletes the files of a stored table."""
     if path := _PATHS.pop(df, None):
-        _drop(df.sparkSession, path)
+        drop_path(df.sparkSession, path)
 
 
 def about(rows: DataFrame, n: int, there: int) -> DataFrame:

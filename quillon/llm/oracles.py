@@ -66,4 +66,44 @@ MIX = f"""WITH z AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, ''
  x AS (SELECT *, pay // greatest(shard_size, 1) AS passes, pay % greatest(shard_size, 1) AS rest, greatest(a, o) - a AS c0 FROM y)
 SELECT doc_id, size, source_size, target, (passes * size + greatest(c0, least(a + size, o + rest) - a) - c0 + greatest(0, least(a + size, o + rest - shard_size) - a))::BIGINT AS taken FROM x"""
 
-ORACLES = {"op1_chat_format": CHAT, "op5_source_mix": MIX, "op8_near_duplicates": NEAR}
+FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {FOLD}) AS key FROM l),
+ g AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+ m AS (SELECT k.*, coalesce(doc_id <> owner, FALSE) AS gone FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id"""
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), {0}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')".format(FOLD)
+GAP = "((p - q) * (p - q)) // (p + q)"
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS} AS ws FROM documents),
+ t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+ k AS (SELECT lang, term, sum(n) AS n_lang FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+ v AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n_lang FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT f.*, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY f.lang, f.source) + 2 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (n_lang + 2)::HUGEINT) // (total + 2 * v)::HUGEINT AS q FROM f JOIN v ON f.lang = v.lang),
+ b AS (SELECT lang, source, item, sum({GAP}) AS value FROM (SELECT x.lang, x.source, y.source AS item, x.p, y.p AS q FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source) GROUP BY ALL),
+ e AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(b.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN b ON b.lang = x.lang AND b.source = x.source AND b.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, {GAP} FROM s WHERE n > 0 AND p > q),
+ z AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM e)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10"""
+
+#: crc32 of a text of ASCII letters: a byte at a time, eight divisions each.
+CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT), lambda acc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(acc, b)), 4294967295), 4294967295)"
+TRIE = f"""WITH o AS (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS ts FROM
+  (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+ h AS (SELECT *, ({CRC.format('conv_id::VARCHAR')} % 6)::INTEGER AS h FROM o),
+ r AS (SELECT a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+ x AS (SELECT conv_id, len(ts) AS turns, unnest(range(len(ts) + 1)) AS depth, ts FROM r),
+ p AS (SELECT conv_id, turns, depth, CASE WHEN depth > 0 THEN array_to_string(list_transform(ts[1:depth], lambda t: t.k), '') ELSE '' END AS pre, CASE WHEN depth > 0 THEN ts[depth].n ELSE 0 END AS size FROM x),
+ n AS (SELECT pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256 FROM p GROUP BY pre, depth),
+ c AS (SELECT left(pre, 32 * (depth - 1)::INTEGER) AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+ m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.pre),
+ s AS (SELECT left(pre, 32 * a::INTEGER) AS top, sum((n_children = 0)::INTEGER) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM m) GROUP BY 1)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.top = m.pre LEFT JOIN n u ON m.depth > 0 AND u.pre = left(m.pre, 32 * (m.depth - 1)::INTEGER)"""
+
+ORACLES = {"op1_chat_format": CHAT, "op5_source_mix": MIX, "op8_near_duplicates": NEAR, "op11_line_dedup": LINES, "op12_source_divergence": DIVERGENCE, "op13_prefix_trie": TRIE}

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, chat, html, mixing, neardup, packing, quality, rules, secrets, toxicity
+from quillon.llm import ann, chat, divergence, html, linedup, mixing, neardup, packing, quality, rules, secrets, toxicity, trie
 from quillon.llm.common import fold, table
 from quillon.llm.oracles import ORACLES
 
@@ -93,6 +93,21 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("toxicity.spans").alias("n_offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op6_nearest_vectors, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.nodes(trie.grafted(trie.turn_arrays(turns)))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packed_sequences, op3_main_text, op4_quality_rules, op5_source_mix, op6_nearest_vectors, op7_secret_spans, op8_near_duplicates, op9_quality_scores, op10_toxicity_scores,
+                                op11_line_dedup, op12_source_divergence, op13_prefix_trie)}
 
 __all__ = ["ORACLES", "QUERIES"]
