@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import uniform
-from quillon.operators.prefix import magnitude, running_total
+from quillon.operators.ordered import n_smallest, numbered
+from quillon.sources.scratch import Scratch
 
 #: Slots that are listed and numbered together.
 SLOT_BLOCK = 4096
@@ -53,29 +54,79 @@ def admitted(counts: DataFrame, rule: str | Callable[[DataFrame], DataFrame] = "
     raise ValueError(f"no rule {rule!r}")
 
 
-def updated(state: DataFrame, batch: DataFrame, size: int, policy: str = "lfu", now: int = 0, decay: float = 1.0, by: list[str] = ()) -> DataFrame:
+def free_slots(used: DataFrame, size: int, by: list[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """by, slot, _k: the slots below ``size`` that are not in ``used``, numbered from
+    0 in order. Slots are listed by blocks of SLOT_BLOCK, a row each, and numbered
+    over the small table of blocks. ``wanted`` (by, _n): how many are needed; blocks
+    beyond them are not listed."""
+    spark = used.sparkSession
+    blocks = max(0, -(-size // SLOT_BLOCK))
+    tables = wanted.select(*by) if by else spark.range(1).select()
+    every = tables.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0)).filter(F.lit(size > 0))
+    held = used.groupBy(*by, F.floor(F.col("slot") / SLOT_BLOCK).cast("int").alias("_c")).agg(F.collect_set("slot").alias("_used"))
+    first = F.col("_c").cast("long") * SLOT_BLOCK
+    listed = F.sequence(first, F.least(first + SLOT_BLOCK, F.lit(size).cast("long")) - 1)
+    free = every.join(held, [*by, "_c"], "left").withColumn("_free", F.array_except(listed, F.coalesce("_used", F.array().cast("array<long>"))))
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = free.select(*by, "_c", F.size("_free").cast("long").alias("_m")).withColumn("_s", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    free = free.select(*by, "_c", "_free").join(starts, [*by, "_c"])
+    if wanted is not None:
+        free = (free.join(wanted, list(by)) if by else free.join(F.broadcast(wanted))).filter(F.col("_s") < F.col("_n"))
+    return free.select(*by, "_s", F.posexplode("_free").alias("_i", "slot")).select(*by, "slot", (F.col("_s") + F.col("_i")).alias("_k"))
+
+
+def updated(state: DataFrame, batch: DataFrame, size: int, policy: str = "lfu", now: int = 0, decay: float = 1.0, by: list[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """The state after one interval's ids (id, count). ``by``: tables or buckets
-    with states of their own, of ``size`` slots each."""
+    with states of their own, of ``size`` slots each.
+
+    Residents and newcomers are joined once and written once in the whole order of
+    score, slot and id, which ranks both; what is returned is a plan over that
+    table, as long for the thousandth interval as for the first. :class:`Remapper`
+    keeps a chain of intervals and gives the tables of earlier ones back.
+    """
     keys = [*by, "id"]
     old = state.select(*keys, "slot", F.col("count").alias("c0"), F.col("last").alias("l0"))
     new = batch.select(*keys, F.col("count").alias("c1"))
     both = old.join(new, keys, "full").select(*keys, "slot", (F.coalesce("c0", F.lit(0)) + F.coalesce("c1", F.lit(0))).alias("count"),
                                                F.when(F.col("c1").isNotNull(), F.lit(now)).otherwise(F.col("l0")).alias("last"))
     both = both.withColumn("_s", score(policy, F.lit(now), decay))
-    order = [F.desc("_s"), F.col("slot").isNull(), "slot", "id"]
-    one = F.lit(1).cast("long")
-    both = running_total(both, order, -magnitude(F.col("_s")), one, "_r", by).filter(F.col("_r") < size - 1)
-    stay = both.filter("slot IS NOT NULL")
-    enter = running_total(both.filter("slot IS NULL"), [F.desc("_s"), "id"], -magnitude(F.col("_s")), one, "_k", by)
-    room = F.greatest(F.lit(1), F.ceil(F.lit((size - 1) / SLOT_BLOCK))).cast("long")
-    tables = both.select(*by).distinct() if by else batch.sparkSession.range(1).select()
-    slots = tables.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), room - 1))).withColumn("slot", F.explode(F.sequence(F.col("_c") * SLOT_BLOCK, (F.col("_c") + 1) * SLOT_BLOCK - 1))).filter(F.col("slot") < size - 1)
-    free = slots.select(*by, "slot").join(stay.select(*by, "slot"), [*by, "slot"], "left_anti")
-    free = running_total(free, ["slot"], F.floor(F.col("slot") / SLOT_BLOCK), one, "_k", by)
+    order = [F.desc("_s"), F.asc_nulls_last("slot"), "id"]
+    kept = numbered(both, order, "_r", by, {"_k": F.col("slot").isNull().cast("long")}, scratch).filter(F.col("_r") < size - 1)
+    stay, enter = kept.filter("slot IS NOT NULL"), kept.filter("slot IS NULL")
+    wanted = (enter.groupBy(*by) if by else enter).agg(F.count(F.lit(1)).alias("_n"))
+    free = free_slots(stay.select(*by, "slot"), size - 1, by, wanted)
     placed = enter.drop("slot").join(free, [*by, "_k"]).select(*keys, "slot", "count", "last")
     return stay.select(*keys, "slot", "count", "last").unionByName(placed)
 
 
+class Remapper:
+    """Id slots over a chain of intervals.
+
+    The state is a stored table; an interval replaces it and gives the former one
+    back. ``update`` admits, evicts and places; ``lookup`` maps ids to slots.
+    """
+
+    def __init__(self, spark: SparkSession, size: int, policy: str = "lfu", decay: float = 1.0, by: list[str] = (), rule="all", value: float = 1.0, key_types: dict[str, str] | None = None):
+        self.size, self.policy, self.decay, self.by, self.rule, self.value = size, policy, decay, list(by), rule, value
+        fields = "".join(f"{c} {(key_types or {}).get(c, 'string')}, " for c in by)
+        self.state = spark.createDataFrame([], f"{fields}id long, slot long, count long, last int")
+        self._held = Scratch(spark)
+
+    def update(self, ids: DataFrame, now: int) -> DataFrame:
+        """The state after an interval's ids, one row a use."""
+        spark = ids.sparkSession
+        on_the_way, held = Scratch(spark), Scratch(spark)
+        counts = admitted(ids.groupBy(*self.by, "id").agg(F.count(F.lit(1)).alias("count")), self.rule, self.value)
+        self.state = held.stored(updated(self.state, counts, self.size, self.policy, now, self.decay, self.by, on_the_way))
+        on_the_way.clear()
+        self._held.clear()
+        self._held = held
+        return self.state
+
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        return remapped(ids, self.state, self.size, self.by)
+
+
 def remapped(ids: DataFrame, state: DataFrame, size: int, by: list[str] = ()) -> DataFrame:
     """Ids with their slots; unknown ids get the reserved last slot."""
     return ids.join(state.select(*by, "id", "slot"), [*by, "id"], "left").withColumn("slot", F.coalesce("slot", F.lit(size - 1)))
@@ -131,7 +182,8 @@ def ttl_score(hours: Column, ttl: Column) -> Column:
 
 def prune_map(usage: DataFrame, keep: int) -> DataFrame:
     """(id, slot): the ``keep`` most used ids get slots 0 .. keep-1, others none."""
-    return running_total(usage, [F.desc("count"), "id"], -magnitude(F.col("count")), F.lit(1).cast("long"), "slot").filter(F.col("slot") < keep).select("id", "slot")
+    most = n_smallest(usage.select("id", (-F.col("count")).alias("_c")), ["_c", "id"], keep)
+    return numbered(most, ["_c", "id"], "slot").select("id", "slot")
 
 
 def prune_due(step: Column, interval: int, start: int = 0) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import uniform
-from quillon.operators.prefix import magnitude, ordered_buckets, running_total
-from quillon.operators.remap import SLOT_BLOCK
+from quillon.operators.ordered import n_smallest, numbered
+from quillon.operators.remap import free_slots
 
 # Bits of a record's time, the largest power, and the power of a new id.
 TIME_BITS, MOST_POWER, FIRST_POWER = 27, 31, 5
@@ -51,13 +51,9 @@ def transformed(state: DataFrame, ids: DataFrame, capacity: int, time: int, orde
     first, in the order of their first occurrence."""
     seen = ids.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("_uses"), F.min(order).alias("_first"))
     met = seen.join(state.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
-    one = F.lit(1).cast("long")
-    blocks = -(-capacity // SLOT_BLOCK)
-    slots = state.sparkSession.range(blocks).withColumn("slot", F.explode(F.sequence(F.col("id") * SLOT_BLOCK, (F.col("id") + 1) * SLOT_BLOCK - 1))).filter(F.col("slot") < capacity)
-    free = slots.select("slot").join(state.select("slot"), "slot", "left_anti")
-    free = running_total(free, ["slot"], F.floor(F.col("slot") / SLOT_BLOCK), one, "_k").withColumnRenamed("slot", "_free")
     new = met.filter("slot IS NULL")
-    new = running_total(new, ["_first", "id"], ordered_buckets(new, "_first"), one, "_k").drop("slot").join(free, "_k", "left").withColumnRenamed("_free", "slot").drop("_k")
+    free = free_slots(state.select("slot"), capacity, wanted=new.agg(F.count(F.lit(1)).alias("_n"))).withColumnRenamed("slot", "_free")
+    new = numbered(new, ["_first", "id"], "_k").drop("slot").join(free, "_k", "left").withColumnRenamed("_free", "slot").drop("_k")
     used = met.filter("slot IS NOT NULL").unionByName(new)
     used = used.withColumn("record", touched(F.col("record"), F.col("id"), F.lit(time), F.col("_uses"), seed))
     placed = used.filter("slot IS NOT NULL").select("id", "slot", "record")
@@ -66,9 +62,8 @@ def transformed(state: DataFrame, ids: DataFrame, capacity: int, time: int, orde
 
 
 def least_used(state: DataFrame, n: int) -> DataFrame:
-    """The ``n`` entries with the smallest records (ties by id), without one task
-    for all."""
-    return running_total(state, ["record", "id"], magnitude(F.col("record")), F.lit(1).cast("long"), "_r").filter(F.col("_r") < n).drop("_r")
+    """The ``n`` entries with the smallest records (ties by id), from bounded heaps."""
+    return n_smallest(state, ["record", "id"], n)
 
 
 def transformed_or_evicted(state: DataFrame, ids: DataFrame, capacity: int, time: int, order: str, share: float = 0.5, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:

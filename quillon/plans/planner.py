@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.prefix import magnitude, running_total
+from quillon.operators.ordered import n_smallest
 
 SHARDINGS = ("data_parallel", "table_wise", "row_wise", "column_wise")
 KERNELS = ("dense", "fused")
@@ -61,8 +61,7 @@ def with_costs(options: DataFrame, topology: Topology) -> DataFrame:
 
 def cache_stats(counts: DataFrame, capacity: int) -> DataFrame:
     """Expected share of lookups that a cache of the ``capacity`` hottest ids misses."""
-    ranks = running_total(counts, [F.desc("count"), "id"], -magnitude(F.col("count")), F.lit(1).cast("long"), "_r")
-    hot = ranks.filter(F.col("_r") < capacity).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hits"))
+    hot = n_smallest(counts.select("id", (-F.col("count")).alias("_c")), ["_c", "id"], capacity).agg(F.coalesce(-F.sum("_c"), F.lit(0)).alias("hits"))
     return counts.agg(F.sum("count").alias("lookups"), F.count(F.lit(1)).alias("ids")).join(F.broadcast(hot)).select(
         "lookups", "ids", (1.0 - F.col("hits") / F.col("lookups")).alias("miss_rate"))
 
