@@ -141,38 +141,67 @@ def modulo_owner(ids: DataFrame, size: int, order: str) -> DataFrame:
     return ids.groupBy(F.pmod("id", F.lit(size)).alias("slot")).agg(F.min_by("id", order).alias("owner"), F.count(F.lit(1)).alias("queries"))
 
 
-def probed(ids: DataFrame, size: int, buckets: int, probe: int, ttl_hours: int) -> DataFrame:
-    """Multi-probe hash slots (id, hour): ids of a bucket, in order of hour and
-    id, take the first free or expired place within ``probe`` places after their
-    hash, around the bucket; else they fall back to the place of the hash. Each
-    bucket is one group of at most size / buckets places; an id's hours are
-    counted before, so that a group sees each id and hour once."""
+class ProbeTable:
+    """A bucket of slots: an id takes the first free place within ``probe`` places
+    after its home, around the bucket. Where none is free, ``threshold`` takes the
+    first whose entry has expired and else falls back to the home, which two ids then
+    share; ``oldest`` takes the entry that expires first (the nearest of equals), so that nobody shares."""
+
+    DISPATCH = ("threshold", "oldest")
+
+    def __init__(self, room: int, probe: int, ttl: int, dispatch: str = "threshold", owner: list | None = None, until: list | None = None):
+        if dispatch not in self.DISPATCH:
+            raise ValueError(f"no dispatch {dispatch!r}")
+        self.room, self.probe, self.ttl, self.dispatch = room, min(probe, room), ttl, dispatch
+        self.owner = owner if owner is not None else [None] * room
+        self.until = until if until is not None else [-1] * room
+
+    def visit(self, id_: int, hour: int, home: int) -> tuple[int, str]:
+        """The place of an id that is used at an hour, and how it got it."""
+        owner, until = self.owner, self.until
+        places = [(home + j) % self.room for j in range(self.probe)]
+        at, kind = next((p for p in places if owner[p] == id_), None), "hit"
+        if at is None:
+            at, kind = next((p for p in places if owner[p] is None), None), "inserted"
+        if at is None and self.dispatch == "oldest":
+            at, kind = min(places, key=lambda p: until[p]), "evicted"
+        if at is None:
+            at, kind = next((p for p in places if until[p] < hour), None), "evicted"
+        if at is None:
+            return home, "collided"
+        owner[at], until[at] = id_, hour + self.ttl
+        return at, kind
+
+
+def probe_home(id_: Column, buckets: int, room: int) -> tuple[Column, Column]:
+    """Bucket and home place of an id."""
+    h = F.xxhash64(F.lit(3), id_)
+    return F.pmod(h, F.lit(buckets)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(room)).cast("int")
+
+
+def probed(ids: DataFrame, size: int, buckets: int, probe: int, ttl_hours: int, dispatch: str = "threshold") -> DataFrame:
+    """Multi-probe hash slots (id, hour): a :class:`ProbeTable` for each bucket of
+    size / buckets places, its ids in order of hour and id. An id's hours are counted
+    before, and a task reads its buckets one after the other and holds one of them,
+    so neither a frequent id nor a long log fills a task; give large tables many buckets."""
     import pandas as pd
 
     room = size // buckets
-    h = F.xxhash64(F.lit(3), "id")
-    seen = ids.groupBy("id", "hour").count().select("id", "hour", F.pmod(h, F.lit(buckets)).alias("bucket"), F.pmod(F.shiftright(h, 20), F.lit(room)).alias("home"))
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        owner, until, out = [None] * room, [-1] * room, []
-        for i, hour, home in g.sort_values(["hour", "id"])[["id", "hour", "home"]].itertuples(index=False):
-            places = [(home + j) % room for j in range(min(probe, room))]
-            at = next((p for p in places if owner[p] == i), None)
-            kind = "hit"
-            if at is None:
-                at = next((p for p in places if owner[p] is None), None)
-                kind = "inserted"
-            if at is None:
-                at = next((p for p in places if until[p] < hour), None)
-                kind = "evicted"
-            if at is None:
-                at, kind = home, "collided"
-            if kind != "collided":
-                owner[at], until[at] = i, hour + ttl_hours
-            out.append((i, hour, key[0] * room + at, kind))
-        return pd.DataFrame(out, columns=["id", "hour", "slot", "kind"])
-
-    return seen.groupBy("bucket").applyInPandas(run, "id long, hour long, slot long, kind string")
+    bucket, home = probe_home(F.col("id"), buckets, room)
+    seen = ids.groupBy("id", "hour").count().select("id", "hour", bucket.alias("bucket"), home.alias("home"))
+
+    def run(frames):
+        now, table = None, None
+        for g in frames:
+            out = []
+            for i, hour, b, at_home in g.itertuples(index=False):
+                if b != now:
+                    now, table = b, ProbeTable(room, probe, ttl_hours, dispatch)
+                at, kind = table.visit(i, hour, at_home)
+                out.append((i, hour, b * room + at, kind))
+            yield pd.DataFrame(out, columns=["id", "hour", "slot", "kind"])
+
+    return seen.repartition("bucket").sortWithinPartitions("bucket", "hour", "id").mapInPandas(run, "id long, hour long, slot long, kind string")
 
 
 def ttl_score(hours: Column, ttl: Column) -> Column:

@@ -9,7 +9,7 @@ ids are read several times, so they should be tables, not long plans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import uniform
@@ -79,3 +79,51 @@ def transformed_or_evicted(state: DataFrame, ids: DataFrame, capacity: int, time
     left = state.join(gone.select("id"), "id", "left_anti").select("id", "slot", "record")
     done, after = transformed(left, ids, capacity, time, order, seed)
     return done, after, gone
+
+
+def _line(id_: Column, lines: int, width: int) -> tuple[Column, Column]:
+    h = F.xxhash64(F.lit(11), id_)
+    return F.pmod(h, F.lit(lines)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(width)).cast("int")
+
+
+def lined(state: DataFrame, ids: DataFrame, lines: int, width: int, time: int, order: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """:func:`transformed` by set-associative placement: an id belongs to one line of
+    ``width`` slots and takes its first free slot from its home place on, around the
+    line; with none free its slot is null. New ids of a line come in the order of
+    their first occurrence. Returns the ids' rows with ``slot`` and the state after them.
+
+    An id competes within its line only, so a batch is one pass over lines: no rank,
+    no count and no list of free slots of the whole table. Ids are counted before
+    they meet their line, so a line's task holds its slots and one row at a time.
+    """
+    bucket, home = _line(F.col("id"), lines, width)
+    seen = ids.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("_uses"), F.min(order).alias("_first"))
+    met = state.select(F.col("id").alias("_id"), "slot", "record").join(seen, F.col("id") == F.col("_id"), "full").select(F.coalesce("id", "_id").alias("id"), "slot", "record", "_uses", "_first")
+    met = met.withColumns({"_line": bucket, "_home": home}).repartition("_line").sortWithinPartitions("_line", F.asc_nulls_last("slot"), "_first", "id")
+    fields = [f for f in met.select("id", "slot", "record", "_uses").schema.fields]
+
+    def place(frames):
+        now, taken = None, set()
+        for x in frames:
+            slots = x["slot"].tolist()
+            for at, (line, p, slot) in enumerate(zip(x["_line"], x["_home"], slots, strict=True)):
+                if line != now:
+                    now, taken = line, set()
+                if slot is None or slot != slot:  # residents of a line come first
+                    places = (line * width + (p + j) % width for j in range(width))
+                    slots[at] = slot = next((s for s in places if s not in taken), None)
+                if slot is not None:
+                    taken.add(int(slot))
+            yield x.assign(slot=slots)[["id", "slot", "record", "_uses"]].astype({"slot": "Int64", "record": "Int64", "_uses": "Int32"})
+
+    done = met.mapInPandas(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
+    done = done.withColumn("record", F.when(F.col("_uses").isNull(), F.col("record")).otherwise(touched(F.col("record"), F.col("id"), F.lit(time), F.col("_uses"), seed)))
+    after = done.filter("slot IS NOT NULL").select("id", "slot", "record")
+    return ids.join(after.select("id", "slot"), "id", "left"), after
+
+
+def least_used_of_lines(state: DataFrame, width: int, n: int) -> DataFrame:
+    """The ``n`` entries of each line with the smallest records, ties by id."""
+    line = Window.partitionBy(F.floor(F.col("slot") / width)).orderBy("record", "id")
+    return state.withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= n).drop("_r")
+

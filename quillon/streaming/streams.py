@@ -71,6 +71,50 @@ def remap_stream(ids: DataFrame, buckets: int, slots_per_bucket: int, decay: flo
     return keyed.groupBy("bucket").applyInPandasWithState(step, "id long, hour long, slot long, hit boolean", REMAP_STATE, "append", "NoTimeout")
 
 
+PROBE_STATE = "owner array<long>, until array<long>, hours array<long>, ids array<long>, homes array<long>"
+HOUR_MS = 3_600_000
+
+
+def probe_stream(events: DataFrame, size: int, buckets: int, probe: int, ttl_hours: int, dispatch: str = "threshold", time: str = "ts") -> DataFrame:
+    """A stream of (id, event time with a watermark) through multi-probe hash slots:
+    id, hour, slot, kind, as :func:`quillon.operators.remap.probed` gives them.
+
+    A bucket's state is its table and the ids of hours that are not over. A timer
+    ends an hour when the watermark passes it; then its ids take their places in
+    order, each once. So the result does not depend on how the stream is cut into
+    triggers, and what comes later than the watermark is left out. State is
+    bounded by the bucket's places and the ids of the hours within the watermark.
+    """
+    import pandas as pd
+
+    from quillon.operators.remap import ProbeTable, probe_home
+
+    room = size // buckets
+    bucket, home = probe_home(F.col("id"), buckets, room)
+
+    def step(key, frames, state):
+        owner, until, waiting = None, None, set()
+        if state.exists:
+            owner, until, hours, ids, homes = state.get
+            owner, until, waiting = list(owner), list(until), set(zip(hours, ids, homes, strict=True))
+        table = ProbeTable(room, probe, ttl_hours, dispatch, owner, until)
+        for pdf in frames:
+            waiting.update((int(h), int(i), int(p)) for h, i, p in zip(pdf["hour"], pdf["id"], pdf["home"], strict=True))
+        over = state.getCurrentWatermarkMs() // HOUR_MS  # hours before this one are complete
+        due = sorted(w for w in waiting if w[0] < over)
+        waiting.difference_update(due)
+        out = [(i, hour, key[0] * room + at, kind) for hour, i, p in due for at, kind in [table.visit(i, hour, p)]]
+        rest = sorted(waiting)
+        state.update((table.owner, table.until, [w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest]))
+        if rest:
+            state.setTimeoutTimestamp((rest[0][0] + 1) * HOUR_MS)
+        yield pd.DataFrame(out, columns=["id", "hour", "slot", "kind"])
+
+    hour = F.floor(F.unix_micros(F.col(time)) / (HOUR_MS * 1000)).cast("long")
+    keyed = events.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), time, hour.alias("hour"), bucket.alias("bucket"), home.cast("long").alias("home"))
+    return keyed.groupBy("bucket").applyInPandasWithState(step, "id long, hour long, slot long, kind string", PROBE_STATE, "append", "EventTimeTimeout")
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
     """Runs a stream over all that is there now, into a memory table ``name``."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
