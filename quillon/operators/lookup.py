@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import packed
+
 
 def matched(long: DataFrame, table: DataFrame, dedup: bool = False) -> DataFrame:
     """Long ids with their vectors (table: id, vec)."""
@@ -77,6 +79,46 @@ def dequantized(table: DataFrame) -> DataFrame:
     return table.select("id", F.transform("q", lambda x: x * F.col("scale") + F.col("bias")).alias("vec"))
 
 
+def packed_table(table: DataFrame, bits: int, rows: int | None = None) -> DataFrame:
+    """(id, row): a table (id, vec) with its rows packed (``quillon.functions.packed``);
+    16 and 32 bits keep arrays of numbers, of half precision or as they are. With
+    ``rows`` only ids below it are kept, as pruning leaves them."""
+    kept = table if rows is None else table.filter(F.col("id") < rows)
+    if bits == 32:
+        return kept.select("id", F.col("vec").cast("array<float>").alias("row"))
+    if bits == 16:
+        return kept.select("id", F.transform("vec", lambda x: packed.half_value(packed.half_bits(x)).cast("float")).alias("row"))
+    return kept.select("id", packed.packed(F.col("vec"), bits).alias("row"))
+
+
+def unpacked_table(table: DataFrame, dim: int, bits: int) -> DataFrame:
+    """(id, vec) of a table that :func:`packed_table` made."""
+    return table.select("id", F.col("row").alias("vec") if bits > 8 else packed.unpacked(F.col("row"), dim, bits).alias("vec"))
+
+
+def packed_pooled(long: DataFrame, table: DataFrame, dim: int, bits: int, mode: str = "sum") -> DataFrame:
+    """(row, key, vec): :func:`pooled` over packed rows. A bag sums codes times scale,
+    and biases once for all places, so no vector is ever unpacked on its own; packed
+    rows of a few bytes are what meets the ids."""
+    if bits > 8:
+        return pooled(long, unpacked_table(table, dim, bits), mode, dim)
+    w = F.lit(1.0) if mode == "mean" else F.col("weight")
+    rows = matched(long, table.withColumnRenamed("row", "_packed")).filter("_packed IS NOT NULL")
+    rows = rows.select("row", "key", w.alias("_w"), packed.digits(F.col("_packed")).alias("_d"))
+    rows = rows.select("row", "key", (F.col("_w") * packed.row_scale(F.col("_d"), dim, bits)).alias("_ws"), (F.col("_w") * packed.row_bias(F.col("_d"), dim, bits)).alias("_wb"), packed.codes(F.col("_d"), dim, bits).alias("_c"))
+    sums = rows.groupBy("row", "key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_wb").alias("_b"), *[F.sum(F.get("_c", F.lit(i)) * F.col("_ws")).alias(f"v{i}") for i in range(dim)])
+    divisor = F.col("_n") if mode == "mean" else F.lit(1)
+    return sums.select("row", "key", F.array(*[(F.col(f"v{i}") + F.col("_b")) / divisor for i in range(dim)]).alias("vec"))
+
+
+def packed_sequence(long: DataFrame, table: DataFrame, dim: int, bits: int) -> DataFrame:
+    """(row, key, vecs): one vector per id, in order; packed rows are shuffled, and
+    unpacked where a bag is whole."""
+    rows = matched(long, table.withColumnRenamed("row", "_packed"))
+    bags = rows.groupBy("row", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("_packed")))), lambda x: x["_packed"]).alias("_rows"))
+    return bags.select("row", "key", F.transform("_rows", lambda x: x if bits > 8 else packed.unpacked(x, dim, bits)).alias("vecs"))
+
+
 # --- pools ----------------------------------------------------------------------
 def pool_update(pool: DataFrame, updates: DataFrame, order: str) -> DataFrame:
     """The pool (id, value) after updates (id, value, order): the last one of an id wins."""

@@ -8,16 +8,19 @@ table from ``embeddings``. Floating results are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as X
+from quillon.functions import permutation
 from quillon.operators import jagged, layout, lookup, metrics, models, prefix, prep, ranking, remap, retrieval, transformers
 from quillon.plans import planner
-from quillon.sources import readers
-from quillon.streaming import streams
+from quillon.sources import readers, scratch
+from quillon.sources.store import ParameterStore
+from quillon.streaming import metric_state, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1136,3 +1139,96 @@ def event_time_windows(spark, sf_dir):
  SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
     return streams.sessions(streams.event_time(table(spark, sf_dir, "events")), "user_id", "6 hours").select("user_id", "n")
+
+
+# --- state kept between runs -----------------------------------------------------
+def _new_folder(spark) -> str:
+    return f"{scratch.shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+
+
+RING = 5000
+
+
+@query(BATCH + f""", r AS (SELECT *, l_orderkey // 1000 AS k, greatest(least(prediction, 1 - 1e-12), 1e-12) AS p FROM b), z AS (SELECT task, k, count(*) AS n FROM r GROUP BY 1, 2),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY task ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY task ORDER BY k DESC) AS i FROM z), w AS (SELECT task, k FROM c WHERE cum <= {RING} AND i <= 1000),
+ x AS (SELECT task, 'lifetime' AS of_, weight, label, p FROM r UNION ALL SELECT r.task, 'window', weight, label, p FROM r JOIN w ON r.task = w.task AND r.k = w.k),
+ s AS (SELECT task, of_, sum(-weight * (label * log2(p) + (1 - label) * log2(1 - p))) AS ce, sum(weight) AS n, sum(weight * label) AS pos FROM x GROUP BY 1, 2),
+ v AS (SELECT task, of_, ce / (-pos * log2(pos / n) - (n - pos) * log2(1 - pos / n)) AS ne, pos / n AS ctr FROM s)
+ SELECT a.task, round(a.ne, 6) AS lifetime_ne, round(a.ctr, 6) AS lifetime_ctr, round(b.ne, 6) AS window_ne, round(b.ctr, 6) AS window_ctr FROM v a LEFT JOIN v b ON a.task = b.task AND b.of_ = 'window' WHERE a.of_ = 'lifetime'""")
+def metric_state_ring(spark, sf_dir):
+    """Three triggers of a stream, the second of them made twice."""
+    rows = batch(spark, sf_dir).select("task", F.floor(F.col("l_orderkey") / 1000).alias("batch"), "label", "prediction", "weight")
+    state = metric_state.MetricState(spark, _new_folder(spark), metrics.Suite.of("ne", "ctr"), RING, {"task": "string"})
+    ends = (rows.agg(F.max("batch")).first()[0] or 0) + 1
+    for trigger in (0, 1, 1, 2):
+        state.absorb(rows.filter(F.floor(F.col("batch") * 3 / ends) == trigger), trigger)
+    return rounded(state.values())
+
+
+@query("""WITH p AS (SELECT vec_id AS id, embedding AS vec, 2 AS record FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, embedding, 1 FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0), u AS (SELECT DISTINCT user_id AS id FROM events)
+ SELECT u.id, record, round(list_sum(vec::DOUBLE[]), 4) AS s FROM u LEFT JOIN p USING (id)""")
+def store_pull(spark, sf_dir):
+    """Vectors pushed in two batches, the later over the former, and pulled by the ids of the events."""
+    store = ParameterStore(spark, _new_folder(spark), "vec array<float>, record int", 16)
+    vecs = vectors_of(spark, sf_dir).withColumn("table", F.lit("user"))
+    store.evict(vecs.filter("id % 2 = 0").withColumn("record", F.lit(1)), 0)
+    store.evict(vecs.filter("id % 3 = 0").withColumn("record", F.lit(2)), 1)
+    ids = table(spark, sf_dir, "events").select(F.lit("user").alias("table"), F.col("user_id").alias("id"))
+    return store.pull(ids).select("id", "record", F.round(X.total(F.col("vec")), 4).alias("s"))
+
+
+@query()
+def remap_chain(spark, sf_dir):
+    """Ten intervals of the events, each a tenth of their time."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"))
+    ends = (e.agg(F.max("event_id")).first()[0] or 0) + 1
+    mapper = remap.Remapper(spark, 40, "distance_lfu")
+    for now in range(10):
+        mapper.update(e.filter(F.floor(F.col("event_id") * 10 / ends) == now).select("id"), now)
+    return mapper.state
+
+
+def _event_hours(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("hour"))
+
+
+@query()
+def multi_probe_oldest(spark, sf_dir):
+    """Half as many places as ids, in buckets of 16, so that their number grows with the ids."""
+    e = _event_hours(spark, sf_dir)
+    buckets = max(1, e.agg(F.approx_count_distinct("id", 0.01)).first()[0] // 32)
+    return remap.probed(e.select("id", "hour"), buckets * 16, buckets, 8, 24, "oldest")
+
+
+@query()
+def line_placement(spark, sf_dir):
+    """Ids of the events in lines of eight slots, about as many slots as ids."""
+    e = _event_hours(spark, sf_dir)
+    lines = max(1, e.agg(F.approx_count_distinct("id", 0.01)).first()[0] // 8)
+    done, _ = transformers.lined(spark.createDataFrame([], transformers.STATE), e.select("event_id", "id"), lines, 8, 1, "event_id")
+    return done.select("event_id", "slot")
+
+
+@query()
+def rank_deal(spark, sf_dir):
+    """The events dealt to eight workers by a bijection of their numbers."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    n = (e.agg(F.max("event_id")).first()[0] or 0) + 1
+    return e.select("event_id", permutation.dealt(F.col("event_id"), n, 8, 7).alias("at")).select("event_id", "at.rank", "at.row")
+
+
+def half_sql(x: str) -> str:
+    """The half-precision number nearest to x, for normal numbers."""
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE sign({x}) * round_even(abs({x}) / pow(2, greatest(floor(log2(abs({x}))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs({x}))), -14) - 10) END)"
+
+
+PACKED = LONG.replace("j AS (", f"""q0 AS (SELECT *, min(x) OVER (PARTITION BY id) AS lo, max(x) OVER (PARTITION BY id) AS hi FROM e), q1 AS (SELECT *, {half_sql('lo::DOUBLE')} AS bias FROM q0),
+ q2 AS (SELECT *, ((hi::FLOAT - bias::FLOAT)::DOUBLE / 15)::FLOAT::DOUBLE AS wide FROM q1), q3 AS (SELECT *, {half_sql('wide')} AS sc FROM q2),
+ q AS (SELECT id, dim, least(greatest(round_even((((x::FLOAT - bias::FLOAT)::FLOAT * (1.0 / sc)::FLOAT)::FLOAT)::DOUBLE, 0), 0), 15) * sc + bias AS x FROM q3), j AS (""").replace("e.dim, e.x::DOUBLE AS x FROM l JOIN e", "q.dim, q.x AS x FROM l JOIN q")
+
+
+@query(PACKED + """ SELECT "row", "key", dim, round(sum(x * weight), 3) AS v FROM j GROUP BY ALL""")
+def packed_bags(spark, sf_dir):
+    """Pooled vectors over rows of four-bit codes."""
+    got = lookup.packed_pooled(id_bags(spark, sf_dir), lookup.packed_table(vectors_of(spark, sf_dir), 4), DIM, 4)
+    return got.select("row", "key", F.posexplode("vec").alias("dim", "v")).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 3).alias("v"))
