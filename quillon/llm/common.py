@@ -78,6 +78,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths in the order in which they were stored.
+_WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
@@ -94,6 +96,7 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     atexit.register(drop_path, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    _WRITTEN.append(path)
     if instead_of is not None:
         forget(instead_of)
     return out
@@ -105,6 +108,20 @@ def forget(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def forget_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Deletes the files of all tables stored after the first ``mark`` but ``keep``."""
+    for path in _WRITTEN[mark:]:
+        if path != _PATHS.get(keep):
+            drop_path(spark, path)
+    del _WRITTEN[mark:]
+    _WRITTEN.append(_PATHS[keep])
+
+
+def written() -> int:
+    """How many tables have been stored so far."""
+    return len(_WRITTEN)
+
+
 def about(rows: DataFrame, n: int, there: int) -> DataFrame:
     """``n`` of the ``there`` rows (doc_id, ...), the first by a hash of the id.
     A threshold on the hash admits a little more than ``n`` rows over all tasks

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Cache, bounded, stored
+from quillon.llm.common import Cache, bounded, forget, forget_since, stored, written
 
 K = 4
 PERCENT = 80
@@ -371,7 +371,9 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id (smallest id reachable over links) and kept."""
+    component_id (smallest id reachable over links) and kept. The result is a stored
+    table; those on the way to it are given back."""
+    mark = written()
     signed = stored(signatures(docs, k))
     named = signed.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     repeats = not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -412,6 +414,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     # visits: nodes against the other components of their buckets, the best partner confirmed
     visits = stored(_visits(members, comps, sketches, percent))
+    forget(members)
     tried = visits.select(F.col("v").alias("a"), F.col("m").alias("b"))
     sets = with_sets(ends(tried))
     parts = comps
@@ -436,7 +439,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     found = of.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
     component: Column = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    result = stored(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    forget_since(docs.sparkSession, mark, result)
+    return result
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -242,7 +242,7 @@ def test_whole_pipeline_on_a_small_table(spark, library):
     held = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = set(held) - set(toxic_free)
     assert sum(held[i] == 1 for i in gone) > 0.8 * len(gone)
-    sets = {i: shingled(r["text"] or "") for i, r in single.items()}
+    sets = {i: shingled(r["text"] or "", pipeline.WORDS) for i, r in single.items()}
     ids = sorted(i for i in sets if sets[i])
     for x, i in enumerate(ids):
         for j in ids[:x]:
