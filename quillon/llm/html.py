@@ -2,10 +2,12 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block
 has its word count and link density, those of the blocks before and after it,
-and three marks of the markup around it: inside an article or main element;
-inside something that says it is a menu, header, footer, sidebar, notice, advert,
-form or comment; a heading. A decision tree, grown on the labelled blocks of
-EXAMPLES when a worker first needs it, says which blocks are main text.
+and marks of the markup around it: inside an article or main element; on a page
+that has one; inside an element for menus, headers, footers or asides; inside
+something whose class, id or role hints at such a part; a heading. The first
+article of a page starts without hints, whatever is wrapped around it. A decision
+tree, grown on the labelled blocks of EXAMPLES and of the pages made in
+:mod:`quillon.llm.layouts`, says which blocks are main text.
 
 Null and empty pages have no blocks; so have pages of markup only. Unclosed and
 crossed tags, cut-off pages and bad character references are read as browsers do,
@@ -26,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import layouts
 from quillon.llm.common import bounded
 
 # HTML elements by what they do to the text around them.
@@ -36,7 +39,7 @@ SKIPPED = frozenset("script style noscript template iframe object svg math selec
 RAW = frozenset("script style iframe textarea title head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE = frozenset("nav header footer aside form menu dialog".split())
+ASIDE = frozenset("nav header footer aside menu dialog".split())
 #: Words in class, id and role that say what a part of a page is for.
 HINTS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation
 breadcrumb breadcrumbs sidebar side widget widgets comment comments reply replies disqus respond discussion cookie cookies consent notice
@@ -53,7 +56,7 @@ PARTS = HINTS - WHOLE
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)")
 ATTR = re.compile(r"""([a-zA-Z_:-][a-zA-Z0-9_:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-NAMES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "in aside", "heading")
+NAMES = ("words", "links", "words before", "links before", "words after", "links after", "in article", "page has article", "in aside", "hinted", "heading")
 
 #: Labelled blocks: small pages in which ``data-keep`` marks the main text.
 EXAMPLES = (
@@ -87,6 +90,7 @@ class Block:
     linked: list = field(default_factory=list)
     article: bool = False
     aside: bool = False
+    hinted: bool = False
     heading: bool = False
     keep: bool = False
 
@@ -97,35 +101,44 @@ def _close(source: str, low: str, tag: str, at: int) -> int:
     return len(source) if end < 0 else end
 
 
-def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is an article, an aside, and marked as kept."""
-    article, aside, keep = tag in ("article", "main"), tag in ASIDE and not (tag == "header" and in_article), False
+def _marks(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is an article, an aside, hints at a part that is none, and
+    is marked as kept."""
+    article, aside, hint, keep = tag in ("article", "main"), tag in ASIDE and not (tag == "header" and in_article), tag == "form", False
     if attrs:
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role", "itemprop"):
                 words = value.split()
                 article = article or not MAIN.isdisjoint(words)
-                if tag not in ("body", "html", "article", "main"):
-                    aside = aside or any(w in HINTS or not PARTS.isdisjoint(re.split(r"[-_:]", w)) for w in words if w not in MAIN)
+                if tag not in ("body", "html", "main"):
+                    hint = hint or any(w in HINTS or not PARTS.isdisjoint(re.split(r"[-_:]", w)) for w in words if w not in MAIN)
             elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 aside = True
             elif name == "data-keep":
                 keep = True
-    return article, aside, keep
+    return article and not (hint and tag == "article"), aside, hint, keep
 
 
 def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
     """(text, features, marked as kept) of the blocks of a page, in order."""
     source = source or ""
     low, found, now = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source), [], Block()
-    stack: list[tuple] = []  # tag, article, aside, keep
-    inside = [0, 0, 0, 0]  # open elements that are articles, asides, kept, headings
+    stack: list[tuple] = []  # tag, article, aside, hint, keep
+    inside = [0, 0, 0, 0, 0]  # open elements that are articles, asides, hints, kept, headings
+    outer = 0  # hints around the first article, which do not count in it
+    articles = 0
     there: Counter = Counter()  # open elements by tag
     links, at, n = 0, 0, len(source)
     unclosed: set[str] = set()
 
     def push(tag: str, *marks: bool) -> None:
+        nonlocal outer, articles
+        if marks[0]:
+            articles += 1
+            if articles == 1:
+                outer, inside[2] = inside[2], 0
+                marks = (True, *marks[1:2], False, *marks[3:])
         stack.append((tag, *marks))
         there[tag] += 1
         for i, on in enumerate((*marks, tag in HEADINGS)):
@@ -134,8 +147,11 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
     def pop() -> str:
         tag, *marks = stack.pop()
         there[tag] -= 1
+        nonlocal outer
         for i, on in enumerate((*marks, tag in HEADINGS)):
             inside[i] -= on
+        if marks[0] and not inside[0]:
+            inside[2], outer = inside[2] + outer, 0
         return tag
 
     def text(raw: str) -> None:
@@ -150,7 +166,7 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
         if whole:
             linked = len(html.unescape("".join(now.linked)).split())
             found.append((whole, now, linked))
-        now = Block(article=inside[0] > 0, aside=inside[1] > 0, heading=inside[3] > 0, keep=inside[2] > 0)
+        now = Block(article=inside[0] > 0, aside=inside[1] > 0, hinted=inside[2] > 0, heading=inside[4] > 0, keep=inside[3] > 0)
 
     while at < n:
         start = source.find("<", at)
@@ -172,7 +188,7 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
                 unclosed.add(tag)
                 # left open: aside up to the end of its parent or the next block
                 end()
-                push(tag, False, True, False)
+                push(tag, False, True, False, False)
                 end()
                 continue
             if tag == "head" and (body := low.find("<body", at)) >= 0 and (low.find("</head", at) < 0 or body < low.find("</head", at)):
@@ -212,11 +228,11 @@ def blocks(source: str | None) -> list[tuple[str, tuple, bool]]:
     for i, (t, b, _) in enumerate(found):
         before = (counted[i - 1][0], density[i - 1]) if i else (0, 0.0)
         after = (counted[i + 1][0], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        out.append((t, (counted[i][0], density[i], *before, *after, float(b.article), float(b.aside), float(b.heading)), b.keep))
+        out.append((t, (counted[i][0], density[i], *before, *after, float(b.article), float(articles > 0), float(b.aside), float(b.hinted), float(b.heading)), b.keep))
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple:
     """A decision tree by least Gini impurity: (share of main, feature,
     threshold, below, above) or (share,)."""
     share = float(y.mean())
@@ -247,8 +263,8 @@ def verdict(tree: tuple, features: tuple) -> bool:
 
 @functools.lru_cache(maxsize=1)
 def trained(examples: tuple[str, ...] = EXAMPLES) -> tuple:
-    """The tree grown on the blocks of the examples."""
-    rows = [b for page in examples for b in blocks(page)]
+    """The tree grown on the blocks of the examples and of the pages made from layouts."""
+    rows = [b for page in (*examples, *layouts.pages()) for b in blocks(page)]
     return grow(np.array([f for _, f, _ in rows]), np.array([k for _, _, k in rows], dtype=float))
 
 
