@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.ordered import numbered
+from quillon.sources.scratch import Scratch
+
 BUCKETS = 256
 #: Buckets of an octave of magnitudes.
 FINE = 1024
@@ -67,13 +70,20 @@ def ordered_buckets(df: DataFrame, column: str, n: int = BUCKETS) -> Column:
     cuts = sorted(set(cuts))
     if not cuts:
         return F.lit(0)
-    return F.when(key.isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)))
+    return F.when(key.isNull(), -1).otherwise(_halved(key, cuts, 0, len(cuts)))
+
+
+def _halved(key: Column, cuts: list[float], low: int, high: int) -> Column:
+    """The number of cuts that are not above ``key``, by halving: a few comparisons a row."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(key < F.lit(cuts[middle]), _halved(key, cuts, low, middle)).otherwise(_halved(key, cuts, middle + 1, high))
 
 
 def ranked(df: DataFrame, order: list[str], into: str, start: int = 0, by: list[str] = ()) -> DataFrame:
     """``df`` with ``into``: the number of the row in ascending order, from ``start``."""
-    out = running_total(df, order, ordered_buckets(df, order[0]), F.lit(1).cast("long"), into, by)
-    return out.withColumn(into, F.col(into) + start)
+    return numbered(df, order, into, by).withColumn(into, F.col(into) + start)
 
 
 # --- ordered pairs ------------------------------------------------------------------
@@ -106,30 +116,37 @@ def ordered_pairs(df: DataFrame, by: list[str], a: Column, b: Column, weight: Co
     Both values are cut into ordered buckets of all rows. Pairs within a bucket of
     a, and pairs within a bucket of b whose buckets of a differ, are counted from
     sorted rows; all others from the sums of the grid of buckets. So a group, be it
-    a third of all rows, is many small ones. Rows with a null or NaN count nowhere.
+    a third of all rows, is many small ones. Rows of one group that agree in both
+    values are one row from the start, as they make no pair among themselves: values
+    that many rows share are few rows. There are about as many buckets as the third
+    root of the rows, so that neither a bucket nor the grid of a group grows as fast as the
+    rows do. Rows with a null or NaN count nowhere.
     """
     rows = df.select(*by, a.cast("double").alias("_a"), b.cast("double").alias("_b"), weight.cast("double").alias("_w")).filter("_a IS NOT NULL AND _b IS NOT NULL AND _w IS NOT NULL AND NOT isnan(_a) AND NOT isnan(_b)")
-    rows = rows.withColumns({"_p": ordered_buckets(rows, "_a", 64), "_q": ordered_buckets(rows, "_b", 64)})
+    rows = Scratch(df.sparkSession).stored(rows.groupBy(*by, "_a", "_b").agg(F.sum("_w").alias("_w")))  # read by three parts below
+    n = min(1024, max(64, round(rows.count() ** (1 / 3))))
+    rows = rows.withColumns({"_p": ordered_buckets(rows, "_a", n), "_q": ordered_buckets(rows, "_b", n)})
     names = [f"_g{i}" for i in range(len(by))]
     group = F.xxhash64(*by) if by else F.lit(0).cast("long")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
+        left: list[pd.DataFrame] = []  # the parts of the last run, put together once it is whole
 
         def done(x: pd.DataFrame) -> pd.DataFrame:
             found = _dominance(x["_run"].to_numpy(), x["_x"].to_numpy(), x["_b"].to_numpy(), x["_w"].to_numpy()) * x["_w"].to_numpy()
             return x.assign(pairs=found).groupby("_run", sort=False).agg({**{c: "first" for c in names}, "pairs": "sum"})[[*names, "pairs"]]
 
         for x in frames:  # sorted by _run: all but the last run of a frame are whole
-            x = x if left is None else pd.concat([left, x], ignore_index=True)
-            last = x["_run"] == x["_run"].iloc[-1] if len(x) else None
-            if last is None or last.all():
-                left = x
+            if not len(x):
+                continue
+            last = x["_run"] == x["_run"].iloc[-1]
+            if last.all() and (not left or left[-1]["_run"].iloc[0] == x["_run"].iloc[0]):
+                left.append(x)
                 continue
-            yield done(x[~last])
-            left = x[last].reset_index(drop=True)
-        if left is not None and len(left):
-            yield done(left)
+            yield done(pd.concat([*left, x[~last]], ignore_index=True))
+            left = [x[last]]
+        if left:
+            yield done(pd.concat(left, ignore_index=True))
 
     keep = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
     fields = "".join(f"{n} {df.schema[c].dataType.simpleString()}, " for c, n in zip(by, names, strict=True))

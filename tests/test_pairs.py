@@ -84,3 +84,25 @@ def test_null_is_a_value_when_encoding(spark):
     assert sorted((r["i"], r["c"]) for r in got) == [(0, 2), (1, 3), (2, 2), (3, 4)]
     got = prep.dense_index(df, "c", 5).collect()
     assert sorted((r["i"], r["c"]) for r in got) == [(0, 5), (1, 7), (2, 5), (3, 6)]
+
+
+def test_values_that_most_rows_share_are_few_rows(spark):
+    """90 % of the rows agree in both values: the parts that are sorted hold few rows."""
+    rows = [(0, 1.0, 2.0, 1.0) if i % 10 else (0, float(i % 70), float(i % 90), 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, a double, b double, w double")
+    found = prefix.ordered_pairs(df, ["g"], F.col("a"), F.col("b"), F.col("w"))
+    got = found.first()["pairs"]
+    kept = {}
+    for r in rows:
+        kept[r[1:3]] = kept.get(r[1:3], 0) + 1
+    assert got == sum(m * n for (a, b), m in kept.items() for (c, d), n in kept.items() if a < c and b < d)
+    written = {f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    assert {spark.read.parquet(f).count() for f in written} == {len(kept)} and len(kept) < len(rows) / 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 63, 255])
+def test_halving_counts_cuts(spark, n):
+    rng = random.Random(n)
+    cuts = sorted(rng.sample(range(500), n))
+    got = spark.range(-1, 501).select("id", prefix._halved(F.col("id").cast("double"), [float(c) for c in cuts], 0, n).alias("b")).collect()
+    assert all(r["b"] == sum(c <= r["id"] for c in cuts) for r in got)
