@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.store import Store
+
 SAMPLE = 20_000
 CHUNK = 16_384
 
@@ -56,7 +58,10 @@ class Index:
 
 def fitted(vectors: DataFrame, cells: int = 64, parts: int = 8, bits: int = 8, sample: int = SAMPLE, seed: int = 0) -> Index:
     """An index for (id, vec), fitted on at most ``sample`` rows."""
-    rows = vectors.filter("vec IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vec").collect()
+    there = vectors.filter("vec IS NOT NULL").withColumn("_h", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)))
+    n = there.count()
+    share = 1.0 if n <= sample else min(1.0, (1.1 * sample + 100) / n)  # a threshold first: few rows are ordered
+    rows = there.filter(F.col("_h") < int(share * (1 << 52))).orderBy("_h", "id").limit(sample).select("vec").collect()
     x = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(x) or x.shape[1] % parts:
         raise ValueError("the index needs vectors whose length its parts divide")
@@ -117,3 +122,54 @@ def searched(queries: DataFrame, codes: DataFrame, index: Index, k: int = 10, pr
     found = left.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(search, "query long, id long, distance double")
     order = Window.partitionBy("query").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", "distance")
+
+
+class StoredIndex:
+    """An index as tables in a folder: centres, code books, and for each cell the
+    codes and vectors of its rows. It is built once, appended to without fitting
+    again, and read by any session. A search takes candidates by their codes and ranks
+    ``rerank`` times k of them by their vectors."""
+
+    FIELDS = "cell int, id long, code binary, vec array<double>"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.store = Store(spark, f"{self.path}/rows", self.FIELDS, ["cell", "id"], buckets, ["cell"])
+        self._fitted: Index | None = None
+
+    @property
+    def fitted(self) -> Index:
+        if self._fitted is None:
+            read = lambda name: self.spark.read.parquet(f"{self.path}/{name}").orderBy("part", "row").collect()
+            cells, books = np.array([r["vec"] for r in read("cells")]), {}
+            for r in read("books"):
+                books.setdefault(r["part"], []).append(r["vec"])
+            self._fitted = Index(cells, [np.array(books[p]) for p in sorted(books)])
+        return self._fitted
+
+    def build(self, vectors: DataFrame, **options) -> StoredIndex:
+        """Fits cells and code books on a bounded sample of ``vectors`` (id, vec), writes
+        them, and appends all of them."""
+        index = fitted(vectors, **options)
+        table = lambda parts: self.spark.createDataFrame([(p, i, [float(x) for x in v]) for p, rows in enumerate(parts) for i, v in enumerate(rows)], "part int, row int, vec array<double>")
+        table([index.cells]).coalesce(1).write.parquet(f"{self.path}/cells")
+        table(index.books).coalesce(1).write.parquet(f"{self.path}/books")
+        self.append(vectors, 0)
+        return self
+
+    def append(self, vectors: DataFrame, epoch: int | None = None) -> bool:
+        """Adds vectors with the cells and code books there are; one that an id had in the
+        same cell is replaced. A batch whose ``epoch`` is in already adds nothing."""
+        rows = encoded(vectors, self.fitted).withColumnRenamed("id", "_id").join(vectors.filter("vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), F.col("id") == F.col("_id"))
+        return self.store.put(rows.select("cell", "id", "code", "vec"), epoch)
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, rerank: int = 10) -> DataFrame:
+        """(query, rank, id, distance): the ``k`` nearest found for each query (id, vec), by
+        exact squared distance; ties go to the smaller id, a row is no neighbour of itself."""
+        rows = self.store.read()
+        found = searched(queries, rows.select("id", "cell", "code"), self.fitted, k * rerank, probes).select("query", "id")
+        asked = queries.select(F.col("id").cast("long").alias("query"), F.col("vec").cast("array<double>").alias("_q"))
+        near = found.join(rows.select("id", "vec"), "id").join(asked, "query")
+        exact = F.aggregate(F.zip_with("vec", "_q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        order = Window.partitionBy("query").orderBy("distance", "id")
+        return near.select("query", "id", exact.alias("distance")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "id", "distance")

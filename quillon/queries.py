@@ -1232,3 +1232,12 @@ def packed_bags(spark, sf_dir):
     """Pooled vectors over rows of four-bit codes."""
     got = lookup.packed_pooled(id_bags(spark, sf_dir), lookup.packed_table(vectors_of(spark, sf_dir), 4), DIM, 4)
     return got.select("row", "key", F.posexplode("vec").alias("dim", "v")).select("row", "key", F.col("dim").cast("long").alias("dim"), F.round("v", 3).alias("v"))
+
+
+@query()
+def retrieval_reranked(spark, sf_dir):
+    """A stored index of half of the vectors, appended to by the others, searched by every fiftieth."""
+    v = vectors_of(spark, sf_dir)
+    index = retrieval.StoredIndex(spark, _new_folder(spark), 16).build(v.filter("id % 2 = 0"), cells=16, parts=16, bits=6)
+    index.append(v.filter("id % 2 = 1"), 1)
+    return rounded(index.search(v.filter("id % 50 = 0"), 5, probes=12, rerank=20))
