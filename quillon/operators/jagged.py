@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import numbered
 from quillon.operators.prefix import running_total
 
 LONG = ("row", "key", "pos", "id", "weight")
@@ -73,6 +74,15 @@ def stride_per_key(long: DataFrame, rank: Column | None = None) -> DataFrame:
     return (long if rank is None else long.withColumn("rank", rank)).groupBy(*by).agg(F.count_distinct("row").alias("stride"))
 
 
+def stride_offsets(strides: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, index, stride, offset) of the keys in order: the rows of each key and those of
+    the keys before it; a key without rows has stride 0. As many rows as keys."""
+    order = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key")) - 1
+    every = strides.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+    full = every.join(strides, "key", "left").select("key", order.cast("int").alias("index"), F.coalesce("stride", F.lit(0)).cast("long").alias("stride"))
+    return full.withColumn("offset", F.coalesce(F.sum("stride").over(Window.orderBy("index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def permuted(wide: DataFrame, row: str, keys: list[str], indices: list[int]) -> DataFrame:
     """Keys by index; a key taken again gets its place in its name."""
     taken: dict[str, int] = {}
@@ -150,3 +160,33 @@ def validated(df: DataFrame, values: str, weights: str | None = None, offsets_:
     for bad, what in checks:
         ok = ok & F.when(bad, F.raise_error(F.lit(what)).cast("boolean")).otherwise(True)
     return df.filter(ok)
+
+
+# --- pools of jagged rows as flat values ----------------------------------------
+def flat_pool(bags: DataFrame, width: int = 1 << 12) -> tuple[DataFrame, DataFrame]:
+    """A pool of jagged rows (id, values) as (index: id, start, length; blocks: block,
+    values): all values one after the other in the order of ids, cut into blocks of
+    ``width``. Of ids that occur twice one with the most values stays; null bags are
+    empty. A bag may lie in several blocks and a block holds several bags, so blocks are of one size
+    whatever the bags are. Writes its rows once."""
+    one = bags.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.coalesce("values", F.array()), F.struct(F.size(F.coalesce("values", F.array())), F.coalesce("values", F.array()))).alias("values"))
+    placed = numbered(one, ["id"], "_n", sums={"start": F.size("values")})
+    index = placed.select("id", "start", F.size("values").cast("long").alias("length"))
+    at = F.col("start") + F.col("_i")
+    cells = placed.select("start", F.posexplode("values").alias("_i", "_v")).select(F.floor(at / width).alias("block"), F.pmod(at, F.lit(width)).alias("_at"), "_v")
+    blocks = cells.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("values"))
+    return index, blocks
+
+
+def flat_select(index: DataFrame, blocks: DataFrame, ids: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """The rows of ``ids`` with ``values``, their bags: an id meets the blocks that
+    its range touches by an equi-join and takes its part of each. An id that the
+    pool does not hold has an empty bag. Distinct ids are looked up once."""
+    asked = ids.select("id").distinct().join(index.filter("length > 0"), "id")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("length") - 1) / width)
+    parts = asked.select("id", "start", "length", F.explode(F.sequence(first, last)).alias("block")).join(blocks, "block")
+    low = F.greatest(F.col("start") - F.col("block") * width, F.lit(0))
+    high = F.least(F.col("start") + F.col("length") - F.col("block") * width, F.lit(width))
+    cut = parts.select("id", "block", F.slice("values", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    found = cut.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])).alias("values"))
+    return ids.join(found, "id", "left").withColumn("values", F.coalesce("values", F.array()))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import expressions as X
-from quillon.functions import permutation
+from quillon.functions import attention, permutation
 from quillon.operators import jagged, layout, lookup, metrics, models, prefix, prep, ranking, remap, retrieval, transformers
 from quillon.plans import planner
 from quillon.sources import readers, scratch
@@ -1241,3 +1241,49 @@ def retrieval_reranked(spark, sf_dir):
     index = retrieval.StoredIndex(spark, _new_folder(spark), 16).build(v.filter("id % 2 = 0"), cells=16, parts=16, bits=6)
     index.append(v.filter("id % 2 = 1"), 1)
     return rounded(index.search(v.filter("id % 50 = 0"), 5, probes=12, rerank=20))
+
+
+# --- tables of several features, flat pools, attention ------------------------------
+@query("""WITH c AS (SELECT event_type AS t, user_id AS id, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT t, id, row_number() OVER (PARTITION BY t ORDER BY n DESC, id) - 1 AS slot FROM c QUALIFY slot < 29)
+ SELECT event_id, event_type AS t, coalesce(slot, 29)::BIGINT AS slot FROM events LEFT JOIN s ON t = event_type AND id = user_id""")
+def remap_tables(spark, sf_dir):
+    """One remapper of several tables, each with slots of its own."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("t"), F.col("user_id").alias("id"))
+    mapper = remap.Remapper(spark, 30, "lfu", by=["t"])
+    mapper.update(e.select("t", "id"), 0)
+    return mapper.lookup(e).select("event_id", "t", "slot")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1) SELECT event_id, coalesce(len(v), 0)::BIGINT AS n, coalesce(array_to_string(v, ','), '') AS parts FROM events LEFT JOIN p ON id = user_id""")
+def flat_pool_select(spark, sf_dir):
+    """The parts of orders as one flat pool, taken by the users of the events."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("values"))
+    index, blocks = jagged.flat_pool(l)
+    got = jagged.flat_select(index, blocks, table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id")))
+    return got.select("event_id", F.size("values").cast("long").alias("n"), F.array_join("values", ",").alias("parts"))
+
+
+@query("""WITH s AS (SELECT event_type AS "key", count(DISTINCT user_id) AS stride FROM events GROUP BY 1), k AS (SELECT unnest(['view', 'click', 'purchase', 'none']) AS "key", unnest(range(4)) AS i)
+ SELECT k."key", i::INT AS "index", coalesce(stride, 0) AS stride, coalesce(sum(stride) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM k LEFT JOIN s ON s."key" = k."key" """)
+def stride_offsets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("row"))
+    return jagged.stride_offsets(jagged.stride_per_key(e), ["view", "click", "purchase", "none"])
+
+
+@query(LONG.replace("l_orderkey", "l_suppkey") + """, d AS (SELECT "row", sum(x) AS v FROM j WHERE "key" = 'part' GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(v, 3) AS v FROM lineitem JOIN d ON "row" = l_suppkey""")
+def pooled_expanded(spark, sf_dir):
+    """Bags by supplier are pooled once and given back to every line of the supplier."""
+    n = max(1, table(spark, sf_dir, "embeddings").count())
+    l = table(spark, sf_dir, "lineitem")
+    long = l.select(F.col("l_suppkey").alias("row"), F.lit("part").alias("key"), F.lit(0).alias("pos"), (F.col("l_partkey") % n).alias("id"), F.lit(1.0).alias("weight"))
+    once = lookup.pooled(long, vectors_of(spark, sf_dir), dim=DIM).select(F.col("row").alias("dedup_id"), "vec")
+    got = jagged.expanded(once, l.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("dedup_id")))
+    return got.select("l_orderkey", "l_linenumber", F.round(X.total(F.col("vec")), 3).alias("v"))
+
+
+@query()
+def attention_interaction(spark, sf_dir):
+    """Each embedding as eight features of eight elements, through two encoder layers."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.slice("embedding", 8 * i + 1, 8) for i in range(8)]).alias("x"))
+    out = attention.encoded(v, "x", [attention.seeded_layer(8, 16, i) for i in range(2)], 2)
+    return out.select("vec_id", F.transform(F.flatten("x"), lambda t: F.round(t, 6)).alias("features")).select("vec_id", F.array_join(F.transform("features", lambda t: t.cast("string")), ",").alias("features"))
