@@ -21,8 +21,8 @@ smallest ids: no group depends on the data.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do those of another length than most pivots, nor rows without id. Ties
-go to the smaller id. Rows repeated under one id are queries once and candidates
-as often as they occur. Empty table: no rows. Extra columns are ignored.
+go to the smaller id. Rows repeated under one id are a query once, by the least of
+their vectors, and candidates as often as they occur. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, pivots: int = PIVO
 
     hashed = F.xxhash64("vec_id", F.lit(17))
     left = rows.select("vec_id", "embedding", F.pmod(hashed, F.lit(blocks).cast("long")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    asked = rows.filter("is_query").dropDuplicates(["vec_id"])
+    asked = rows.filter("is_query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     right = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(hashed, F.lit(query_blocks)).cast("int").alias("q"))
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, RESULT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
