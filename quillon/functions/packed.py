@@ -79,40 +79,33 @@ def packed(vec: Column, bits: int) -> Column:
     return F.when(F.size(vec) > 0, F.transform(F.array(scale_and_bias(vec, bits)), row)[0])
 
 
-def digits(row: Column) -> Column:
-    """The hexadecimal digits of a packed row as numbers, by which it is read."""
-    return F.transform(F.split(F.hex(row), ""), lambda c: F.ascii(c) - F.when(F.ascii(c) > 57, 55).otherwise(48))
+def words(row: Column, dim: int, bits: int) -> Column:
+    """A packed row of ``dim`` codes as numbers of four bytes, by which it is read: the
+    codes, then scale and bias as the last. All places are known, so nothing is looked for."""
+    body = (dim * bits + 7) // 8
+    return F.array(*[F.conv(F.hex(F.substring(row, at + 1, 4)), 16, 10).cast("long") for at in (*range(0, body, 4), body)])
 
 
-def codes(nibbles: Column, dim: int, bits: int) -> Column:
-    """The ``dim`` codes of a packed row, from its :func:`digits`, as integers."""
+def codes(read: Column, dim: int, bits: int) -> Column:
+    """The ``dim`` codes of a packed row, from its :func:`words`, as integers."""
+    def code(i: int) -> Column:
+        byte, at = divmod(i * bits, 8)
+        return F.shiftright(F.get(read, F.lit(byte // 4)), (3 - byte % 4) * 8 + at).bitwiseAND(F.lit(2**bits - 1))
 
-    def code(i: Column) -> Column:
-        if bits == 8:
-            return F.get(nibbles, 2 * i) * 16 + F.get(nibbles, 2 * i + 1)
-        if bits == 4:
-            return F.get(nibbles, i + 1 - i % 2 * 2)
-        two = F.get(nibbles, F.shiftright(i, 2) * 2 + 1 - F.shiftright(i % 4, 1))
-        return F.when(i % 2 == 0, two % 4).otherwise(F.shiftright(two, 2))
+    return F.array(*[code(i) for i in range(dim)])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), code)
 
+def row_scale(read: Column) -> Column:
+    last = F.element_at(read, -1)
+    return half_value((F.shiftright(last, 24) + F.shiftright(last, 16).bitwiseAND(F.lit(255)) * 256).cast("int"))
 
-def _half_at(nibbles: Column, dim: int, bits: int, at: int) -> Column:
-    start = (dim * bits + 7) // 8 * 2 + at * 4
-    digit = lambda k: F.get(nibbles, F.lit(start + k))
-    return half_value(digit(2) * 4096 + digit(3) * 256 + digit(0) * 16 + digit(1))
 
-
-def row_scale(nibbles: Column, dim: int, bits: int) -> Column:
-    return _half_at(nibbles, dim, bits, 0)
-
-
-def row_bias(nibbles: Column, dim: int, bits: int) -> Column:
-    return _half_at(nibbles, dim, bits, 1)
+def row_bias(read: Column) -> Column:
+    last = F.element_at(read, -1)
+    return half_value((F.shiftright(last, 8).bitwiseAND(F.lit(255)) + last.bitwiseAND(F.lit(255)) * 256).cast("int"))
 
 
 def unpacked(row: Column, dim: int, bits: int) -> Column:
     """The numbers of a packed row."""
-    read = F.transform(F.array(digits(row)), lambda d: F.struct(d.alias("d"), row_scale(d, dim, bits).alias("s"), row_bias(d, dim, bits).alias("b")))
-    return F.when(row.isNotNull(), F.transform(read, lambda p: F.transform(codes(p["d"], dim, bits), lambda c: c * p["s"] + p["b"]))[0])
+    read = F.transform(F.array(words(row, dim, bits)), lambda w: F.struct(codes(w, dim, bits).alias("c"), row_scale(w).alias("s"), row_bias(w).alias("b")))
+    return F.when(row.isNotNull(), F.transform(read, lambda p: F.transform(p["c"], lambda c: c * p["s"] + p["b"]))[0])

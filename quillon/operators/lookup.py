@@ -104,8 +104,8 @@ def packed_pooled(long: DataFrame, table: DataFrame, dim: int, bits: int, mode:
         return pooled(long, unpacked_table(table, dim, bits), mode, dim)
     w = F.lit(1.0) if mode == "mean" else F.col("weight")
     rows = matched(long, table.withColumnRenamed("row", "_packed")).filter("_packed IS NOT NULL")
-    rows = rows.select("row", "key", w.alias("_w"), packed.digits(F.col("_packed")).alias("_d"))
-    rows = rows.select("row", "key", (F.col("_w") * packed.row_scale(F.col("_d"), dim, bits)).alias("_ws"), (F.col("_w") * packed.row_bias(F.col("_d"), dim, bits)).alias("_wb"), packed.codes(F.col("_d"), dim, bits).alias("_c"))
+    rows = rows.select("row", "key", w.alias("_w"), packed.words(F.col("_packed"), dim, bits).alias("_d"))
+    rows = rows.select("row", "key", (F.col("_w") * packed.row_scale(F.col("_d"))).alias("_ws"), (F.col("_w") * packed.row_bias(F.col("_d"))).alias("_wb"), packed.codes(F.col("_d"), dim, bits).alias("_c"))
     sums = rows.groupBy("row", "key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_wb").alias("_b"), *[F.sum(F.get("_c", F.lit(i)) * F.col("_ws")).alias(f"v{i}") for i in range(dim)])
     divisor = F.col("_n") if mode == "mean" else F.lit(1)
     return sums.select("row", "key", F.array(*[(F.col(f"v{i}") + F.col("_b")) / divisor for i in range(dim)]).alias("vec"))
