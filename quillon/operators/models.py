@@ -1,19 +1,28 @@
-"""Forward passes over sequences: attention blocks on batches of rows, inference only."""
+"""Next items of histories: vectors by join, an encoder on batches of rows, the best
+items by products in blocks. Inference only; parameters are inputs.
+
+Only what is bounded by the model (places, blocks of attention, gains) travels with
+the tasks. Item and output vectors are tables of any size: the former meet the
+histories by an equi-join on the item, the latter meet the states in blocks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: States and items of a block of :func:`best_items`: its scores take 32 MiB.
+STATES, ITEMS = 1024, 4096
+
 
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """Scaled dot products of (..., places, dim) arrays; where ``mask`` is false a
-    place is not looked at."""
+    place is not looked at. If all are masked, all count alike."""
     scores = q @ np.swapaxes(k, -1, -2) / np.sqrt(q.shape[-1])
     if mask is not None:
         scores = np.where(mask, scores, -1e9)
@@ -21,66 +30,129 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray | No
     return scores / scores.sum(axis=-1, keepdims=True) @ v
 
 
-def _norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
-    return (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + eps)
+def normed(x: np.ndarray, gain: np.ndarray, bias: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    """``x`` less its mean, over its standard deviation, taken over as many last axes
+    as ``gain`` has."""
+    over = tuple(range(-gain.ndim, 0))
+    return (x - x.mean(axis=over, keepdims=True)) / np.sqrt(x.var(axis=over, keepdims=True) + eps) * gain + bias
+
+
+@dataclass
+class Block:
+    """Weights (inputs by outputs) and biases of the four projections of an attention,
+    of its perceptron, and gains and biases of the norms before both."""
+
+    projections: dict[str, tuple[np.ndarray, np.ndarray]]
+    inner: tuple[np.ndarray, np.ndarray]
+    outer: tuple[np.ndarray, np.ndarray]
+    norms: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass
 class SequenceModel:
-    """Item and position vectors, blocks of attention and feed-forward parts, and an
-    output layer. A block holds wq, wk, wv, wo (dim, dim) and w1 (dim, hidden), w2
-    (hidden, dim). Item 0 is padding."""
+    """Vectors of the places of a window, the vector of a place without item, gain and
+    bias of the norm over a whole window, and blocks."""
 
-    items: np.ndarray
     places: np.ndarray
-    blocks: list[dict[str, np.ndarray]]
-    out: np.ndarray
+    padding: np.ndarray
+    gain: np.ndarray
+    bias: np.ndarray
+    blocks: list[Block] = field(default_factory=list)
     heads: int = 2
 
     @classmethod
-    def seeded(cls, vocabulary: int, width: int, dim: int = 16, heads: int = 2, layers: int = 2, seed: int = 0) -> SequenceModel:
+    def seeded(cls, width: int, dim: int, heads: int = 2, layers: int = 2, seed: int = 0) -> SequenceModel:
         """A model with normal parameters, for tests and dry runs."""
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
-        blocks = [{"wq": draw(dim, dim), "wk": draw(dim, dim), "wv": draw(dim, dim), "wo": draw(dim, dim), "w1": draw(dim, 4 * dim), "w2": draw(4 * dim, dim)} for _ in range(layers)]
-        return cls(rng.normal(0, 1, (vocabulary, dim)), rng.normal(0, 1, (width, dim)), blocks, draw(dim, vocabulary), heads)
-
-    def forward(self, ids: np.ndarray) -> np.ndarray:
-        """(rows, width) of items, padded with 0, to the output at the last place."""
-        x = self.items[ids] + self.places[None]
+        weights = lambda a, b: (rng.normal(0, a ** -0.5, (a, b)), rng.normal(0, 0.1, b))
+        gains = lambda *shape: (rng.normal(1, 0.1, shape), rng.normal(0, 0.1, shape))
+        blocks = [Block({name: weights(dim, dim) for name in ("query", "key", "value", "out")}, weights(dim, 4 * dim), weights(4 * dim, dim), (gains(dim), gains(dim))) for _ in range(layers)]
+        return cls(rng.normal(0, 1, (width, dim)), rng.normal(0, 1, dim), *gains(width, dim), blocks, heads)
+
+    def encode(self, x: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """(rows, width, dim) of item vectors, and which places hold one, to states."""
+        x = np.where(known[..., None], x, self.padding) + self.places
+        x = normed(x, self.gain, self.bias)
         rows, width, dim = x.shape
-        seen = (ids > 0)[:, None, None, :]
         split = lambda z: z.reshape(rows, width, self.heads, -1).transpose(0, 2, 1, 3)
         for b in self.blocks:
-            z = _norm(x)
-            met = attention(*(split(z @ b[w]) for w in ("wq", "wk", "wv")), seen)
-            x = x + met.transpose(0, 2, 1, 3).reshape(rows, width, dim) @ b["wo"]
-            x = x + np.maximum(_norm(x) @ b["w1"], 0) @ b["w2"]
-        return x[:, -1] @ self.out
-
-
-def next_items(seqs: DataFrame, user: str, items: str, model: SequenceModel, k: int = 10, rows: int = 256) -> DataFrame:
-    """(user, rank, item, score): the ``k`` items with the highest output after each
-    user's last items; ties to the smaller item. Items outside the vocabulary are
-    padding. ``rows`` are computed at a time, so a task's memory is bounded."""
+            z = normed(x, *b.norms[0])
+            q, k, v = (split(z @ w + c) for w, c in (b.projections[name] for name in ("query", "key", "value")))
+            met = attention(q, k, v, known[:, None, None, :]).transpose(0, 2, 1, 3).reshape(rows, width, dim)
+            x = x + met @ b.projections["out"][0] + b.projections["out"][1]
+            z = np.maximum(normed(x, *b.norms[1]) @ b.inner[0] + b.inner[1], 0)
+            x = x + z @ b.outer[0] + b.outer[1]
+        return x
+
+
+def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: SequenceModel, rows: int = 256) -> DataFrame:
+    """(user, state): the encoder's output at the last place of each user's window.
+
+    The window holds the last items, at its end; places before them, null items and
+    items without a vector in ``table`` (id, vec) are padding, which no place looks at.
+    A user without items has a window of padding. A user's different windows are rows
+    of their own, equal ones are one; ``rows`` windows are computed at a time.
+    """
+    width, dim = model.places.shape
     given = seqs.sparkSession.sparkContext.broadcast(model)
-    width, known = model.places.shape[0], model.items.shape[0]
+    last = F.coalesce(F.col(items).cast("array<long>"), F.array().cast("array<long>"))
+    last = F.slice(last, F.greatest(F.size(last) - width, F.lit(0)) + 1, width)
+    windows = seqs.select(F.col(user).alias("user"), last.alias("ids")).withColumn("window", F.xxhash64("ids"))
+    long = windows.select("user", "window", (F.lit(width) - F.size("ids")).alias("free"), F.posexplode_outer("ids").alias("at", "item"))
+    vectors = table.select(F.col("id").cast("long").alias("_id"), F.col("vec").cast("array<double>").alias("vec"))
+    met = long.join(vectors, F.col("item") == F.col("_id"), "left")
+    place = F.when(F.col("vec").isNotNull(), F.struct((F.col("free") + F.col("at")).alias("at"), "vec"))
+    gathered = met.groupBy("user", "window").agg(F.collect_list(place).alias("places"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = given.value
+        own = given.value
         for batch in batches:
-            for at in range(0, len(batch), rows):
-                part = batch.iloc[at:at + rows]
-                ids = np.zeros((len(part), width), dtype=np.int64)
-                for i, xs in enumerate(part["items"]):
-                    last = np.asarray(xs if xs is not None else [], dtype=np.int64)[-width:]
-                    ids[i, width - len(last):] = np.where((last > 0) & (last < known), last, 0)
-                scores = m.forward(ids)
-                scores[:, 0] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"user": np.repeat(part["user"].to_numpy(), best.shape[1]), "rank": np.tile(np.arange(1, best.shape[1] + 1), len(part)),
-                                    "item": best.ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start:start + rows]
+                x, known = np.zeros((len(part), width, dim)), np.zeros((len(part), width), dtype=bool)
+                for i, found in enumerate(part["places"]):
+                    for p in found:
+                        x[i, p["at"]], known[i, p["at"]] = p["vec"], True
+                yield pd.DataFrame({"user": part["user"], "state": list(own.encode(x, known)[:, -1])})
 
     kind = seqs.schema[user].dataType.simpleString()
-    found = seqs.select(F.col(user).alias("user"), F.col(items).cast("array<long>").alias("items")).mapInPandas(run, f"user {kind}, rank int, item long, score double")
-    return found.withColumnRenamed("user", user)
+    return gathered.select("user", "places").mapInPandas(run, f"user {kind}, state array<double>").withColumnRenamed("user", user)
+
+
+def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states: int = STATES, n_items: int = ITEMS) -> DataFrame:
+    """(user, rank, item, score): the ``k`` items of ``out`` (id, vec, bias) with the
+    largest vec . state + bias for each row of ``of`` (user, state); ties go to the
+    smaller item. All items are scored, a block of states against a block of items at a
+    time, and each block passes on ``k`` items a state. Items without id, vector or
+    bias are none; of a repeated user the least state counts.
+    """
+    of = of.groupBy(F.col(user).alias("user")).agg(F.min("state").alias("state"))
+    out = out.filter("id IS NOT NULL AND vec IS NOT NULL AND bias IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("bias").cast("double").alias("bias"))
+    over, down = (max(1, -(-df.count() // n)) for df, n in ((of, n_states), (out, n_items)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = of.select(block("user", over).alias("i"), each(down).alias("j"), "user", "state")
+    right = out.select(each(over).alias("i"), block("id", down).alias("j"), "id", "vec", "bias")
+
+    def score(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(s) and len(t):
+            t = t.sort_values("id")
+            ids = t["id"].to_numpy()
+            scores = np.array(s["state"].tolist()) @ np.array(t["vec"].tolist()).T + t["bias"].to_numpy()
+            for u, row in zip(s["user"], scores, strict=True):
+                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                best = near[np.argsort(-row[near], kind="stable")[:k]]
+                found += [(u, ids[x], row[x]) for x in best]
+        return pd.DataFrame(found, columns=["user", "item", "score"]).astype({"item": "int64", "score": "float64"})
+
+    kind = of.schema["user"].dataType.simpleString()
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(score, f"user {kind}, item long, score double")
+    order = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("user").alias(user), "rank", "item", "score")
+
+
+def next_items(seqs: DataFrame, user: str, items: str, table: DataFrame, out: DataFrame, model: SequenceModel, k: int = 10) -> DataFrame:
+    """(user, rank, item, score): the ``k`` items with the highest output after each
+    user's items; see :func:`states` and :func:`best_items`."""
+    return best_items(states(seqs, user, items, table, model), user, out, k)

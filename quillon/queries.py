@@ -803,9 +803,15 @@ def cross_layer_mixture(spark, sf_dir):
 
 @query()
 def sequence_model_forward(spark, sf_dir):
-    """The next items after each user's events, items being events modulo 997."""
-    seqs = user_items(spark, sf_dir).select("user_id", F.transform("items", lambda x: x % 997 + 1).alias("items"))
-    return rounded(models.next_items(seqs, "user_id", "items", models.SequenceModel.seeded(1000, 32), 5))
+    """The next parts of each customer after those of its last twenty lines; parts are
+    folded to the rows of ``embeddings``, which are item and output vectors."""
+    n = max(1, table(spark, sf_dir, "embeddings").count())
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = lines.select(F.col("o_custkey").alias("user_id"), "o_orderdate", "l_orderkey", "l_linenumber", F.pmod("l_partkey", F.lit(n)).alias("item"))
+    seqs = prep.sequences(bought, "user_id", ["o_orderdate", "l_orderkey", "l_linenumber", "item"], "item")
+    vectors = vectors_of(spark, sf_dir)
+    out = vectors.withColumn("bias", F.cos(F.col("id").cast("double")) / 10)
+    return rounded(models.next_items(seqs, "user_id", "items", vectors, out, models.SequenceModel.seeded(20, DIM), 5))
 
 
 @query()

@@ -14,39 +14,77 @@ from quillon.sources import readers
 SF = "/root/testdata/sf0.001"
 
 
-def slow_forward(m, ids):
-    """The model place by place, head by head."""
-    x = [m.items[i] + p for i, p in zip(ids, m.places, strict=True)]
-    norm = lambda v: (v - v.mean()) / math.sqrt(v.var() + 1e-5)
+def slow_norm(v, gain, bias):
+    return (v - v.mean()) / math.sqrt(v.var() + 1e-5) * gain + bias
+
+
+def slow_state(m, vectors):
+    """The model place by place, head by head; None is a place without item."""
+    x = np.array([m.padding if v is None else v for v in vectors]) + m.places
+    x = list(slow_norm(x, m.gain, m.bias))
     for b in m.blocks:
-        z = [norm(v) for v in x]
-        q, k, v = ([u @ b[w] for u in z] for w in ("wq", "wk", "wv"))
+        z = [slow_norm(v, *b.norms[0]) for v in x]
+        q, k, v = ([u @ b.projections[w][0] + b.projections[w][1] for u in z] for w in ("query", "key", "value"))
         size = len(q[0]) // m.heads
         out = []
-        for i in range(len(ids)):
+        for i in range(len(vectors)):
             heads = []
             for h in range(m.heads):
                 part = slice(h * size, (h + 1) * size)
-                s = [float(q[i][part] @ k[j][part]) / math.sqrt(size) if ids[j] > 0 else -1e9 for j in range(len(ids))]
+                s = [-1e9 if vectors[j] is None else float(q[i][part] @ k[j][part]) / math.sqrt(size) for j in range(len(vectors))]
                 e = [math.exp(t - max(s)) for t in s]
                 heads.append(sum((t / sum(e)) * v[j][part] for j, t in enumerate(e)))
-            out.append(x[i] + np.concatenate(heads) @ b["wo"])
-        x = [u + np.maximum(norm(u) @ b["w1"], 0) @ b["w2"] for u in out]
-    return x[-1] @ m.out
-
-
-def test_next_items_equal_a_slow_model(spark):
-    m = models.SequenceModel.seeded(30, 6, dim=8, layers=2, seed=4)
-    seqs = {1: [3, 4, 5], 2: list(range(1, 12)), 3: [29, 99, -1, 2], 4: [7]}
-    got = models.next_items(spark.createDataFrame([(u, x) for u, x in seqs.items()], "u long, items array<int>"), "u", "items", m, 3, rows=2).toPandas()
-    for u, x in seqs.items():
-        ids = [i if 0 < i < 30 else 0 for i in x[-6:]]
-        want = slow_forward(m, [0] * (6 - len(ids)) + ids)
-        best = sorted(range(1, 30), key=lambda i: (-want[i], i))[:3]
+            out.append(x[i] + np.concatenate(heads) @ b.projections["out"][0] + b.projections["out"][1])
+        x = [u + np.maximum(slow_norm(u, *b.norms[1]) @ b.inner[0] + b.inner[1], 0) @ b.outer[0] + b.outer[1] for u in out]
+    return x[-1]
+
+
+@pytest.fixture
+def items(spark):
+    rng = np.random.default_rng(9)
+    x = {i: rng.normal(0, 1, 8) for i in range(1, 40)}
+    return x, spark.createDataFrame([(i, v.tolist(), 0.01 * i) for i, v in x.items()] + [(None, [0.0] * 8, 0.0), (50, None, 0.0)], "id long, vec array<double>, bias double")
+
+
+def test_next_items_equal_a_slow_model(spark, items):
+    x, known = items
+    m = models.SequenceModel.seeded(6, 8, layers=2, seed=4)
+    seqs = {1: [3, 4, 5], 2: list(range(1, 12)), 3: [29, 99, None, 2], 4: [7], 5: [], 6: None, 7: [7, 50], 8: [3, 3, 3, 3, 3, 3, 3]}
+    given = spark.createDataFrame([(u, s, "x") for u, s in seqs.items()], "u long, items array<int>, vec string")
+    got = models.next_items(given, "u", "items", known, known, m, 3).toPandas()
+    assert len(got) == 3 * len(seqs)
+    for u, s in seqs.items():
+        last = [x.get(i) for i in (s or [])[-6:]]
+        state = slow_state(m, [None] * (6 - len(last)) + last)
+        want = {i: float(v @ state) + 0.01 * i for i, v in x.items()}
+        best = sorted(want, key=lambda i: (-want[i], i))[:3]
         own = got[got.u == u].sort_values("rank")
         assert own["item"].tolist() == best and own["score"].tolist() == pytest.approx([want[i] for i in best])
-    assert models.next_items(spark.createDataFrame([(1, None), (2, [])], "u long, items array<int>"), "u", "items", m, 2).count() == 4
-    assert models.next_items(spark.createDataFrame([], "u long, items array<int>"), "u", "items", m).count() == 0
+
+
+def test_windows_of_a_repeated_user(spark, items):
+    x, known = items
+    m = models.SequenceModel.seeded(4, 8, layers=1, seed=1)
+    given = spark.createDataFrame([(1, [1, 2]), (1, [1, 2]), (1, [3])], "u long, items array<long>")
+    got = models.states(given, "u", "items", known, m).collect()
+    want = sorted(slow_state(m, [None] * (4 - len(s)) + [x[i] for i in s]).tolist() for s in ([1, 2], [3]))
+    assert np.allclose(sorted(r["state"] for r in got), want)
+    assert models.best_items(models.states(given, "u", "items", known, m), "u", known, 2).count() == 2
+    assert models.next_items(given.limit(0), "u", "items", known, known, m).count() == 0
+    assert models.next_items(given, "u", "items", known.limit(0), known.limit(0), m).count() == 0
+
+
+def test_best_items_do_not_depend_on_blocks(spark):
+    """Ties go to the smaller item, in a block and across blocks."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (300, 3)).astype(float)
+    out = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(vectors)], "id long, vec array<double>, bias double").repartition(3)
+    of = rng.integers(-2, 3, (50, 3)).astype(float)
+    given = spark.createDataFrame([(f"u{i}", v.tolist()) for i, v in enumerate(of)], "u string, state array<double>")
+    for n_states, n_items in ((1024, 4096), (20, 100)):
+        got = models.best_items(given, "u", out, 5, n_states, n_items).collect()
+        want = {(f"u{i}", r + 1, j, float(vectors[j] @ s)) for i, s in enumerate(of) for r, j in enumerate(sorted(range(300), key=lambda j: (-float(vectors[j] @ s), j))[:5])}
+        assert {tuple(r) for r in got} == want
 
 
 def test_quantized_retrieval_finds_neighbours(spark):
