@@ -10,6 +10,9 @@ bucketed by id. With ``dedup`` each distinct id is looked up once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,51 @@ def concatenated_keys(pooled_: DataFrame, keys: list[str], dim: int) -> DataFram
     return pooled_.groupBy("row").agg(F.concat(*parts).alias("vec"))
 
 
+@dataclass(frozen=True)
+class Tower:
+    """Features that are looked up together, and what becomes of them: ``interaction``
+    takes their vectors (of a sequence tower, arrays of vectors) in the order of
+    ``keys`` and gives one array of numbers. ``kind`` is sum (weighted), mean or sequence."""
+
+    keys: list[str]
+    interaction: Callable[[list[Column]], Column]
+    kind: str = "sum"
+
+
+def towers(rows: DataFrame, long: DataFrame, table: DataFrame, of: list[Tower], dim: int) -> DataFrame:
+    """(row, vec): the outputs of all towers, one after the other, for each of ``rows`` (row).
+
+    Ids meet the table once for all towers, each bag is pooled once for all towers
+    that pool it alike, and a row's features come together in one group. Empty bags are
+    zeros, or no vectors in a sequence tower; rows without any are kept, rows of ``long``
+    that are not in ``rows`` are not. Ids without a vector, and a null id or row, count
+    for nothing; repeated ``rows`` are one.
+    """
+    if not of or any(t.kind not in ("sum", "mean", "sequence") for t in of):
+        raise ValueError("a tower pools by sum or mean, or is a sequence")
+    wanted = {(k, t.kind) for t in of for k in t.keys}
+    met = matched(long.filter(F.col("key").isin(sorted({k for k, _ in wanted}))), table)
+    of_kind = lambda kind: sorted(k for k, x in wanted if x == kind)
+    element = lambda i: F.get("vec", F.lit(i)).cast("double")
+    aggs, made = [F.count(F.lit(1)).alias("n")], {}
+    if of_kind("sum"):
+        aggs += [F.sum(element(i) * F.col("weight")).alias(f"w{i}") for i in range(dim)]
+        made["sum"] = F.array(*[f"w{i}" for i in range(dim)])
+    if of_kind("mean"):
+        aggs += [F.sum(element(i)).alias(f"v{i}") for i in range(dim)]
+        made["mean"] = F.array(*[F.col(f"v{i}") / F.col("n") for i in range(dim)])
+    if of_kind("sequence"):
+        vec = F.when(F.col("key").isin(of_kind("sequence")), F.struct("pos", F.col("vec").cast("array<double>").alias("vec")))
+        aggs.append(F.collect_list(vec).alias("places"))
+        made["sequence"] = F.transform(F.array_sort("places"), lambda x: x["vec"])
+    bags = met.groupBy("row", "key").agg(*aggs).select("row", "key", *[c.alias(kind) for kind, c in made.items()])
+    empty = {kind: F.array_repeat(F.lit(0.0), dim) for kind in ("sum", "mean")} | {"sequence": F.array().cast("array<array<double>>")}
+    name = {x: f"f{i}" for i, x in enumerate(sorted(wanted))}
+    features = bags.groupBy("row").agg(*[F.first(F.when(F.col("key") == k, F.col(kind)), ignorenulls=True).alias(name[k, kind]) for k, kind in sorted(wanted)])
+    every = rows.select("row").distinct().join(features, "row", "left").select("row", *[F.coalesce(name[x], empty[x[1]]).alias(name[x]) for x in sorted(wanted)])
+    return every.select("row", F.concat(*[t.interaction([F.col(name[k, t.kind]) for k in t.keys]) for t in of]).alias("vec"))
+
+
 def shared_names(config: DataFrame) -> DataFrame:
     """(table, feature, name): feature@table where a feature is in several tables."""
     n = F.count(F.lit(1)).over(Window.partitionBy("feature"))

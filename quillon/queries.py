@@ -764,6 +764,22 @@ def factorization_model_forward(spark, sf_dir):
     return rounded(e.select("vec_id", X.deep_factorization(F.col("a"), [F.col("b"), F.col("c")], _DEEP, _OVER).alias("p")))
 
 
+@query(LONG + """, p AS (SELECT "row", "key", dim, sum(x * weight) AS w, avg(x) AS v FROM j GROUP BY ALL),
+ a AS (SELECT a."row", sum(a.w * b.w) AS d FROM p a JOIN p b ON a."row" = b."row" AND a.dim = b.dim AND a."key" = 'part' AND b."key" = 'supp' GROUP BY 1),
+ b AS (SELECT "row", sum(v) AS s FROM p WHERE "key" = 'part' GROUP BY 1),
+ c AS (SELECT a."row", sum(a.x * b.x) AS t FROM j a JOIN j b ON a."row" = b."row" AND a."key" = b."key" AND a.dim = b.dim AND b.pos = a.pos + 1 AND a."key" = 'supp' GROUP BY 1)
+ SELECT o_orderkey AS "row", round(coalesce(d, 0), 4) AS d, round(greatest(0.5 * coalesce(s, 0) + 0.1, 0), 4) AS up, round(greatest(-0.5 * coalesce(s, 0) + 0.1, 0), 4) AS down, round(coalesce(t, 0), 4) AS t
+ FROM orders LEFT JOIN a ON o_orderkey = a."row" LEFT JOIN b ON o_orderkey = b."row" LEFT JOIN c ON o_orderkey = c."row" """)
+def tower_collection(spark, sf_dir):
+    """Three towers over an order's bags: weighted sums that interact, means through a
+    perceptron, and a sequence whose successive vectors are multiplied."""
+    successive = lambda x: F.array(F.aggregate(F.zip_with(x[0], F.slice(x[0], 2, 1 << 20), lambda a, b: F.coalesce(X.dot(a, b), F.lit(0.0))), F.lit(0.0), lambda s, d: s + d))
+    of = [lookup.Tower(["part", "supp"], X.pairwise_dots), lookup.Tower(["part"], lambda x: X.perceptron(x[0], [[0.5] * DIM, [-0.5] * DIM], [0.1, 0.1]), "mean"), lookup.Tower(["supp"], successive, "sequence")]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"))
+    got = lookup.towers(rows, id_bags(spark, sf_dir), vectors_of(spark, sf_dir), of, DIM)
+    return got.select("row", *[F.round(F.col("vec")[i], 4).alias(c) for i, c in enumerate(("d", "up", "down", "t"))])
+
+
 _LEFT, _RIGHT = [(X.seeded_weights(8, 12, 3), [0.1] * 8)], [(X.seeded_weights(4, 12, 4), [0.1] * 4)]
 
 
@@ -1086,6 +1102,15 @@ def plan_imbalance(spark, sf_dir):
 
 
 # --- sources and streams -------------------------------------------------------------
+def raw_clicks(spark, sf_dir):
+    """The lines as text click logs of two files, with blanks and junk."""
+    k, n = F.col("l_linenumber"), F.col("l_partkey")
+    ints = [F.when((k + i) % 5 == 0, "").when((k + i) % 7 == 0, F.concat(F.lit("x"), n)).otherwise((n * (i + 1)).cast("string")).alias(c) for i, c in enumerate(readers.INTS)]
+    cats = [F.when((k + i) % 3 != 0, F.lower(F.hex(F.col("l_suppkey") * (i + 1)))).alias(c) for i, c in enumerate(readers.CATS)]
+    label = F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "0").otherwise("n")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("file"), label.alias("label"), *ints, *cats)
+
+
 _INT_SQL = "CASE WHEN (l_linenumber + {0}) % 5 = 0 THEN '' WHEN (l_linenumber + {0}) % 7 = 0 THEN 'x' || l_partkey ELSE (l_partkey * {1})::VARCHAR END"
 _CAT_SQL = "CASE WHEN (l_linenumber + {0}) % 3 = 0 THEN NULL ELSE printf('%x', l_suppkey * {1}) END"
 
@@ -1093,16 +1118,21 @@ _CAT_SQL = "CASE WHEN (l_linenumber + {0}) % 3 = 0 THEN NULL ELSE printf('%x', l
 @query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {', '.join(f"{_INT_SQL.format(i, i + 1)} AS int_{i}" for i in range(13))}, {', '.join(f"{_CAT_SQL.format(i, i + 1)} AS cat_{i}" for i in range(26))}, CASE WHEN l_returnflag = 'R' THEN '1' WHEN l_returnflag = 'A' THEN '0' ELSE 'n' END AS label FROM lineitem)
  SELECT l_orderkey, l_linenumber, coalesce(try_cast(label AS INT), 0) AS label, ({' + '.join(f"coalesce(try_cast(int_{i} AS INT), 0)" for i in range(13))})::BIGINT AS ints, ({' + '.join(f"coalesce(('0x' || cat_{i})::BIGINT, 0)" for i in range(26))})::BIGINT AS cats FROM r""")
 def click_rows(spark, sf_dir):
-    k, n = F.col("l_linenumber"), F.col("l_partkey")
-    ints = [F.when((k + i) % 5 == 0, "").when((k + i) % 7 == 0, F.concat(F.lit("x"), n)).otherwise((n * (i + 1)).cast("string")).alias(c) for i, c in enumerate(readers.INTS)]
-    cats = [F.when((k + i) % 3 != 0, F.lower(F.hex(F.col("l_suppkey") * (i + 1)))).alias(c) for i, c in enumerate(readers.CATS)]
-    label = F.when(F.col("l_returnflag") == "R", "1").when(F.col("l_returnflag") == "A", "0").otherwise("n")
-    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), *ints, *cats)
+    raw = raw_clicks(spark, sf_dir)
     rows = readers.typed_clicks(raw, True, True, "l_orderkey", "l_linenumber")
     added = lambda cols: sum((F.col(c).cast("long") for c in cols[1:]), F.col(cols[0]).cast("long"))
     return rows.select("l_orderkey", "l_linenumber", "label", added(readers.INTS).alias("ints"), added(readers.CATS).alias("cats"))
 
 
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_linestatus AS file, {', '.join(f"coalesce(try_cast({_INT_SQL.format(i, i + 1)} AS INT), 0) AS int_{i}" for i in range(13))} FROM lineitem),
+ m AS (SELECT file, least({', '.join(f"min(int_{i})" for i in range(13))}) AS least FROM r GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, r.file, {', '.join(f"round(ln(int_{i} - least + 2)::FLOAT::DOUBLE, 4) AS int_{i}" for i in range(13))} FROM r JOIN m USING (file)""")
+def click_shifted_logs(spark, sf_dir):
+    clicks = readers.typed_clicks(raw_clicks(spark, sf_dir), True, True, "l_orderkey", "l_linenumber", "file")
+    got = readers.shifted_logs(clicks, "file")
+    return got.select("l_orderkey", "l_linenumber", "file", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in readers.INTS])
+
+
 @query("""WITH s AS (SELECT p_type AS v, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY f) + 1 AS id FROM s WHERE n >= 2)
  SELECT p_partkey, round(ln(greatest(p_size - 25, 0) + 1), 6) AS p_size, coalesce(o.id, 1)::BIGINT AS p_type FROM part LEFT JOIN o ON p_type = v""")
 def prepared_features(spark, sf_dir):

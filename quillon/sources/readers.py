@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.expressions import hex_id, safe_cast, uniform
+from quillon.functions.expressions import hex_id, modulo_hash, safe_cast, uniform
 from quillon.operators.prefix import running_total
 from quillon.operators.prep import contiguous_ids, encoded
+from quillon.sources.scratch import Scratch
 
 # The columns of a click log.
 INTS = [f"int_{i}" for i in range(13)]
@@ -45,6 +46,48 @@ def click_days(spark: SparkSession, days: list[list[str] | str], labelled: bool
     return concatenated([*[x.withColumn("stage", F.lit("train")) for x in logs[:-1]], staged])
 
 
+def shifted_logs(clicks: DataFrame, by: str, ints: list[str] = INTS) -> DataFrame:
+    """The numbers of each file as logarithms, shifted so that the least number of the
+    file, over all of ``ints``, becomes ln 2. ``by`` names the file; null is a file too.
+    The least ones are found before the shuffle, a row a file; missing numbers stay so."""
+    least = clicks.groupBy(F.col(by).alias("_by")).agg(*[F.min(c).alias(f"_{c}") for c in ints])
+    least = least.select("_by", F.least(*[F.col(f"_{c}") for c in ints], F.lit(None).cast("long")).alias("_least"))
+    met = clicks.join(least, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    return met.withColumns({c: F.log(F.col(c).cast("double") - F.col("_least") + 2).cast("float") for c in ints}).drop("_least")
+
+
+def converted_clicks(spark: SparkSession, paths: list[str] | str, into: str, labelled: bool = True, sizes: list[int] | None = None) -> DataFrame:
+    """Text click logs into one typed table, written to ``into`` and read back: label,
+    13 shifted logarithms, 26 category ids (modulo ``sizes``, if given), partitioned by ``file``.
+
+    The text is parsed once, into whole numbers; their least ones and the logarithms come from
+    that table. Files are replaced one by one: files that are not among ``paths`` stay as they are,
+    and doing it again changes nothing. Files of one name in different folders are an error.
+    """
+    if sizes is not None and len(sizes) != len(CATS):
+        raise ValueError("there is a size for each category")
+    name = F.regexp_extract(F.col("path"), r"[^/]+$", 0)
+    scratch = Scratch(spark)
+    try:
+        clicks = scratch.stored(click_log(spark, paths, labelled, hashed=True).withColumn("file", name))
+        twice = clicks.groupBy("file").agg(F.count_distinct("path").alias("n")).filter("n > 1").select("file").head()
+        if twice:
+            raise ValueError(f"several files are called {twice[0]}")
+        done = shifted_logs(clicks, "file").drop("path")
+        if sizes is not None:
+            done = done.withColumns({c: modulo_hash(F.col(c), n) for c, n in zip(CATS, sizes, strict=True)})
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(into)
+    finally:
+        scratch.clear()
+    return spark.read.schema(done.schema).parquet(into)
+
+
+def shape(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Rows and columns of a Parquet table; rows are counted from footers."""
+    df = spark.read.parquet(path)
+    return df.count(), len(df.columns)
+
+
 def prepared_clicks(clicks: DataFrame, row: str, threshold: int = 1, ints: list[str] = INTS, cats: list[str] = CATS) -> DataFrame:
     """Features for training: numbers below 0 or missing are 0 and all become
     ln(x + 1); of each category the values seen at least ``threshold`` times get the
