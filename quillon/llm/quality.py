@@ -34,15 +34,32 @@ WORDS = re.compile(WORD)
 AGAIN = zlib.crc32(b"\x00again")
 
 
+class Kinds(dict):
+    """For str.translate: letters become a or A, digits 0, other characters stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "0" if c.isdecimal() else c if not c.isalnum() else "A" if c.isupper() else "a"
+        if len(self) < 1 << 16:
+            self[code] = kind
+        return kind
+
+
+KINDS = Kinds()
+RUN = re.compile(r"(.)\1+")
+
+
 def shape(word: str) -> str:
-    out = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)
-    out = re.sub(r"\d", "0", out)
-    return re.sub(r"(.)\1+", r"\1\1", out)
+    return RUN.sub(r"\1\1", word.translate(KINDS))
+
+
+#: Hashes of the shapes of translated words, of which there are far fewer than words.
+SHAPES = Cache(lambda kinds: zlib.crc32(b"\x01" + RUN.sub(r"\1\1", kinds).encode("utf-8", "surrogatepass")))
 
 
 def hashes_of(word: str) -> int:
     """Hash of the lower-cased word, then that of its shape, in one number."""
-    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(b"\x01" + shape(word).encode("utf-8", "surrogatepass"))
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) << 32 | SHAPES[word.translate(KINDS)]
 
 
 def places(text: str | None, hashes: Cache) -> np.ndarray:
