@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.lookup import sent
+
 #: States and items of a block of :func:`best_items`: its scores take 32 MiB.
 STATES, ITEMS = 1024, 4096
 
@@ -100,7 +102,7 @@ def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: Sequ
     windows = seqs.select(F.col(user).alias("user"), last.alias("ids")).withColumn("window", F.xxhash64("ids"))
     long = windows.select("user", "window", (F.lit(width) - F.size("ids")).alias("free"), F.posexplode_outer("ids").alias("at", "item"))
     vectors = table.select(F.col("id").cast("long").alias("_id"), F.col("vec").cast("array<double>").alias("vec"))
-    met = long.join(vectors, F.col("item") == F.col("_id"), "left")
+    met = long.join(sent(vectors, "vec"), F.col("item") == F.col("_id"), "left")
     place = F.when(F.col("vec").isNotNull(), F.struct((F.col("free") + F.col("at")).alias("at"), "vec"))
     gathered = met.groupBy("user", "window").agg(F.collect_list(place).alias("places"))
 
