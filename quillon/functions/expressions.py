@@ -15,10 +15,16 @@ def safe_cast(c: Column, to: str, default) -> Column:
     return F.coalesce(c.try_cast(to), F.lit(default).cast(to))
 
 
+def whole_number(text: Column, to: str, default) -> Column:
+    """:func:`safe_cast` of a text to whole numbers. A cast that fails costs an exception,
+    so texts that are no whole numbers are told by their look."""
+    return safe_cast(F.when(text.rlike(r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"), text), to, default)
+
+
 def hex_id(c: Column) -> Column:
     """A hexadecimal string as bigint; blanks and junk are 0."""
-    digits = F.regexp_extract(F.lower(c), r"^[0-9a-f]{1,15}$", 0)
-    return F.coalesce(F.conv(F.when(digits != "", digits), 16, 10).cast("long"), F.lit(0).cast("long"))
+    digits = F.when(c.rlike(r"^[0-9a-fA-F]{1,15}$"), c)
+    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def split_key(key: Column, share: float, decimals: int = 2) -> Column:

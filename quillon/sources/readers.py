@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.expressions import hex_id, modulo_hash, safe_cast, uniform
+from quillon.functions.expressions import hex_id, modulo_hash, uniform, whole_number
 from quillon.operators.prefix import running_total
 from quillon.operators.prep import contiguous_ids, encoded
 from quillon.sources.scratch import Scratch
@@ -29,9 +29,9 @@ def click_log(spark: SparkSession, paths: list[str] | str, labelled: bool = True
 def typed_clicks(raw: DataFrame, labelled: bool = True, hashed: bool = False, *keep: str) -> DataFrame:
     """The columns of a click log from text: label, 13 numbers, 26 categories, and
     columns to ``keep``."""
-    label = safe_cast(F.col("label"), "int", 0) if labelled else F.lit(-1)
+    label = whole_number(F.col("label"), "int", 0) if labelled else F.lit(-1)
     cats = [(hex_id(F.col(c)) if hashed else F.coalesce(c, F.lit(""))).alias(c) for c in CATS]
-    return raw.select(label.alias("label"), *[safe_cast(F.col(c), "int", 0).alias(c) for c in INTS], *cats, *[F.col(c).alias("path") if c.startswith("_metadata") else F.col(c) for c in keep])
+    return raw.select(label.alias("label"), *[whole_number(F.col(c), "int", 0).alias(c) for c in INTS], *cats, *[F.col(c).alias("path") if c.startswith("_metadata") else F.col(c) for c in keep])
 
 
 def click_days(spark: SparkSession, days: list[list[str] | str], labelled: bool = True, hashed: bool = False) -> DataFrame:
@@ -49,10 +49,11 @@ def click_days(spark: SparkSession, days: list[list[str] | str], labelled: bool
 def shifted_logs(clicks: DataFrame, by: str, ints: list[str] = INTS) -> DataFrame:
     """The numbers of each file as logarithms, shifted so that the least number of the
     file, over all of ``ints``, becomes ln 2. ``by`` names the file; null is a file too.
-    The least ones are found before the shuffle, a row a file; missing numbers stay so."""
+    The least ones, a row a file, are sent to the clicks, which are not shuffled; missing
+    numbers stay so."""
     least = clicks.groupBy(F.col(by).alias("_by")).agg(*[F.min(c).alias(f"_{c}") for c in ints])
     least = least.select("_by", F.least(*[F.col(f"_{c}") for c in ints], F.lit(None).cast("long")).alias("_least"))
-    met = clicks.join(least, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    met = clicks.join(F.broadcast(least), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     return met.withColumns({c: F.log(F.col(c).cast("double") - F.col("_least") + 2).cast("float") for c in ints}).drop("_least")
 
 
