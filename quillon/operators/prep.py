@@ -160,19 +160,27 @@ def negatives(seqs: DataFrame, user: str, items: str, universe: DataFrame, n: in
     total = universe.agg(F.sum(weight)).first()[0] or 0
     width = max(1, total // 4096)
     places = u.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
-    draws = seqs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1)))).withColumn("_at", F.floor(uniform(F.col(user), F.col("draw"), seed=seed) * total))
-    met = draws.withColumn("_b", F.floor(F.col("_at") / width)).join(places, "_b").filter("_at >= _lo AND _at < _hi")
-    unseen = ~F.coalesce(F.array_contains(items, F.col("item")), F.lit(False))
-    met = met.filter(unseen).groupBy(user, "item").agg(F.min("draw").alias("draw"))
+    draws = seqs.select(user).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n * tries - 1)))).withColumn("_at", F.floor(uniform(F.col(user), F.col("draw"), seed=seed) * total))
+    drawn = draws.withColumn("_b", F.floor(F.col("_at") / width)).join(places, "_b").filter("_at >= _lo AND _at < _hi")
+
+    def unseen(found: DataFrame) -> DataFrame:
+        """(user, item, draw) of ``found`` whose item is new to the user. What was found
+        meets the user's items as one array, so that these are moved once, not for each draw."""
+        own = found.groupBy(F.col(user).alias("_u")).agg(F.collect_list(F.struct("item", "draw")).alias("_found"))
+        new = F.filter("_found", lambda x: ~F.coalesce(F.array_contains(items, x["item"]), F.lit(False)))
+        return seqs.join(own, F.col(user).eqNullSafe(F.col("_u"))).select(user, F.inline(new)).groupBy(user, "item").agg(F.min("draw").alias("draw"))
+
+    met = unseen(drawn)
     had = met.groupBy(F.col(user).alias("_u")).agg(F.count(F.lit(1)).alias("_n"))
-    short = seqs.join(had, F.col(user).eqNullSafe(F.col("_u")), "left").filter(F.coalesce("_n", F.lit(0)) < n).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), F.col(user)), F.lit(FILLS)))
+    enough = n + F.coalesce(F.size(F.array_distinct(items)), F.lit(0))
+    short = seqs.select(user, enough.alias("_enough")).join(had, F.col(user).eqNullSafe(F.col("_u")), "left").filter(F.coalesce("_n", F.lit(0)) < n).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), F.col(user)), F.lit(FILLS)))
     fills = universe.filter("item IS NOT NULL").withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FILLS - 1).cast("long"))))
+    fills = fills.join(F.broadcast(short.select("_f").distinct()), "_f", "left_semi")  # orders that nobody goes along are not made
     wait = F.when(weight > 0, -F.log1p(-uniform(F.col("item"), F.col("_f"), seed=seed)) / weight)
     fills = fills.select("item", "_f", wait.alias("_w"))
     fills = running_total(fills, [F.asc_nulls_last("_w"), "item"], F.coalesce(magnitude(F.col("_w")), F.lit(1 << 40)), F.lit(1).cast("long"), "_k", ["_f"]).select("item", "_f", (F.col("_k") + 1).alias("_k"))
-    enough = n + F.coalesce(F.size(F.array_distinct(items)), F.lit(0))
-    short = short.withColumn("_k", F.explode(F.sequence(F.lit(1), enough)))
-    filled = short.join(fills, ["_f", "_k"]).filter(unseen).select(user, "item", (F.col("_k") + n * tries).alias("draw"))
+    short = short.select(user, "_f", F.explode(F.sequence(F.lit(1), F.col("_enough"))).alias("_k"))
+    filled = unseen(short.join(fills, ["_f", "_k"]).select(user, "item", (F.col("_k") + n * tries).alias("draw")))
     met = met.unionByName(filled).groupBy(user, "item").agg(F.min("draw").alias("draw"))
     return met.withColumn("_r", F.row_number().over(Window.partitionBy(user).orderBy("draw"))).filter(F.col("_r") <= n).select(user, "item")
 

@@ -35,3 +35,24 @@ def test_every_user_gets_its_negatives(spark, popularity):
     for u, x in seen.items():
         got = [i for v, i in runs[0] if v == u]
         assert len(got) == len(set(got)) == min(5, 100 - len(x)) and not set(got) & set(x)
+
+
+def test_items_of_a_user_do_not_travel_with_its_draws(spark):
+    """Beside a user's draws its long list of items is moved once for each join with what was found."""
+    ids = spark.range(400).withColumnRenamed("id", "item").withColumn("popularity", F.lit(1).cast("long"))
+    seqs = spark.range(8).select(F.col("id").alias("u"), F.sequence(F.lit(10000).cast("long"), F.lit(30000).cast("long")).alias("items")).repartition(2)
+    sc = spark.sparkContext
+
+    def stages() -> dict[int, int]:
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(listed.apply, range(listed.size()))}
+
+    seqs = seqs.select("u", F.transform("items", lambda x: F.xxhash64(x, "u")).alias("items"))  # does not compress
+    before = max(stages(), default=-1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the places of the items were many
+    try:
+        assert prep.negatives(seqs, "u", F.col("items"), ids, 5, "popularity", seed=2).count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(n for i, n in stages().items() if i > before) < 10 * 8 * 20000 * 8
