@@ -20,6 +20,8 @@ from quillon.operators.lookup import sent
 
 #: States and items of a block of :func:`best_items`: its scores take 32 MiB.
 STATES, ITEMS = 1024, 4096
+#: Elements of the vectors that a task gathers for its windows: 32 MiB of doubles.
+GATHERED = 1 << 22
 
 
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
@@ -87,19 +89,23 @@ class SequenceModel:
         return x
 
 
-def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: SequenceModel, rows: int = 256) -> DataFrame:
+def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: SequenceModel, rows: int = 256, users: int | None = None) -> DataFrame:
     """(user, state): the encoder's output at the last place of each user's window.
 
     The window holds the last items, at its end; places before them, null items and
     items without a vector in ``table`` (id, vec) are padding, which no place looks at.
     A user without items has a window of padding. A user's different windows are rows
-    of their own, equal ones are one; ``rows`` windows are computed at a time.
+    of their own, equal ones are one; ``rows`` windows are computed at a time. Users are
+    counted and dealt out, so that the vectors which a task gathers fit its memory
+    whatever the number of users.
     """
     width, dim = model.places.shape
     given = seqs.sparkSession.sparkContext.broadcast(model)
     last = F.coalesce(F.col(items).cast("array<long>"), F.array().cast("array<long>"))
     last = F.slice(last, F.greatest(F.size(last) - width, F.lit(0)) + 1, width)
-    windows = seqs.select(F.col(user).alias("user"), last.alias("ids")).withColumn("window", F.xxhash64("ids"))
+    users = seqs.select(user).count() if users is None else users
+    parts = max(seqs.sparkSession.sparkContext.defaultParallelism, -(-users * width * dim // GATHERED))
+    windows = seqs.select(F.col(user).alias("user"), last.alias("ids")).repartition(parts, "user").withColumn("window", F.xxhash64("ids"))
     long = windows.select("user", "window", (F.lit(width) - F.size("ids")).alias("free"), F.posexplode_outer("ids").alias("at", "item"))
     vectors = table.select(F.col("id").cast("long").alias("_id"), F.col("vec").cast("array<double>").alias("vec"))
     met = long.join(sent(vectors, "vec"), F.col("item") == F.col("_id"), "left")
@@ -121,16 +127,17 @@ def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: Sequ
     return gathered.select("user", "places").mapInPandas(run, f"user {kind}, state array<double>").withColumnRenamed("user", user)
 
 
-def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states: int = STATES, n_items: int = ITEMS) -> DataFrame:
+def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states: int = STATES, n_items: int = ITEMS, users: int | None = None) -> DataFrame:
     """(user, rank, item, score): the ``k`` items of ``out`` (id, vec, bias) with the
     largest vec . state + bias for each row of ``of`` (user, state); ties go to the
     smaller item. All items are scored, a block of states against a block of items at a
     time, and each block passes on ``k`` items a state. Items without id, vector or
     bias are none; of a repeated user the least state counts.
+    ``users``: how many there are at most; without it ``of`` is made once more to count them.
     """
     of = of.groupBy(F.col(user).alias("user")).agg(F.min("state").alias("state"))
     out = out.filter("id IS NOT NULL AND vec IS NOT NULL AND bias IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("bias").cast("double").alias("bias"))
-    over, down = (max(1, -(-df.count() // n)) for df, n in ((of, n_states), (out, n_items)))
+    over, down = max(1, -(-(of.count() if users is None else users) // n_states)), max(1, -(-out.count() // n_items))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = of.select(block("user", over).alias("i"), each(down).alias("j"), "user", "state")
@@ -157,4 +164,5 @@ def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states:
 def next_items(seqs: DataFrame, user: str, items: str, table: DataFrame, out: DataFrame, model: SequenceModel, k: int = 10) -> DataFrame:
     """(user, rank, item, score): the ``k`` items with the highest output after each
     user's items; see :func:`states` and :func:`best_items`."""
-    return best_items(states(seqs, user, items, table, model), user, out, k)
+    users = seqs.select(user).count()
+    return best_items(states(seqs, user, items, table, model, users=users), user, out, k, users=users)
