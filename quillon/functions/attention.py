@@ -2,19 +2,21 @@
 
 A row's features are an array of vectors of one length. Weights are literals, outputs
 by inputs, as for :func:`quillon.functions.expressions.linear`. Every intermediate is
-bound once in a lambda, so an expression is as long as the layer, not as its uses.
+bound once in a lambda, so an expression is as long as the layer, not as its uses, and
+what a layer takes is its products, not these times the outputs of the matrix after them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.expressions import dot, linear, relu
+from quillon.functions.expressions import relu, total
 
 Matrix = list[list[float]]
 
@@ -37,25 +39,32 @@ def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def _plain(x: Column, w: Matrix) -> Column:
-    return linear(x, w, [0.0] * len(w))
+    """W x. Places are summed in order; a vector of another length gives nulls."""
+    made = lambda v: F.array(*[_summed(F.get(v, F.lit(j)) * float(t) for j, t in enumerate(row)) for row in w])
+    return _bound(_bound(x, lambda v: F.when(F.size(v) <= len(w[0]), v)), made)
 
 
 def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def _summed(terms: Iterable[Column]) -> Column:
+    return reduce(lambda s, t: s + t, terms, F.lit(0.0))
+
+
 def softmax(scores: Column) -> Column:
     def shares(s: Column) -> Column:
-        return _bound(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda t, v: t + v)))
+        powers = _bound(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
+        return _bound(powers, lambda e: _bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
     return _bound(scores, shares)
 
 
 def normed(x: Column, eps: float = 1e-5) -> Column:
     """A vector less its mean, over its standard deviation."""
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, t: s + t) / F.size(v)
-    centred = _bound(mean(x), lambda m: F.transform(x, lambda t: t - m))
-    return _bound(centred, lambda c: F.transform(c, lambda t: t / F.sqrt(mean(F.transform(c, lambda u: u * u)) + eps)))
+    mean = lambda v: _bound(v, lambda u: total(u) / F.size(u))
+    centred = _bound(x, lambda v: _bound(mean(v), lambda m: F.transform(v, lambda t: t - m)))
+    return _bound(centred, lambda c: _bound(F.sqrt(mean(F.transform(c, lambda u: u * u)) + eps), lambda d: F.transform(c, lambda t: t / d)))
 
 
 def attended(vectors: Column, layer: Layer, heads: int) -> Column:
@@ -64,15 +73,16 @@ def attended(vectors: Column, layer: Layer, heads: int) -> Column:
     if dim % heads:
         raise ValueError("heads must divide the length of the vectors")
     size = dim // heads
-    views = F.transform(vectors, lambda v: F.struct(_plain(v, layer.query).alias("q"), _plain(v, layer.key).alias("k"), _plain(v, layer.value).alias("v")))
-    part = lambda x, h: F.slice(x, h * size + 1, size)
+    view = lambda v: F.struct(_plain(v, layer.query).alias("q"), _plain(v, layer.key).alias("k"), _plain(v, layer.value).alias("v"))
+    at = lambda x, j: F.get(x, F.lit(j))
 
     def head(all_: Column, own: Column, h: int) -> Column:
-        weights = softmax(F.transform(all_, lambda o: dot(part(own["q"], h), part(o["k"], h)) / math.sqrt(size)))
-        zero = F.array_repeat(F.lit(0.0), size)
-        return F.aggregate(F.zip_with(weights, all_, lambda w, o: F.transform(part(o["v"], h), lambda x: x * w)), zero, _plus)
+        places = range(h * size, (h + 1) * size)
+        scores = F.transform(all_, lambda o: _summed(at(own["q"], j) * at(o["k"], j) for j in places) / math.sqrt(size))
+        part = lambda w, j: total(F.zip_with(w, all_, lambda x, o: x * at(o["v"], j)))
+        return _bound(softmax(scores), lambda w: F.array(*[part(w, j) for j in places]))
 
-    return _bound(views, lambda a: F.transform(a, lambda own: _plain(F.concat(*[head(a, own, h) for h in range(heads)]), layer.out)))
+    return _bound(F.transform(vectors, view), lambda a: F.transform(a, lambda own: _plain(F.concat(*[head(a, own, h) for h in range(heads)]), layer.out)))
 
 
 def encoded(df: DataFrame, column: str, layers: list[Layer], heads: int) -> DataFrame:

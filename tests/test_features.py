@@ -45,6 +45,18 @@ def test_attention_equals_numpy(spark, heads, layers):
         attention.attended(F.col("x"), made[0], 3)
 
 
+@pytest.mark.parametrize("step", [attention.normed, attention.softmax, lambda c: attention._plain(c, [[1.0, 2.0], [3.0, 4.0]]), lambda c: attention.attended(F.array(c), attention.seeded_layer(2, 3, 0), 1)])
+def test_what_goes_into_a_step_is_evaluated_once(spark, step):
+    got = spark.createDataFrame([([1.0, 2.0],)], "x array<double>").select(step(F.reverse("x")).alias("y"))
+    assert got._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+
+
+def test_vectors_of_another_length_or_null_give_nulls(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([1.0, 2.0, 3.0],), (None,), ([1.0, None],)], "x array<double>")
+    got = [r[0] for r in rows.select(attention._plain(F.col("x"), [[1.0, 2.0], [3.0, 4.0]])).collect()]
+    assert got == [[5.0, 11.0]] + [[None, None]] * 4
+
+
 def test_attention_query_covers_whole_vectors(spark):
     got = {r["vec_id"]: [float(x) for x in r["features"].split(",")] for r in queries.attention_interaction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/embeddings.parquet").limit(20).collect():
