@@ -57,7 +57,8 @@ SMALL, BLOCK = 16, 1024
 BINS = 256
 #: Rows and shingles that a task holds before it passes them on.
 PART, PART_SHINGLES = 512, 1 << 19
-STARS, MASKS = 2, 8
+#: Rounds of stars, masks by which leaders are chosen, and leaders that a node is held against in a round.
+STARS, MASKS, LEADERS = 2, 8, 4
 #: Bits of the bitmap of nodes whose texts are read again: 8 MiB.
 SIEVE = 1 << 26
 SEED = 20240607
@@ -229,14 +230,17 @@ def _stars(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     """(a, b): nodes and their buckets' leaders, where these are in different
     components. A bucket's leader is its least id under a mask; there are MASKS
     masks, so that a large group has a few leaders, not one in every bucket nor
-    one for each."""
+    one for each. Of a node's leaders the LEADERS that share most of its buckets
+    count, which are the likeliest; visits look at all that this leaves apart."""
     m = members.join(comps, "node")
     mask = F.xxhash64(F.lit(turn), F.pmod(F.shiftrightunsigned("band", 8 * ROWS), F.lit(MASKS)))
     first = F.min(F.struct(F.col("node").bitwiseXOR(mask).alias("k"), F.col("comp").alias("c")))
     lead = m.groupBy("band").agg(first.alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
     lead = lead.select(F.col("band").alias("_band"), F.col("lead.k").alias("k"), F.col("lead.c").alias("comp_b"))
     met = m.join(lead, F.col("band") == F.col("_band")).filter("comp <> comp_b")
-    return met.select(F.col("node").alias("a"), F.col("k").bitwiseXOR(mask).alias("b")).distinct()
+    shared = met.groupBy(F.col("node").alias("a"), F.col("k").bitwiseXOR(mask).alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    most = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return shared.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= LEADERS).select("a", "b")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:

@@ -334,6 +334,19 @@ def test_dedup_keeps_columns_and_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_a_node_is_held_against_the_leaders_of_most_of_its_buckets(spark):
+    # node 1000 shares b % 7 + 1 buckets with each node b of twelve
+    rows = [(b * 100 + k, n) for b in range(12) for k in range(b % 7 + 1) for n in (b, 1000)]
+    members = spark.createDataFrame(rows, "band long, node long")
+    comps = members.select("node", F.col("node").alias("comp")).distinct()
+    shared = {b: b % 7 + 1 for b in range(12)}
+    for turn in range(2):
+        pairs = [tuple(r) for r in neardup._stars(members, comps, turn).collect()]
+        of = {a: [b for x, b in pairs if x == a] for a, _ in pairs}
+        assert pairs and max(map(len, of.values())) <= neardup.LEADERS
+        assert all(shared[b] >= 2 for b in of.get(1000, []))
+
+
 def test_likelihood_estimates():
     rng, sketch = np.random.default_rng(4), neardup.sketcher()
     for j in (0.5, 0.8, 0.95):
