@@ -35,6 +35,10 @@ from quillon.llm.common import bounded
 WINDOW = 2048
 CLASSES = 64
 POOL = 4096
+#: Ids that are handed to the engine at a time: a megabyte.
+HANDED = 1 << 18
+#: Pieces that a task holds before it hands them on.
+HELD = 256
 END_ID = 1
 SECTION = 1 << 16
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -152,7 +156,7 @@ class Packer:
     def __init__(self, base: int, window: int = WINDOW, classes: int = CLASSES, pool: int = POOL):
         self.base, self.window, self.classes, self.pool = base, window, classes, pool
         self.unit = -(-window // classes)
-        self.next, self.tails, self.out = 0, [], []
+        self.next, self.tails, self.out = 0, [], deque()
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n = len(ids)
@@ -167,7 +171,7 @@ class Packer:
     def _sequence(self, pieces: list) -> None:
         offset = 0
         for doc_id, start, ids, n in pieces:
-            self.out.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), n, self.base + self.next, offset))
+            self.out.append((doc_id, start, ids, n, self.base + self.next, offset))
             offset += len(ids)
         self.next += 1
 
@@ -217,11 +221,18 @@ class Packer:
             pieces.append((doc_id, start, ids, n))
             room -= len(ids)
 
-    def drain(self, last: bool = False) -> list[tuple]:
+    def drain(self, last: bool = False) -> Iterator[list[tuple]]:
+        """The pieces so far, in lists of about HANDED ids. A piece's bytes are made
+        with its list, so that a full pool that is packed at once is not held twice."""
         if last:
             self._pack(last=True)
-        out, self.out = self.out, []
-        return out
+        while self.out:
+            out, held = [], 0
+            while self.out and held < HANDED:
+                doc_id, start, ids, n, sequence, offset = self.out.popleft()
+                out.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), n, sequence, offset))
+                held += len(ids)
+            yield out
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, classes: int = CLASSES, pool: int = POOL, end_id: int = END_ID) -> DataFrame:
@@ -244,8 +255,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, classes: int = C
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
                 packer.add(doc_id, np.concatenate([encode(text), end]) if text else end)
-                if len(packer.out) >= POOL:
-                    yield frame(packer.drain())
-        yield frame(packer.drain(last=True))
+                if len(packer.out) >= HELD:
+                    yield from map(frame, packer.drain())
+        yield from map(frame, packer.drain(last=True))
 
     return bounded(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
