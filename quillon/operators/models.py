@@ -3,7 +3,7 @@ items by products in blocks. Inference only; parameters are inputs.
 
 Only what is bounded by the model (places, blocks of attention, gains) travels with
 the tasks. Item and output vectors are tables of any size: the former meet the
-histories by an equi-join on the item, the latter meet the states in blocks.
+histories by an equi-join on the item, the latter are shuffled to each part of the states.
 """
 
 from __future__ import annotations
@@ -13,13 +13,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.lookup import sent
+from quillon.operators import copies
+from quillon.operators.lookup import Extent, sent
 
 #: States and items of a block of :func:`best_items`: its scores take 32 MiB.
 STATES, ITEMS = 1024, 4096
+#: Elements of the items that a task of :func:`best_items` holds: 256 MiB of floats.
+HELD = 1 << 26
 #: Elements of the vectors that a task gathers for its windows: 32 MiB of doubles.
 GATHERED = 1 << 22
 
@@ -130,35 +134,60 @@ def states(seqs: DataFrame, user: str, items: str, table: DataFrame, model: Sequ
 def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states: int = STATES, n_items: int = ITEMS, users: int | None = None) -> DataFrame:
     """(user, rank, item, score): the ``k`` items of ``out`` (id, vec, bias) with the
     largest vec . state + bias for each row of ``of`` (user, state); ties go to the
-    smaller item. All items are scored, a block of states against a block of items at a
-    time, and each block passes on ``k`` items a state. Items without id, vector or
-    bias are none; of a repeated user the least state counts.
-    ``users``: how many there are at most; without it ``of`` is made once more to count them.
+    smaller item. All items are scored: states are dealt into parts, to each of which the
+    items are shuffled once, and meet them there, a block of states against a block of
+    items at a time, keeping ``k`` a state. Items without id, vector or bias are none; of a
+    repeated user the least state counts. ``users``: how many there are at most; without it
+    ``of`` is made once more to count them.
     """
-    of = of.groupBy(F.col(user).alias("user")).agg(F.min("state").alias("state"))
-    out = out.filter("id IS NOT NULL AND vec IS NOT NULL AND bias IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("bias").cast("double").alias("bias"))
-    over, down = max(1, -(-(of.count() if users is None else users) // n_states)), max(1, -(-out.count() // n_items))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = of.select(block("user", over).alias("i"), each(down).alias("j"), "user", "state")
-    right = out.select(each(over).alias("i"), block("id", down).alias("j"), "id", "vec", "bias")
-
-    def score(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(s) and len(t):
-            t = t.sort_values("id")
-            ids = t["id"].to_numpy()
-            scores = np.array(s["state"].tolist()) @ np.array(t["vec"].tolist()).T + t["bias"].to_numpy()
-            for u, row in zip(s["user"], scores, strict=True):
-                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                best = near[np.argsort(-row[near], kind="stable")[:k]]
-                found += [(u, ids[x], row[x]) for x in best]
-        return pd.DataFrame(found, columns=["user", "item", "score"]).astype({"item": "int64", "score": "float64"})
+    of = of.select(F.col(user).alias("user"), "state")
+    out = out.filter("id IS NOT NULL AND vec IS NOT NULL AND bias IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec", F.col("bias").cast("double").alias("bias"))
+    parts = min(copies.spread(of.sparkSession), max(1, -(-(of.count() if users is None else users) // n_states)))
+    blocks = max(1, -(-Extent.of(out, "vec").elements // HELD))
+    both = copies.beside(of, out, parts, ["user"], ["state"], blocks).select("_at", "_table", "user", "state")
+
+    def best(states: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, score), rows in order and the best items of each first."""
+        row, item, score, least = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), None
+        for at in range(0, len(ids), n_items):
+            scores = states @ vectors[at:at + n_items].astype(np.float64).T
+            scores += bias[at:at + n_items]
+            if least is None:
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(states), -np.inf)
+            r, c = np.nonzero(scores >= least[:, None])
+            row, item, score = np.concatenate([row, r]), np.concatenate([item, ids[at + c]]), np.concatenate([score, scores[r, c]])
+            order = np.lexsort((item, -score, row))
+            row, item, score = row[order], item[order], score[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, item, score = row[kept], item[kept], score[kept]
+            n = np.bincount(row, minlength=len(states))
+            full = n >= k
+            least = np.full(len(states), -np.inf)
+            least[full] = score[np.cumsum(n)[full] - 1]
+        return row, item, score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = copies.read(batches)
+        if not held:
+            return
+        ids, vectors, bias = np.concatenate([x.flatten()[0].to_numpy() for x in held]), copies.matrix(held), np.concatenate([x.flatten()[2].to_numpy() for x in held])
+        held.clear()
+        before = None
+        for batch in rows:
+            first = np.flatnonzero(copies.changed([batch.column("user")], before))
+            before = [batch.column("user").slice(len(batch) - 1)]
+            for start in range(0, len(first), n_states):
+                own = batch.take(pa.array(first[start:start + n_states]))
+                row, item, score = best(own.column("state").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), ids, vectors, bias)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([own.column("user").take(pa.array(row)), pa.array(rank.astype(np.int32)), pa.array(item), pa.array(score)], names=["user", "rank", "item", "score"])
 
     kind = of.schema["user"].dataType.simpleString()
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(score, f"user {kind}, item long, score double")
-    order = Window.partitionBy("user").orderBy(F.desc("score"), "item")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("user").alias(user), "rank", "item", "score")
+    found = both.mapInArrow(run, f"user {kind}, rank int, item long, score double")
+    if blocks > 1:
+        order = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.select(F.col("user").alias(user), "rank", "item", "score")
 
 
 def next_items(seqs: DataFrame, user: str, items: str, table: DataFrame, out: DataFrame, model: SequenceModel, k: int = 10) -> DataFrame:
