@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Parts of the rows at most, whatever the number of cores: so often a table is written.
 COPIES = 48
@@ -38,6 +39,15 @@ def beside(rows: DataFrame, table: DataFrame, parts: int, by: Sequence[str], ord
     return both.repartitionById(parts * blocks, "_part").sortWithinPartitions(F.asc_nulls_first("_at"), *by, *order)
 
 
+def handed(both: DataFrame) -> DataFrame:
+    """Rows of :func:`beside` as a Python worker is handed them: empty arrays for null ones,
+    of which Arrow's writer passes over all before in a batch for each."""
+    none = lambda t: (F.array() if isinstance(t, ArrayType) else F.lit(None)).cast(t)
+    kind = both.schema["_table"].dataType
+    lists = {f.name: F.coalesce(f.name, none(f.dataType)) for f in both.schema if isinstance(f.dataType, ArrayType)}
+    return both.withColumns(lists | {"_table": F.coalesce("_table", F.struct(*[none(f.dataType).alias(f.name) for f in kind]))})
+
+
 def read(batches: Iterator[pa.RecordBatch]) -> tuple[pa.StructArray | None, Iterator[pa.RecordBatch]]:
     """The table of a part, and the batches of rows after it."""
     held, rest = [], None
@@ -126,7 +136,7 @@ def features(long: DataFrame, table: DataFrame, of: dict[str, tuple[str | None,
     both = beside(given, table.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec"), parts, by, order)
     if opened is not None:
         both = both.withColumn("_table", F.when(F.col("_table").isNotNull(), F.struct("_table.id", opened(F.col("_table.vec")).alias("vec"))))
-    both = both.select("_at", "_table", "id", *by, *extra)
+    both = handed(both.select("_at", "_table", "id", *by, *extra))
     element = "double" if opened is not None else table.schema["vec"].dataType.elementType.simpleString()
     kinds = ", ".join(f"`{c}` {f'array<array<{element}>>' if kind == 'sequence' else 'array<double>'}" for c, (_, kind) in of.items())
     schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in by), kinds])

@@ -144,7 +144,7 @@ def best_items(of: DataFrame, user: str, out: DataFrame, k: int = 10, n_states:
     out = out.filter("id IS NOT NULL AND vec IS NOT NULL AND bias IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec", F.col("bias").cast("double").alias("bias"))
     parts = min(copies.spread(of.sparkSession), max(1, -(-(of.count() if users is None else users) // n_states)))
     blocks = max(1, -(-Extent.of(out, "vec").elements // HELD))
-    both = copies.beside(of, out, parts, ["user"], ["state"], blocks).select("_at", "_table", "user", "state")
+    both = copies.handed(copies.beside(of, out, parts, ["user"], ["state"], blocks).select("_at", "_table", "user", "state"))
 
     def best(states: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, score), rows in order and the best items of each first."""
