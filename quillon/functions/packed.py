@@ -2,11 +2,14 @@
 
 A packed row is the codes, the first in the lowest bits of the first byte, then the
 scale and the bias as IEEE half-precision numbers, low byte first. Everything is
-column expressions, with 32-bit rounding where the layout's definition has it.
+column expressions, with 32-bit rounding where the layout's definition has it; a task
+that holds packed rows as an Arrow array reads them with NumPy.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +112,11 @@ def unpacked(row: Column, dim: int, bits: int) -> Column:
     """The numbers of a packed row."""
     read = F.transform(F.array(words(row, dim, bits)), lambda w: F.struct(codes(w, dim, bits).alias("c"), row_scale(w).alias("s"), row_bias(w).alias("b")))
     return F.when(row.isNotNull(), F.transform(read, lambda p: F.transform(p["c"], lambda c: c * p["s"] + p["b"]))[0])
+
+
+def decoded(rows: pa.Array, dim: int, bits: int) -> np.ndarray:
+    """:func:`unpacked` over an Arrow array of packed rows, none of which is null."""
+    body, at = (dim * bits + 7) // 8, np.arange(dim) * bits
+    raw = np.frombuffer(b"".join(rows.to_pylist()), dtype=np.uint8).reshape(len(rows), body + 4)
+    scale, bias = np.ascontiguousarray(raw[:, body:]).view("<f2").astype(np.float64).T
+    return (raw[:, at // 8] >> (at % 8).astype(np.uint8) & np.uint8(2**bits - 1)) * scale[:, None] + bias[:, None]

@@ -8,14 +8,14 @@ and lets its rows stream past: bags may be of any size, and nothing goes through
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, BinaryType
 
 #: Parts of the rows at most, whatever the number of cores: so often a table is written.
 COPIES = 48
@@ -42,7 +42,7 @@ def beside(rows: DataFrame, table: DataFrame, parts: int, by: Sequence[str], ord
 def handed(both: DataFrame) -> DataFrame:
     """Rows of :func:`beside` as a Python worker is handed them: empty arrays for null ones,
     of which Arrow's writer passes over all before in a batch for each."""
-    none = lambda t: (F.array() if isinstance(t, ArrayType) else F.lit(None)).cast(t)
+    none = lambda t: (F.array() if isinstance(t, ArrayType) else F.lit("") if isinstance(t, BinaryType) else F.lit(None)).cast(t)
     kind = both.schema["_table"].dataType
     lists = {f.name: F.coalesce(f.name, none(f.dataType)) for f in both.schema if isinstance(f.dataType, ArrayType)}
     return both.withColumns(lists | {"_table": F.coalesce("_table", F.struct(*[none(f.dataType).alias(f.name) for f in kind]))})
@@ -67,13 +67,14 @@ def read(batches: Iterator[pa.RecordBatch]) -> tuple[pa.StructArray | None, Iter
     return held, rows()
 
 
-def matrix(held: list[pa.StructArray], at: int = 1) -> np.ndarray:
+def matrix(held: list[pa.StructArray], at: int = 1, opened: Callable[[pa.Array], np.ndarray] | None = None) -> np.ndarray:
     """The vectors of a table's rows, all of one length, as one array."""
+    opened = opened or (lambda x: x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1))
     n, done, out = sum(map(len, held)), 0, None
     for part in held:
-        x = part.flatten()[at].flatten().to_numpy(zero_copy_only=False)
-        out = np.empty((n, len(x) // len(part)), x.dtype) if out is None else out
-        out[done:done + len(part)] = x.reshape(len(part), -1)
+        x = opened(part.flatten()[at])
+        out = np.empty((n, x.shape[1]), x.dtype) if out is None else out
+        out[done:done + len(part)] = x
         done += len(part)
     return out
 
@@ -124,18 +125,16 @@ def _listed(values: np.ndarray, there: np.ndarray, none: np.ndarray | None = Non
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), flat, mask=pa.array(~there))
 
 
-def features(long: DataFrame, table: DataFrame, of: dict[str, tuple[str | None, str]], by: Sequence[str], parts: int, dim: int, order: Sequence[str] = (), opened=None) -> DataFrame:
+def features(long: DataFrame, table: DataFrame, of: dict[str, tuple[str | None, str]], by: Sequence[str], parts: int, dim: int, order: Sequence[str] = (), opened: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
     """(by, a column for each of ``of``): features (key, kind) pooled over the ids with
     that key, or over all, of a unit of rows that agree in ``by``. ``kind`` is sum
     (weighted), mean or sequence (by ``order``); a feature without ids is null. Units
-    without a match are left out. ``opened`` makes vectors of the table's column after the shuffle."""
+    without a match are left out. ``opened`` makes vectors of doubles of a table's column where they are held."""
     by, keyed, weighted = list(by), any(k is not None for k, _ in of.values()), any(kind == "sum" for _, kind in of.values())
     extra = ["key"] * (keyed and "key" not in by) + ["weight"] * weighted
     given = long.filter("id IS NOT NULL").select(*dict.fromkeys([*by, *extra, *order]), F.col("id").cast("long").alias("id"))
     given = given.withColumn("weight", F.col("weight").cast("double")) if weighted else given
     both = beside(given, table.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "vec"), parts, by, order)
-    if opened is not None:
-        both = both.withColumn("_table", F.when(F.col("_table").isNotNull(), F.struct("_table.id", opened(F.col("_table.vec")).alias("vec"))))
     both = handed(both.select("_at", "_table", "id", *by, *extra))
     element = "double" if opened is not None else table.schema["vec"].dataType.elementType.simpleString()
     kinds = ", ".join(f"`{c}` {f'array<array<{element}>>' if kind == 'sequence' else 'array<double>'}" for c, (_, kind) in of.items())
@@ -145,7 +144,7 @@ def features(long: DataFrame, table: DataFrame, of: dict[str, tuple[str | None,
         held, rows = read(batches)
         if not held:
             return
-        vectors, places = matrix(held), Places(np.concatenate([x.flatten()[0].to_numpy() for x in held]))
+        vectors, places = matrix(held, opened=opened), Places(np.concatenate([x.flatten()[0].to_numpy() for x in held]))
         held.clear()
         open_, unit = None, None  # the last unit, which may go on
 

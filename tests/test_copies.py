@@ -3,11 +3,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries
 from quillon.functions import expressions as X
+from quillon.functions import packed
 from quillon.operators import copies, lookup, models
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +106,11 @@ def test_shards_that_are_large_together_are_not_sent(spark, monkeypatch):
         assert "Broadcast" not in plan(lookup.side_by_side(shards))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("bits", [2, 4, 8])
+def test_packed_rows_are_read_alike_by_columns_and_by_numpy(spark, bits):
+    rng = np.random.default_rng(bits)
+    table = spark.createDataFrame([(i, rng.normal(0, 3, 13).tolist()) for i in range(20)], "id long, vec array<float>")
+    rows = lookup.packed_table(table, bits).select("row", packed.unpacked(F.col("row"), 13, bits).alias("vec")).collect()
+    assert np.allclose(packed.decoded(pa.array([bytes(r["row"]) for r in rows]), 13, bits), [r["vec"] for r in rows], rtol=1e-12)
